@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, langid, nearest_time, sentences, splitting, tokens
+from tessera.llm import canonical, langid, nearest_time, pairs, sentences, splitting, tokens
 from tessera.operators.intervals import millis
 from tessera.session import table
 
@@ -32,6 +32,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(tagged, "seg_key", model).select("seg_key", "end_pos")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "reviews"), "review_id", "question", "generated_answer", "answerable", table(spark, d, "documents"))
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_v2(spark, d), "seg_key", "text", "start_s", "end_s", table(spark, d, "documents"))
 
@@ -55,7 +59,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids}
 
 SQL = {
     "p6_found": """
