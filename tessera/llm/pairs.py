@@ -33,7 +33,8 @@ _THINK = re.compile(r"<think>.*?(?:</think>|$)", re.S)
 _CITE = re.compile(r"[\[(（][^\[\]()（）]*chunk_[^\[\]()（）]*[\])）]")
 _OPEN_CITE = re.compile(r"[\[(（][^\[\]()（）]*$")
 _LABEL = re.compile(r"^\W*\w{1,12}\s*[:：]\s*")
-_WORD = re.compile(r"[⺀-鿿]|[^\W_⺀-鿿](?:[\w'’̀-ͯؐ-ًؚ-ٰٟऀ-ॣ०-ॿ‌]*[^\W_⺀-鿿]|[ऀ-ॣً-ٟ]+)?")
+_MARKS = "\u0300-\u036f\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u0900-\u0963\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u200c"
+_WORD = re.compile(rf"[⺀-鿿]|[^\W_⺀-鿿](?:[^\W_⺀-鿿]|['’](?=\w)|[{_MARKS}])*")
 _FINAL = re.compile(r"[.!?۔؟।。！？…]")
 _SPLIT = re.compile(r"(?<=[.!?۔؟।…])[\"»”’)\]）]*\s+|(?<=[。！？])[”」）]*|\n+")
 #: A quotation after the last sentence.
