@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 import unicodedata
 from collections import Counter
@@ -35,7 +36,20 @@ CHAR_RATIO, WORD_RATIO = (0.90, 1.10), (1.00, 1.15)
 SPACE = r"(?U)\s+"
 
 
-@F.pandas_udf("string")
+def _udf(kind: str):
+    """A pandas UDF made at its first use, so that the module needs no session to be imported."""
+
+    def wrap(fn):
+        @functools.cache
+        def made():
+            return F.pandas_udf(fn, kind)
+
+        return functools.wraps(fn)(lambda *cols: made()(*cols))
+
+    return wrap
+
+
+@_udf("string")
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
 
@@ -159,17 +173,17 @@ def script_counts(text: Column) -> dict[str, Column]:
 def dominant_script(text: Column) -> Column:
     """Script of most letters; a tie with Latin goes to the other, other ties to the first by name; null without any."""
     n = script_counts(text)
-    best = F.array_max(F.array(F.struct(n["arabic"].alias("n"), F.lit(2).alias("o"), F.lit("arabic").alias("s")), F.struct(n["devanagari"], F.lit(1), F.lit("devanagari")), F.struct(n["latin"], F.lit(0), F.lit("latin"))))
+    best = F.array_max(F.array(F.struct(n["arabic"].alias("n"), F.lit(2).alias("o"), F.lit("arabic").alias("s")), F.struct(n["devanagari"].alias("n"), F.lit(1).alias("o"), F.lit("devanagari").alias("s")), F.struct(n["latin"].alias("n"), F.lit(0).alias("o"), F.lit("latin").alias("s"))))
     return F.when(best["n"] > 0, best["s"])
 
 
-@F.pandas_udf("double")
+@_udf("double")
 def half_even(x: pd.Series, digits: pd.Series) -> pd.Series:
     """Rounding of the exact binary value, ties to even, as Python's round has it."""
     return pd.Series([None if v != v or v is None else float(Decimal(v).quantize(Decimal(1).scaleb(-int(d)), ROUND_HALF_EVEN)) for v, d in zip(x, digits)])
 
 
-@F.pandas_udf("double")
+@_udf("double")
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two texts in lower case; it depends on the order of the two."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)])
@@ -226,7 +240,7 @@ def align(ref: list, hyp: list) -> list[tuple[str, int, int]]:
     return out[::-1]
 
 
-@F.pandas_udf("struct<substitutions: int, deletions: int, insertions: int, units: int>")
+@_udf("struct<substitutions: int, deletions: int, insertions: int, units: int>")
 def word_edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     rows = []
     for r, h in zip(ref, hyp):
@@ -236,7 +250,7 @@ def word_edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions", "units"])
 
 
-@F.pandas_udf("array<struct<kind: string, at: int, ref_word: string, hyp_word: string, before: string, after: string>>")
+@_udf("array<struct<kind: string, at: int, ref_word: string, hyp_word: string, before: string, after: string>>")
 def word_differences(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Rows of the edits between two texts, with up to five words of the first text before and after."""
     out = []

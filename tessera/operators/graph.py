@@ -41,7 +41,7 @@ def merge_nodes(graph: DataFrame, same: DataFrame, label: str = "altLabel", name
 def statistics(graph: DataFrame) -> DataFrame:
     """``metric, name, n``: triples, individuals, instances by class, and uses by property."""
     whole = graph.agg(F.count("*").alias("triples"), F.count_distinct(F.when(F.col("p") == TYPE, F.col("s"))).alias("individuals"))
-    flat = whole.select(F.explode(F.array(F.struct(F.lit("triples").alias("metric"), F.lit("").alias("name"), F.col("triples").alias("n")), F.struct(F.lit("individuals"), F.lit(""), F.col("individuals")))).alias("x")).select("x.*")
+    flat = whole.select(F.explode(F.array(F.struct(F.lit("triples").alias("metric"), F.lit("").alias("name"), F.col("triples").alias("n")), F.struct(F.lit("individuals").alias("metric"), F.lit("").alias("name"), F.col("individuals").alias("n")))).alias("x")).select("x.*")
     by_class = graph.where(F.col("p") == TYPE).groupBy(F.col("o").alias("name")).agg(F.count("*").alias("n")).select(F.lit("class").alias("metric"), "name", "n")
     by_property = graph.groupBy(F.col("p").alias("name")).agg(F.count("*").alias("n")).select(F.lit("property").alias("metric"), "name", "n")
     return flat.unionByName(by_class).unionByName(by_property)
@@ -94,7 +94,7 @@ def match(graph: DataFrame, patterns: list[tuple[str, str, str]], optional: list
     return out
 
 
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|<[^>]*>|\?\w+|[A-Za-z_][\w:.-]*(?:/[A-Za-z_][\w:.-]*)*|[{}().,;*=<>!]+|\d+')
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|<[^>]*>|\?\w+|:?[A-Za-z_][\w:-]*(?:/:?[A-Za-z_][\w:-]*)*|[{}().,;*=<>!]+|\d+')
 
 
 def select(graph: DataFrame, query: str) -> DataFrame:

@@ -1,40 +1,9 @@
-"""Queries of the core operators and the SQL that gives the same rows."""
+"""All core queries and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tessera.plans import evaluation, scalars, spans
 
-from tessera.operators.intervals import millis, periods_and_gaps
-from tessera.session import table
-
-#: A longer pause is a break between sittings.
-MAX_GAP_MS = 900_000
-
-
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    spoken = table(spark, d, "segments").where(F.col("version") == "v2").select(F.lit("segment").alias("layer"), "recording", "start_s", "end_s")
-    verses = table(spark, d, "entities").where(F.col("etype") == "ayah").select(F.lit("ayah").alias("layer"), "recording", "start_s", "end_s")
-    spans = spoken.unionByName(verses).select("recording", "layer", millis(F.col("start_s")).alias("s"), millis(F.col("end_s")).alias("e"))
-    return periods_and_gaps(spans, ["recording", "layer"], "s", "e", max_gap=MAX_GAP_MS)
-
-
-QUERIES = {"p4_found": p4_found}
-
-SQL = {
-    "p4_found": """
-        WITH spans AS (
-            SELECT DISTINCT recording, layer, CAST(round(start_s * 1000) AS BIGINT) AS s, CAST(round(end_s * 1000) AS BIGINT) AS e FROM (
-                SELECT recording, 'segment' AS layer, start_s, end_s FROM segments WHERE version = 'v2'
-                UNION ALL SELECT recording, 'ayah', start_s, end_s FROM entities WHERE etype = 'ayah')
-            WHERE start_s IS NOT NULL AND end_s IS NOT NULL AND recording IS NOT NULL),
-        marked AS (
-            SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY recording, layer ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
-            FROM spans WHERE e > s),
-        numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY recording, layer ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM marked),
-        periods AS (SELECT recording, layer, n, min(s) AS from_ms, max(e) AS to_ms FROM numbered GROUP BY ALL),
-        gaps AS (SELECT recording, layer, to_ms AS from_ms, lead(from_ms) OVER (PARTITION BY recording, layer ORDER BY n) AS to_ms FROM periods)
-        SELECT recording, layer, 'period' AS kind, from_ms, to_ms FROM periods
-        UNION ALL SELECT recording, layer, 'gap', from_ms, to_ms FROM gaps WHERE to_ms - from_ms <= 900000
-    """,
-}
+QUERIES = {**spans.QUERIES, **evaluation.QUERIES, **scalars.QUERIES}
+SQL = {**spans.SQL, **evaluation.SQL, **scalars.SQL}
+p4_found = spans.p4_found
