@@ -45,6 +45,7 @@ CLASS_LANG = np.array([LANGUAGES.index(c[:2]) for c in CLASSES])
 K, PAD = len(CLASSES), 12
 BUCKETS, ORDERS = 1 << 15, 3
 TERMS = np.array([ord(c) for c in ".!?۔؟।…"], np.uint32)
+CLOSERS = np.array([0x22, 0x29, 0xBB, 0x201D], np.uint32)
 TERMS_ALONE = np.array([ord(c) for c in "。！？"], np.uint32)
 CHUNK = 400_000
 
@@ -69,19 +70,23 @@ class Scored:
 
 def stretches(texts: list[str], matrix: np.ndarray | None) -> Scored:
     """Cut plain texts into stretches and score them; without a matrix only the grams (bucket, stretch) are given."""
-    joined = "\n".join(texts).lower() if all(len(t) == len(t.lower()) for t in texts) else "\n".join("".join(c if len(c.lower()) != 1 else c.lower() for c in t) for t in texts)
-    a = code_points(joined + "\n\n")
+    lower = [t.lower() for t in texts]
+    if any(len(a) != len(b) for a, b in zip(lower, texts)):  # positions must stay
+        lower = ["".join(c.lower() if len(c.lower()) == 1 else c for c in t) for t in texts]
+    a = code_points("\n".join(lower) + "\n\n")
     n = len(a) - 1
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.concatenate(([0], np.cumsum(lens + 1)))[:-1]
     isl = letters()[np.minimum(a, 0x3FFFF)]
-    nxt = np.append(a[1:], 10)
-    white = (a == 32) | ((a >= 9) & (a <= 13)) | (a == 0xA0)
-    cut = (a == 10) | ((a == 32) & np.isin(np.append([10], a[:-1]), np.concatenate((TERMS, [0x22, 0x29, 0xBB, 0x201D]))) & np.isin(np.append([10, 10], a[:-2]), TERMS) | ((a == 32) & np.isin(np.append([10], a[:-1]), TERMS)) | np.isin(a, TERMS_ALONE))
-    del nxt, white
+    before, before2 = np.append([10], a[:-1]), np.append([10, 10], a[:-2])
+    # A stretch ends at a line break, at a mark of a dense script, and at a space after a mark, a closing sign between.
+    ended = np.isin(before, TERMS) | (np.isin(before, CLOSERS) & np.isin(before2, TERMS))
+    cut = (a == 10) | ((a == 32) & ended) | np.isin(a, TERMS_ALONE)
     stretch = np.concatenate(([0], np.cumsum(cut)))[:-1]
-    count = int(stretch[-1]) + 1
     at = np.flatnonzero(isl[:n])
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return Scored(none, none, none, none, np.zeros((0, K), np.float32), (np.zeros((0, 3), np.int64), none, a[:0]))
     x = np.where(isl == 1, a, 32).astype(np.uint64)
     prev = np.append(np.uint64(32), x[:-1])[at]
     here, after = x[at], x[at + 1]
@@ -95,13 +100,13 @@ def stretches(texts: list[str], matrix: np.ndarray | None) -> Scored:
     own, first = np.unique(of, return_index=True)
     last = np.append(first[1:], len(at)) - 1
     loglik = np.zeros((len(own), K), np.float32)
-    if matrix is not None and len(at):
+    if matrix is not None:
         rows = matrix[grams[:, 0]]
         rows += matrix[grams[:, 1]]
         rows += matrix[grams[:, 2]]
         loglik = np.add.reduceat(rows, first, axis=0)[:, :K] / ORDERS
-    text = np.searchsorted(begin, at[first], "right") - 1 if len(at) else np.zeros(0, np.int64)
-    n_letters = np.add.reduceat(base_letters()[np.minimum(a[at], 0x3FFFF)].astype(np.int64), first) if len(at) else np.zeros(0, np.int64)
+    text = np.searchsorted(begin, at[first], "right") - 1
+    n_letters = np.add.reduceat(base_letters()[np.minimum(a[at], 0x3FFFF)].astype(np.int64), first)
     return Scored(text, at[first] - begin[text], at[last] + 1 - begin[text], n_letters, loglik, (grams, np.searchsorted(own, of), a[at]))
 
 
