@@ -15,7 +15,7 @@ def read_segments(spark: SparkSession, path: str, *, strict: bool = False) -> Da
     A byte-order mark is skipped.  Files that hold neither give no row; with ``strict`` they, and null ids, are an error.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("v"))
-    got = files.select("path", F.coalesce(F.from_json("v", f"array<{SEGMENT}>"), F.from_json("v", f"segments array<{SEGMENT}>")["segments"]).alias("segments"))
+    got = files.select("path", F.when(F.ltrim("v").startswith("["), F.from_json("v", f"array<{SEGMENT}>")).otherwise(F.from_json("v", f"segments array<{SEGMENT}>")["segments"]).alias("segments"))
     if strict:
         got = got.withColumn("segments", F.when(F.col("segments").isNull(), F.raise_error(F.concat(F.lit("no segments in "), F.col("path")))).otherwise(F.col("segments")))
     rows = got.select("path", F.posexplode("segments").alias("seq", "s")).select("path", "seq", "s.id", "s.start", "s.end", "s.text")
@@ -40,14 +40,16 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unescape(c: Column) -> Column:
-    out = c
-    for a, b in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r"), (r"\\\\", r"\\")):
-        out = F.regexp_replace(out, a, b)
+    out = F.replace(c, F.lit("\\\\"), F.lit("\0"))
+    for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\0", "\\")):
+        out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
 def write_ntriples(graph: DataFrame, path: str) -> None:
-    esc = F.regexp_replace(F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\\\\\"), '"', r'\\\\"'), "\n", r"\\\\n")
+    esc = F.col("o")
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        esc = F.replace(esc, F.lit(a), F.lit(b))
     line = F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), F.when(F.col("kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(F.concat(F.lit('"'), esc, F.lit('"'))), F.lit(" ."))
     graph.select(line.alias("value")).write.mode("overwrite").text(path)
 
