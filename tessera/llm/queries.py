@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import canonical, langid, mixing, nearest_time, pairs, sentences, splitting, subjects, tokens
 from tessera.operators.intervals import millis
-from tessera.session import table
+from tessera.session import checkpoint, table
 
 TOLERANCE_MS = 1_500
 
@@ -27,7 +27,7 @@ def _v2(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     matrix = langid.train(table(spark, d, "documents"), "text", "lang")
-    tagged = sentences.with_language(_v2(spark, d), "seg_key", "text", matrix)
+    tagged = checkpoint(sentences.with_language(_v2(spark, d), "seg_key", "text", matrix))
     model = sentences.train(tagged, "_text", "lang")
     return sentences.sentences(tagged, "seg_key", model).select("seg_key", "end_pos")
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import sentences as sent
 from tessera.llm.textcodes import plain
+from tessera.session import checkpoint
 
 LIMIT, OVERLAP, BLOCK = 400, 40, 2
 _WORD = re.compile(r"\w+")
@@ -101,7 +102,7 @@ def split_oversized(segments: DataFrame, key: str, text: str, start: str, end: s
     from tessera.llm import langid
 
     matrix = langid.train(documents, "text", "lang")
-    tagged = sent.with_language(segments, key, text, matrix, start, end)
+    tagged = checkpoint(sent.with_language(segments, key, text, matrix, start, end))
     model = sent.train(tagged, "_text", "lang")
     shared = tagged.sparkSession.sparkContext.broadcast(model)
 
