@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import evaluation, scalars, spans
+from tessera.plans import evaluation, pipeline, scalars, spans
 
-QUERIES = {**spans.QUERIES, **evaluation.QUERIES, **scalars.QUERIES}
-SQL = {**spans.SQL, **evaluation.SQL, **scalars.SQL}
+QUERIES = {**spans.QUERIES, **evaluation.QUERIES, **scalars.QUERIES, **pipeline.QUERIES}
+SQL = {**spans.SQL, **evaluation.SQL, **scalars.SQL, **pipeline.SQL}
 p4_found = spans.p4_found
