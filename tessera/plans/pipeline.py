@@ -22,8 +22,8 @@ def _q(fn):
 
 @_q
 def quotations_replaced(spark: SparkSession, d: str) -> DataFrame:
-    """v2 segments in which a quoted verse or dua is replaced by its canonical text."""
-    e = entities(spark, d, "ayah", "dua").where(F.lower(F.trim("usage")) == "quotation")
+    """v2 segments in which a cited verse or dua is replaced by its canonical text."""
+    e = entities(spark, d, "ayah", "dua")
     q = e.select("recording", F.col("entity_id").alias("n"), F.col("text").alias("fragment"), F.col("canonical_text").alias("canonical"))
     return replacement.replace_quotations(segments(spark, d, "v2"), q)
 
