@@ -204,7 +204,7 @@ def train(labelled: DataFrame, text: str, label: str, *, max_docs: int = 6_000,
     n = max(1, labelled.count())
     keep = min(1.0, max_docs / n)
     sample = rows if keep >= 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.lit(max(1, int(keep * (1 << 20)))))
-    sample = sample.repartition(6).persist()
+    sample = sample.distinct().repartition(6).persist()  # a text repeated very often counts once
     base = _own_script_counts()
     matrix = None
     for _ in range(passes):
