@@ -28,7 +28,8 @@ def canonical_source(source: Column) -> Column:
 
 def sized(documents: DataFrame, **tokenizer: str) -> DataFrame:
     """``doc_id, source, n_tokens, h``: each document once, with its canonical source, size and hash."""
-    n = tokens.count(documents.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id", "text", **tokenizer)
+    # Copies of a document are combined by their counts, so no text is shuffled for it.
+    n = tokens.count(documents, "doc_id", "text", **tokenizer).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
     named = documents.groupBy("doc_id").agg(canonical_source(F.max("source")).alias("source"))
     return named.join(n, "doc_id").select("doc_id", "source", "n_tokens", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << HASH_BITS)).alias("h"))
 
@@ -54,7 +55,7 @@ def budgets(sums: list, targets: list, total: int | None) -> dict[str, tuple[int
 
 
 def thresholds(rows: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
-    """Hash under which each source's documents have at most the wanted tokens, and as many as the hash can tell apart."""
+    """Hash under which each source's documents have most nearly the wanted tokens (of two equally near sums the smaller)."""
     spark = rows.sparkSession
     # Where the boundary bucket of each source begins (all before it is in), and the tokens still wanted from it.
     low, left = dict.fromkeys(wanted, 0), dict(wanted)
@@ -67,13 +68,15 @@ def thresholds(rows: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
         inside = rows.join(F.broadcast(at), "source").where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + F.lit(1 << (shift + BITS))))
         sums = inside.groupBy("source", "left", F.shiftright(F.col("h") - F.col("low"), shift).alias("b")).agg(F.sum("n_tokens").alias("n"))
         run = sums.select("*", F.sum("n").over(Window.partitionBy("source").orderBy("b")).alias("upto"))
-        passing = run.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("b", (F.col("upto") - F.col("n")).alias("before"))).alias("x"))
+        passing = run.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("b", (F.col("upto") - F.col("n")).alias("before"), "upto")).alias("x"))
         found = {r.source: r.x for r in passing.collect()}
         for s in [s for s in left if s not in found]:  # all of it is wanted
             whole[s] = low[s] + (1 << (shift + BITS))
             del left[s]
         for s, x in found.items():
             low[s] += x.b << shift
+            if shift == 0 and x.upto - left[s] < left[s] - x.before:  # the document at the boundary brings the sum nearer
+                low[s] += 1
             left[s] -= x.before
     return {**low, **whole}
 

@@ -31,7 +31,7 @@ def test_shares_repeats_and_nesting(spark):
     assert abs(sum(r.n_tokens * less.get(r.doc_id, 0) for r in rows) - 900) <= 15
 
 
-def test_threshold_is_the_longest_prefix_by_hash(spark):
+def test_threshold_is_the_nearest_prefix_by_hash(spark):
     import random
 
     rng = random.Random(3)
@@ -39,9 +39,10 @@ def test_threshold_is_the_longest_prefix_by_hash(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, h long")
     for want in (1, 77, 1000, 10**9):
         below = M.thresholds(df, {"s": want})["s"]
-        inside = sum(n for _, _, n, h in rows if h < below)
-        rest = sorted((h, n) for _, _, n, h in rows if h >= below)
-        assert inside <= want and (not rest or inside + rest[0][1] > want)
+        order = sorted((h, n) for _, _, n, h in rows)
+        sums = [sum(n for _, n in order[:i]) for i in range(len(order) + 1)]
+        inside = sum(n for h, n in order if h < below)
+        assert abs(inside - want) == min(abs(x - want) for x in sums)
 
 
 def test_empty_tables(spark):
