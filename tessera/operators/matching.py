@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import edit_score, for_matching, token_f1, words
+from tessera.functions.text import edit_score, for_matching, words
 
-#: Rows up to which the corpus is sent to every executor; beyond it the pairs are made by a shuffle on shared words.
-BROADCAST_ROWS = 20_000
 TOP = 5
 
 
@@ -20,13 +18,12 @@ def lexical_pairs(candidates: DataFrame, corpus: DataFrame, cand_text: str, corp
     """
     texts = candidates.select(for_matching(F.col(cand_text)).alias("cand_norm")).where(F.col("cand_norm") != "").distinct()
     known = corpus.select(F.col(corpus_key), for_matching(F.col(corpus_text)).alias("_norm")).where(F.col("_norm") != "")
-    left, right = texts.withColumn("_cw", words(F.col("cand_norm"))), known.withColumn("_kw", words(F.col("_norm")))
-    if known.count() <= BROADCAST_ROWS:
-        pairs = left.join(F.broadcast(right), F.arrays_overlap("_cw", "_kw"))
-    else:
-        ids = left.select("cand_norm", F.explode(F.array_distinct("_cw")).alias("_w")).join(right.select(corpus_key, F.explode(F.array_distinct("_kw")).alias("_w")), "_w").select("cand_norm", corpus_key).distinct()
-        pairs = ids.join(left, "cand_norm").join(right, corpus_key)
-    return pairs.select("cand_norm", corpus_key, F.round((edit_score(F.col("cand_norm"), F.col("_norm")) + token_f1(F.col("_cw"), F.col("_kw"))) / 2, 6).alias("lexical"))
+    count = lambda df, key, text, n: df.select(key, F.explode(words(F.col(text))).alias("_w")).groupBy(key, "_w").agg(F.count("*").alias(n))
+    # Words shared, as multisets, give the pairs and the word F1 at once.
+    both = count(texts, "cand_norm", "cand_norm", "_n").join(count(known, corpus_key, "_norm", "_m"), "_w").groupBy("cand_norm", corpus_key).agg(F.sum(F.least("_n", "_m")).alias("_both"))
+    pairs = both.join(known, corpus_key)
+    f1 = 2 * F.col("_both") / (F.size(words(F.col("cand_norm"))) + F.size(words(F.col("_norm"))))
+    return pairs.select("cand_norm", corpus_key, F.round((edit_score(F.col("cand_norm"), F.col("_norm")) + f1) / 2, 6).alias("lexical"))
 
 
 def ranked(pairs: DataFrame, corpus_key: str, score: str, top: int = TOP) -> DataFrame:

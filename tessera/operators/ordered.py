@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import operator
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +36,22 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column, agg
     return joined.select(*df.columns, *[value(n, f).alias(n) for n, (f, _) in aggs.items()])
 
 
+def apply_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[list], list[tuple]], schema: str, per_partition: int = 8) -> DataFrame:
+    """``fn`` from the rows (named tuples, in ``order``) of each of many small groups to rows of ``schema``.
+
+    Groups are packed by hash, so that one call serves many; no key may be null.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * per_partition
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.drop(columns="_pack").sort_values([*keys, *order], kind="stable").itertuples(index=False)
+        key = operator.attrgetter(*keys)
+        return pd.DataFrame([x for _, g in itertools.groupby(rows, key) for x in fn(list(g))], columns=names)
+
+    return df.withColumn("_pack", F.pmod(F.xxhash64(*keys), F.lit(n))).groupBy("_pack").applyInPandas(run, schema)
+
+
 def chunk_rows(rows: list[tuple], exhausted: bool = True) -> list[tuple[int, int, float, float, str]]:
     """Chunks (first, past, start, end, text) of segments (start, end, text) in order.
 
@@ -75,14 +94,12 @@ def chunks(segments: DataFrame) -> DataFrame:
     marked = running(fresh, ["recording"], ["start_s", "seq"], block, {"_piece0": ("sum", "_new")}).withColumn("_piece", F.col("_piece0") + F.col("_new"))
     last = marked.groupBy("recording").agg(F.max("_piece").alias("_last"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_s", "seq"], kind="stable")
-        rows = list(zip(pdf.start_s, pdf.end_s, pdf.text))
-        seqs = pdf.seq.tolist()
-        got = chunk_rows(rows, bool(pdf._piece.iloc[0] == pdf._last.iloc[0]))
-        return pd.DataFrame([(pdf.recording.iloc[0], s, e, z - a, seqs[a:z], t) for a, z, s, e, t in got], columns=["recording", "chunk_start", "chunk_end", "n_segments", "seqs", "text"])
+    def run(rows: list) -> list[tuple]:
+        got = chunk_rows([(r.start_s, r.end_s, r.text) for r in rows], rows[0].piece == rows[0].last)
+        return [(rows[0].recording, s, e, z - a, [r.seq for r in rows[a:z]], t) for a, z, s, e, t in got]
 
-    return marked.join(last, "recording").select("recording", "_piece", "_last", "seq", "start_s", "end_s", "text").groupBy("recording", "_piece").applyInPandas(run, "recording string, chunk_start double, chunk_end double, n_segments int, seqs array<int>, text string")
+    rows = marked.join(last, "recording").select("recording", F.col("_piece").alias("piece"), F.col("_last").alias("last"), "seq", "start_s", "end_s", "text")
+    return apply_groups(rows, ["recording", "piece"], ["start_s", "seq"], run, "recording string, chunk_start double, chunk_end double, n_segments int, seqs array<int>, text string")
 
 
 def word_buffers(words: DataFrame, keys: list[str], order: str, start: str, end: str, word: str) -> DataFrame:

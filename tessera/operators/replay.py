@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.intervals import periods_and_gaps
+from tessera.operators.ordered import apply_groups
 from tessera.operators.spans import last_before
 
 _KEYS = ("start", "end", "text")
@@ -45,9 +45,9 @@ def plans(old: DataFrame, new: DataFrame) -> DataFrame:
     groups = periods_and_gaps(both.withColumn("e", F.greatest(F.col("end_ms") - 1, F.col("start_ms") + 1)), ["recording"], "start_ms", "e").where(F.col("kind") == "period").select("recording", F.col("from_ms").alias("g"), F.col("from_ms").alias("g_start"))
     at = last_before(both, groups, "recording", "k", "start_ms", "g", "g_start")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq"], kind="stable")
-        rows = [[{"uid": f"s{r.seq}", "start": r.start_ms / 1000, "end": r.end_ms / 1000, "text": r.text or ""} for r in pdf[pdf.side == v].itertuples()] for v in (0, 1)]
-        return pd.DataFrame([(pdf.recording.iloc[0], int(pdf.g.iloc[0]), len(rows[0]), len(rows[1]), [json.dumps(a, ensure_ascii=False) for a in plan(*rows)])], columns=["recording", "from_ms", "n_old", "n_new", "actions"])
+    def run(rows: list) -> list[tuple]:
+        sides = [[{"uid": f"s{r.seq}", "start": r.start_ms / 1000, "end": r.end_ms / 1000, "text": r.text or ""} for r in rows if r.side == v] for v in (0, 1)]
+        return [(rows[0].recording, int(rows[0].g), len(sides[0]), len(sides[1]), [json.dumps(a, ensure_ascii=False) for a in plan(*sides)])]
 
-    return both.join(at, "k").select("recording", "g", "side", "seq", "start_ms", "end_ms", "text").groupBy("recording", "g").applyInPandas(run, "recording string, from_ms long, n_old int, n_new int, actions array<string>")
+    rows = both.join(at, "k").select("recording", "g", "side", "seq", "start_ms", "end_ms", "text")
+    return apply_groups(rows, ["recording", "g"], ["seq"], run, "recording string, from_ms long, n_old int, n_new int, actions array<string>")

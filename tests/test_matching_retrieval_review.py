@@ -15,11 +15,18 @@ def test_matching_decisions(spark):
     top = matching.ranked(pairs, "key", "lexical")
     got = {r.cand_norm: r for r in matching.decisions(top, "key", "lexical", 0.5, 0.02).collect()}
     assert got["النهر طويل جدا هنا"].best_key == "k1" and got["النهر طويل جدا هنا"].verdict == "verified" and got["باب"].margin is None
-    old, matching.BROADCAST_ROWS = matching.BROADCAST_ROWS, 0
-    try:
-        assert sorted(map(tuple, matching.lexical_pairs(cand, corpus, "text", "key", "t").collect())) == sorted(map(tuple, pairs.collect()))
-    finally:
-        matching.BROADCAST_ROWS = old
+    from tessera.functions import text as T
+
+    brute = candidates_by_product(spark, cand, corpus, T)
+    assert {(r.cand_norm, r.key): r.lexical for r in pairs.collect()} == brute
+
+
+def candidates_by_product(spark, cand, corpus, T):
+    c = cand.select(T.for_matching(F.col("text")).alias("c")).where("c <> ''").distinct()
+    k = corpus.select("key", T.for_matching(F.col("t")).alias("n")).where("n <> ''")
+    cw, kw = T.words(F.col("c")), T.words(F.col("n"))
+    j = c.crossJoin(k).where(F.arrays_overlap(cw, kw)).select("c", "key", F.round((T.edit_score(F.col("c"), F.col("n")) + T.token_f1(cw, kw)) / 2, 6).alias("x"))
+    return {(r.c, r.key): r.x for r in j.collect()}
 
 
 def test_verdicts_and_grid(spark):
