@@ -21,7 +21,10 @@ def lexical_pairs(candidates: DataFrame, corpus: DataFrame, cand_text: str, corp
     count = lambda df, key, text, n: df.select(key, F.explode(words(F.col(text))).alias("_w")).groupBy(key, "_w").agg(F.count("*").alias(n))
     # Words shared, as multisets, give the pairs and the word F1 at once.
     both = count(texts, "cand_norm", "cand_norm", "_n").join(count(known, corpus_key, "_norm", "_m"), "_w").groupBy("cand_norm", corpus_key).agg(F.sum(F.least("_n", "_m")).alias("_both"))
-    pairs = both.join(known, corpus_key)
+    # The distances are the work, not the bytes: as many partitions as cores at least, and by text, as the ranking needs them.
+    spark = candidates.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    pairs = both.join(known, corpus_key).repartition(parts, "cand_norm")
     f1 = 2 * F.col("_both") / (F.size(words(F.col("cand_norm"))) + F.size(words(F.col("_norm"))))
     return pairs.select("cand_norm", corpus_key, F.round((edit_score(F.col("cand_norm"), F.col("_norm")) + f1) / 2, 6).alias("lexical"))
 
