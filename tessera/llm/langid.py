@@ -47,7 +47,7 @@ BUCKETS, ORDERS = 1 << 15, 3
 TERMS = np.array([ord(c) for c in ".!?۔؟।…"], np.uint32)
 CLOSERS = np.array([0x22, 0x29, 0xBB, 0x201D], np.uint32)
 TERMS_ALONE = np.array([ord(c) for c in "。！？"], np.uint32)
-CHUNK = 400_000
+CHUNK = 150_000
 
 
 def label_code(label: Column) -> Column:
