@@ -99,9 +99,9 @@ SQL["asof_segment"] = f"""
 def interval_chains(spark: SparkSession, d: str) -> DataFrame:
     """Groups of v2 segments that overlap, directly or through others (touching ones too), with their number of segments."""
     s = timed(segments(spark, d, "v2")).where(F.col("end_ms") > F.col("start_ms"))
-    p = periods_and_gaps(s, ["recording"], "start_ms", "end_ms").where(F.col("kind") == "period").select("recording", F.col("from_ms").alias("p_start"), F.monotonically_increasing_id().alias("p"))
+    p = periods_and_gaps(s, ["recording"], "start_ms", "end_ms").where(F.col("kind") == "period").select("recording", F.col("from_ms").alias("p_start"), F.col("from_ms").alias("p"))
     at = last_before(s.select("recording", F.col("seg_key").alias("k"), "start_ms"), p, "recording", "k", "start_ms", "p", "p_start")
-    return at.groupBy("p").agg(F.count("*").alias("n_segments")).join(p, "p").select("recording", F.col("p_start").alias("from_ms"), "n_segments")
+    return at.join(s.select("recording", F.col("seg_key").alias("k")), "k").groupBy("recording", F.col("p").alias("from_ms")).agg(F.count("*").alias("n_segments"))
 
 
 SQL["interval_chains"] = f"""
