@@ -256,28 +256,56 @@ def detect_stretches(df: DataFrame, key: str, text: str, matrix: np.ndarray) ->
     """
     shared = df.sparkSession.sparkContext.broadcast(matrix)
 
+    def part(keys: list, texts: list[str]) -> list[list]:
+        s = stretches(texts, shared.value) if texts else None
+        if s is None or not len(s.text):
+            return [[], [], [], [], []]
+        p = posteriors(s, len(texts))
+        lang = np.zeros((len(p), len(LANGUAGES)))
+        np.add.at(lang.T, CLASS_LANG, p.T)
+        best = lang.argmax(axis=1)
+        first = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (s.text[1:] != s.text[:-1])))
+        last = np.append(first[1:], len(best)) - 1
+        weight = np.maximum(s.letters, 1)
+        conf = np.add.reduceat(lang[np.arange(len(best)), best] * weight, first) / np.add.reduceat(weight, first)
+        return [[keys[i] for i in s.text[first]], s.start[first].tolist(), s.end[last].tolist(), [LANGUAGES[i] for i in best[first]], conf.tolist()]
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             keys = b.column(0).to_pylist()
             texts = [plain(t or "") for t in b.column(1).to_pylist()]
-            out: list[list] = [[], [], [], [], []]
-            s = stretches(texts, shared.value) if texts else None
-            if s is not None and len(s.text):
-                p = posteriors(s, len(texts))
-                lang = np.zeros((len(p), len(LANGUAGES)))
-                np.add.at(lang.T, CLASS_LANG, p.T)
-                best = lang.argmax(axis=1)
-                first = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (s.text[1:] != s.text[:-1])))
-                last = np.append(first[1:], len(best)) - 1
-                weight = np.maximum(s.letters, 1)
-                conf = np.add.reduceat(lang[np.arange(len(best)), best] * weight, first) / np.add.reduceat(weight, first)
-                out = [[keys[i] for i in s.text[first]], s.start[first].tolist(), s.end[last].tolist(), [LANGUAGES[i] for i in best[first]], conf.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.schema.field(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string()), pa.array(out[4], pa.float64())], names=[key, "start_pos", "end_pos", "lang", "confidence"])
+            at, size = 0, 0
+            for i, t in enumerate([*texts, None]):
+                if t is None or size > CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part(keys[at:i], texts[at:i]), (b.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.float64()))], names=[key, "start_pos", "end_pos", "lang", "confidence"])
+                    at, size = i, 0
+                if t is not None:
+                    size += len(t) + 1
 
     src = df.select(F.col(key), F.col(text).alias("_text"))
     return src.mapInArrow(run, f"`{key}` {src.schema[key].dataType.simpleString()}, start_pos int, end_pos int, lang string, confidence double")
 
 
+def _item(kind: str, key: str) -> list[Column]:
+    return [F.lit(kind).alias("item_kind"), F.col(key).cast("bigint").alias("item_key")]
+
+
+def stretches_of_items(documents: DataFrame, segments: DataFrame, **training: int) -> DataFrame:
+    """``item_kind, item_key, start_pos, end_pos, lang, confidence`` of the stretches of documents and v2 segments; a redelivered segment counts once."""
+    matrix = train(documents, "text", "lang", **training)
+    rows = ["start_pos", "end_pos", "lang", "confidence"]
+    spoken = segments.where(F.col("version") == "v2").select("seg_key", "text").dropDuplicates(["seg_key"])
+    of_doc = detect_stretches(documents, "doc_id", "text", matrix).select(*_item("document", "doc_id"), *rows)
+    return of_doc.unionByName(detect_stretches(spoken, "seg_key", "text", matrix).select(*_item("segment", "seg_key"), *rows))
+
+
+def languages_of_items(documents: DataFrame, questions: DataFrame, **training: int) -> DataFrame:
+    """``item_kind, item_key, lang, confidence`` of every document and question; null and 0 where it has no letters."""
+    matrix = train(documents, "text", "lang", **training)
+    of_doc = detect(documents, "doc_id", "text", matrix).select(*_item("document", "doc_id"), "lang", "confidence")
+    return of_doc.unionByName(detect(questions, "q_key", "question", matrix).select(*_item("question", "q_key"), "lang", "confidence"))
+
+
 #: A text is mixed where the second language has this share of its letters.
 MIXED_SHARE = 0.30
 

@@ -17,8 +17,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_stretches(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return langid.detect_stretches(docs, "doc_id", "text", langid.train(docs, "text", "lang"))
+    return langid.stretches_of_items(table(spark, d, "documents"), table(spark, d, "segments"))
+
+
+def p1_languages(spark: SparkSession, d: str) -> DataFrame:
+    return langid.languages_of_items(table(spark, d, "documents"), table(spark, d, "questions"))
 
 
 def _v2(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +74,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.found_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p1_languages": p1_languages, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p6_found": """

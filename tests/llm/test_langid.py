@@ -49,3 +49,14 @@ def test_found_items(spark, documents):
     got = {(r.item_kind, r.item_key, r.found_lang) for r in langid.found_items(spark, documents.unionByName(more), q, s).collect()}
     assert {("document", 100, "en"), ("document", 101, "en"), ("mixed_document", 104, "ar+en"), ("question", 1, "en"), ("mixed_segment", 7, "ar+en")} <= got
     assert not [x for x in got if x[1] in (102, 103, 8) or x[:2] == ("question", 2)]
+
+
+def test_stretches_and_languages_of_every_item(spark, documents):
+    mixed = "The river is long and the lesson ended today. یہ بات پچھلے سبق میں بھی آئی تھی۔"
+    segments = spark.createDataFrame([(7, "v2", mixed), (7, "v2", mixed), (8, "v1", mixed), (9, "v2", None)], "seg_key long, version string, text string")
+    got = langid.stretches_of_items(documents, segments).where("item_kind = 'segment'").collect()
+    assert [(r.item_key, r.lang) for r in sorted(got, key=lambda r: r.start_pos)] == [(7, "en"), (7, "ur")] and all(0 < r.confidence <= 1 for r in got)
+    questions = spark.createDataFrame([(1, "The speaker explained the lesson."), (2, None)], "q_key long, question string")
+    found = {(r.item_kind, r.item_key): (r.lang, r.confidence) for r in langid.languages_of_items(documents, questions).collect()}
+    assert len(found) == documents.count() + 2
+    assert found["question", 1][0] == "en" and found["question", 1][1] > 0 and found["question", 2] == (None, 0.0)
