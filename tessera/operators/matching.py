@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import edit_score, for_matching, words
+from tessera.operators import ports
 
 TOP = 5
+#: Candidates scored at once.
+SLICE = 500
 
 
 def lexical_pairs(candidates: DataFrame, corpus: DataFrame, cand_text: str, corpus_key: str, corpus_text: str) -> DataFrame:
@@ -29,19 +37,82 @@ def lexical_pairs(candidates: DataFrame, corpus: DataFrame, cand_text: str, corp
     return pairs.select("cand_norm", corpus_key, F.round((edit_score(F.col("cand_norm"), F.col("_norm")) + f1) / 2, 6).alias("lexical"))
 
 
+def _unit(rows: list) -> np.ndarray:
+    m = np.asarray(rows, np.float64)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def best_matches(candidates: DataFrame, corpus: DataFrame, kind: str, text: str, corpus_kind: str, corpus_key: str, corpus_text: str, *, alphas: list[float], top: int = TOP, model: Callable[[list[str]], np.ndarray] = ports.hashed_embedding) -> DataFrame:
+    """``kind, text, alpha, rank, corpus_key, lexical, semantic, score``: the ``top`` corpus entries of its kind of each distinct candidate text, ties by key.
+
+    Every entry of the kind is scored: alpha * lexical + (1 - alpha) * semantic, the lexical score being the mean of the edit
+    score and the word F1 of the matching forms, the semantic one the cosine of the vectors of the texts as they stand.
+    Null and blank candidate texts give no row.  The corpus is bounded and goes to every task; candidates aren't sorted.
+    """
+    spark = candidates.sparkSession
+    known = corpus.select(F.col(corpus_kind).alias("k"), F.col(corpus_key).alias("key"), for_matching(F.col(corpus_text)).alias("norm"), ports.embed(F.col(corpus_text), model).alias("v")).where("norm <> ''").withColumn("ws", words(F.col("norm")))
+    entries: dict[str, list] = {}
+    for r in sorted(known.collect(), key=lambda r: r.key):
+        entries.setdefault(r.k, []).append(r)
+    shared = spark.sparkContext.broadcast({k: ([r.key for r in rs], [len(r.norm) for r in rs], [r.ws for r in rs], [r.v for r in rs]) for k, rs in entries.items()})
+    norms = spark.createDataFrame([(k, [r.norm for r in rs]) for k, rs in entries.items()], f"`{kind}` string, _norms array<string>")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    texts = candidates.select(kind, text).where(F.trim(text) != "").distinct().repartition(parts).withColumn("_norm", for_matching(F.col(text)))
+    vectors = texts.withColumn("_v", ports.embed(F.col(text), model)).join(F.broadcast(norms), kind)
+    edits = vectors.select(kind, text, F.char_length("_norm").alias("_n"), words(F.col("_norm")).alias("_ws"), "_v", F.transform("_norms", lambda x: F.levenshtein("_norm", x)).alias("_edits"))
+
+    def scored(rows: list[dict], index: dict[str, tuple[np.ndarray, np.ndarray]], lengths: np.ndarray, n_words: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = np.zeros((len(rows), len(lengths)))
+        for i, r in enumerate(rows):
+            for w, c in Counter(r["_ws"]).items():
+                if w in index:
+                    at, n = index[w]
+                    both[i, at] += np.minimum(n, c)
+        edit = 1 - np.array([r["_edits"] for r in rows], np.float64) / np.maximum(np.array([r["_n"] for r in rows])[:, None], lengths)
+        f1 = 2 * both / (np.array([len(r["_ws"]) for r in rows])[:, None] + n_words)
+        return (edit + f1) / 2, _unit([r["_v"] for r in rows]) @ unit.T
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[str, tuple] = {}
+        for k, (_, lengths, ws, vs) in shared.value.items():
+            index: dict[str, list] = {}
+            for j, x in enumerate(ws):
+                for w, c in Counter(x).items():
+                    index.setdefault(w, []).append((j, c))
+            made[k] = ({w: (np.array([j for j, _ in x]), np.array([c for _, c in x])) for w, x in index.items()}, np.array(lengths), np.array([len(x) for x in ws]), _unit(vs))
+        for b in it:
+            for at in range(0, b.num_rows, SLICE):
+                rows, out = b.slice(at, SLICE).to_pylist(), [[] for _ in range(8)]
+                for k in sorted({r[kind] for r in rows}):
+                    own, keys = [r for r in rows if r[kind] == k], shared.value[k][0]
+                    lexical, semantic = scored(own, *made[k])
+                    for alpha in alphas:
+                        score = np.round(alpha * lexical + (1 - alpha) * semantic, 6)
+                        best = np.argsort(-score, axis=1, kind="stable")[:, :top]
+                        for i, r in enumerate(own):
+                            for rank, j in enumerate(best[i], 1):
+                                for col, x in zip(out, (k, r[text], alpha, rank, keys[j], round(float(lexical[i, j]), 6), round(float(semantic[i, j]), 6), float(score[i, j]))):
+                                    col.append(x)
+                kinds = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=[kind, text, "alpha", "rank", corpus_key, "lexical", "semantic", "score"])
+
+    return edits.mapInArrow(run, f"`{kind}` string, `{text}` string, alpha double, rank int, `{corpus_key}` string, lexical double, semantic double, score double")
+
+
 def ranked(pairs: DataFrame, corpus_key: str, score: str, top: int = TOP) -> DataFrame:
     """The ``top`` entries of each candidate text by score, ties by key."""
     w = Window.partitionBy("cand_norm").orderBy(F.desc(score), corpus_key)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def decisions(top: DataFrame, corpus_key: str, score: str, tau: float, delta: float) -> DataFrame:
-    """``cand_norm, best_key, best_score, margin, verdict``: verified, ambiguous (margin under delta), unresolved (score under tau)."""
-    two = top.where(F.col("rank") <= 2).groupBy("cand_norm").agg(
+def decisions(top: DataFrame, corpus_key: str, score: str, tau: float, delta: float, by: tuple[str, ...] = ("cand_norm",)) -> DataFrame:
+    """``by, best_key, best_score, margin, verdict``: verified, ambiguous (margin under delta), unresolved (score under tau)."""
+    two = top.where(F.col("rank") <= 2).groupBy(*by).agg(
         F.max(F.when(F.col("rank") == 1, F.col(corpus_key))).alias("best_key"), F.max(F.when(F.col("rank") == 1, F.col(score))).alias("best_score"), F.max(F.when(F.col("rank") == 2, F.col(score))).alias("_second"),
     )
     margin = F.round(F.col("best_score") - F.col("_second"), 6)
-    return two.select("cand_norm", "best_key", "best_score", margin.alias("margin"), verdict(F.col("best_score"), margin, tau, delta).alias("verdict"))
+    return two.select(*by, "best_key", "best_score", margin.alias("margin"), verdict(F.col("best_score"), margin, tau, delta).alias("verdict"))
 
 
 def verdict(best: Column, margin: Column, tau: float | Column, delta: float | Column) -> Column:

@@ -134,36 +134,42 @@ def event_reply_parse(spark: SparkSession, d: str) -> DataFrame:
 SQL["event_reply_parse"] = "SELECT event_type, count(props) AS n_parsed, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k FROM events GROUP BY ALL"
 
 
-def _best(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = entities(spark, d, "ayah").where(F.lower(F.trim("usage")) == "quotation").select("entity_id", "text", "surah_number", "ayah_number")
-    c = table(spark, d, "canon").where(F.col("kind") == "ayah")
-    top = matching.ranked(matching.lexical_pairs(e, c, "text", "canon_key", "text"), "canon_key", "lexical")
-    return e.withColumn("cand_norm", T.for_matching(F.col("text"))), top
+#: A text to be grounded is known by its kind and itself.
+CANDIDATE = ("etype", "text")
+
+
+def _cited(spark: SparkSession, d: str) -> DataFrame:
+    """Verses and duas of any usage, with the key of the corpus that their single reference proposes."""
+    verse = F.expr("CASE WHEN try_cast(surah_number AS int) IS NOT NULL AND try_cast(ayah_number AS int) IS NOT NULL THEN format_string('CH%03d_V%03d', try_cast(surah_number AS int), try_cast(ayah_number AS int)) END")
+    return entities(spark, d, "ayah", "dua").select("entity_id", "usage", *CANDIDATE, F.when(F.col("etype") == "dua", F.trim("reference")).otherwise(verse).alias("proposed"))
+
+
+def _matches(spark: SparkSession, d: str, e: DataFrame, alphas: list[float], top: int = matching.TOP) -> DataFrame:
+    """The best entries of each text in its own kind of canon."""
+    return matching.best_matches(e, table(spark, d, "canon"), *CANDIDATE, "kind", "canon_key", "text", alphas=alphas, top=top)
 
 
 @_q
 def ground_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Quoted verses grounded in the corpus: best entry, score, margin, verdict, and whether it is the proposed one."""
-    e, top = _best(spark, d)
-    got = matching.decisions(top, "canon_key", "lexical", 0.5, 0.02)
-    proposed = F.expr("CASE WHEN try_cast(surah_number AS int) IS NOT NULL AND try_cast(ayah_number AS int) IS NOT NULL THEN format_string('CH%03d_V%03d', try_cast(surah_number AS int), try_cast(ayah_number AS int)) END")
-    j = e.join(got, "cand_norm", "left")
-    return j.select("entity_id", "best_key", "best_score", "margin", F.coalesce("verdict", F.lit("unresolved")).alias("verdict"), F.when(F.col("verdict") == "verified", F.when(proposed == F.col("best_key"), "confirmed").otherwise("alternative_reference_selected")).alias("outcome"))
+    """Verses and duas of every usage grounded in the corpus of their kind: best entry, score, margin, verdict, and whether it is the proposed one."""
+    e = _cited(spark, d)
+    got = matching.decisions(_matches(spark, d, e, [1.0], 2), "canon_key", "score", 0.5, 0.02, CANDIDATE)
+    j = e.join(got, [*CANDIDATE], "left")
+    return j.select("entity_id", "best_key", "best_score", "margin", F.coalesce("verdict", F.lit("unresolved")).alias("verdict"), F.when(F.col("verdict") == "verified", F.when(F.col("proposed") == F.col("best_key"), "confirmed").otherwise("alternative_reference_selected")).alias("outcome"))
 
 
 @_q
 def match_top5(spark: SparkSession, d: str) -> DataFrame:
-    """The five best corpus entries of each distinct quoted text."""
-    return _best(spark, d)[1].select(F.sha2("cand_norm", 256).alias("candidate"), "canon_key", "lexical", "rank")
+    """The five best entries, in the corpus of its kind, of each distinct text of a verse or dua."""
+    return _matches(spark, d, _cited(spark, d), [1.0]).select("etype", F.sha2("text", 256).alias("candidate"), "canon_key", "lexical", "rank")
 
 
 @_q
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """The fifteen best settings of threshold and margin on the quoted verses with a single reference."""
-    e, top = _best(spark, d)
-    got = matching.decisions(top, "canon_key", "lexical", 0.0, 0.0)
-    gold = F.expr("CASE WHEN try_cast(surah_number AS int) IS NOT NULL AND try_cast(ayah_number AS int) IS NOT NULL THEN format_string('CH%03d_V%03d', try_cast(surah_number AS int), try_cast(ayah_number AS int)) END")
-    g = matching.grid(e.join(got, "cand_norm", "left").withColumn("gold_key", gold), [round(0.3 + 0.05 * i, 2) for i in range(14)], [0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2])
+    """The fifteen best settings of threshold and margin on the quoted verses and duas."""
+    e = _cited(spark, d).where(F.lower(F.trim("usage")) == "quotation").withColumnRenamed("proposed", "gold_key")
+    got = matching.decisions(_matches(spark, d, e, [1.0], 2), "canon_key", "score", 0.0, 0.0, CANDIDATE)
+    g = matching.grid(e.join(got, [*CANDIDATE], "left"), [round(0.3 + 0.05 * i, 2) for i in range(14)], [0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2])
     return g.orderBy(F.desc("f1"), "wrong", F.desc("tau"), "delta").limit(15)
 
 

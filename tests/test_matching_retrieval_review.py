@@ -29,6 +29,39 @@ def candidates_by_product(spark, cand, corpus, T):
     return {(r.c, r.key): r.x for r in j.collect()}
 
 
+def test_best_matches_against_the_whole_product(spark):
+    from tessera.functions import text as T
+    from tessera.operators.ports import hashed_embedding
+
+    corpus = spark.createDataFrame([("ayah", "k1", "النهر طويل جدا هنا"), ("ayah", "k2", "النهر طويل جدا هناك"), ("ayah", "k3", "باب"), ("ayah", "k4", None), ("dua", "d1", "باب الدار"), ("dua", "d2", "نور نور")], "kind string, key string, t string")
+    cand = spark.createDataFrame([("ayah", "النَّهرُ طويلٌ جدا هنا"), ("ayah", "بابا"), ("dua", "بابا"), ("dua", "نور نور نور"), ("dua", " "), ("ayah", None), ("ayah", "بابا")], "etype string, text string")
+    got = {(r.etype, r.text, r.alpha, r.key): (r.rank, r.score) for r in matching.best_matches(cand, corpus, "etype", "text", "kind", "key", "t", alphas=[0.0, 0.7, 1.0]).collect()}
+    pairs = cand.distinct().where("trim(text) <> ''").join(corpus.where("t is not null"), F.col("etype") == F.col("kind")).withColumn("n", T.for_matching(F.col("text"))).withColumn("m", T.for_matching(F.col("t")))
+    n, m = F.col("n"), F.col("m")
+    lexical = {(r.etype, r.text, r.key): (r.x, r.t) for r in pairs.select("etype", "text", "key", "t", ((T.edit_score(n, m) + T.token_f1(T.words(n), T.words(m))) / 2).alias("x")).collect()}
+    assert len(lexical) == 3 + 3 + 2 + 2
+    for alpha in (0.0, 0.7, 1.0):
+        want = {}
+        for (kind, text, key), (x, t) in lexical.items():
+            a, b = hashed_embedding([text, t]).astype(float)
+            want.setdefault((kind, text), []).append((-round(alpha * x + (1 - alpha) * float(a @ b), 6), key))
+        for (kind, text), rows in want.items():
+            for rank, (s, key) in enumerate(sorted(rows), 1):
+                assert got[kind, text, alpha, key] == (rank, pytest.approx(-s, abs=2e-6))
+    assert len(got) == 3 * len(lexical)
+
+
+def test_every_verse_and_dua_is_grounded(spark, data):
+    from tessera.plans.scalars import QUERIES
+
+    cited = spark.read.parquet(f"{data}/entities.parquet").where("etype in ('ayah', 'dua')")
+    got = QUERIES["ground_candidates"](spark, data).collect()
+    assert sorted(r.entity_id for r in got) == sorted(r[0] for r in cited.select("entity_id").distinct().collect())
+    kinds = {r.entity_id: r.etype for r in cited.collect()}
+    assert all(r.best_key.startswith("D" if kinds[r.entity_id] == "dua" else "CH") for r in got if r.best_key)
+    assert all(r.best_key for r in got if r.entity_id in {x.entity_id for x in cited.where("trim(text) <> ''").collect()})
+
+
 def test_verdicts_and_grid(spark):
     df = spark.createDataFrame([(0.9, 0.01), (0.9, None), (0.4, 0.3), (None, None)], "b double, m double")
     assert [r[0] for r in df.select(matching.verdict(F.col("b"), F.col("m"), 0.5, 0.02)).collect()] == ["ambiguous", "verified", "unresolved", "unresolved"]
