@@ -119,13 +119,13 @@ def verdict(best: Column, margin: Column, tau: float | Column, delta: float | Co
     return F.when(best.isNull() | (best < tau), "unresolved").when(margin < delta, "ambiguous").otherwise("verified")
 
 
-def grid(best: DataFrame, taus: list[float], deltas: list[float]) -> DataFrame:
-    """Counts and F1 by (tau, delta) of candidates ``best_key, best_score, margin, gold_key`` (null: should be rejected)."""
+def grid(best: DataFrame, taus: list[float], deltas: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and F1 by (tau, delta), and the columns ``by``, of candidates ``best_key, best_score, margin, gold_key`` (null: should be rejected)."""
     points = F.explode(F.array(*[F.struct(F.lit(t).alias("tau"), F.lit(d).alias("delta")) for t in taus for d in deltas])).alias("g")
     kept = (F.col("best_score") >= F.col("g.tau")) & (F.col("margin").isNull() | (F.col("margin") >= F.col("g.delta")))
     right = kept & (F.col("best_key") == F.col("gold_key"))
-    n = best.select("best_key", "best_score", "margin", "gold_key", points).groupBy("g.tau", "g.delta").agg(
+    n = best.select(*by, "best_key", "best_score", "margin", "gold_key", points).groupBy(*by, "g.tau", "g.delta").agg(
         F.count_if(F.coalesce(right, F.lit(False))).alias("correct"), F.count_if(kept & ~F.coalesce(right, F.lit(False))).alias("wrong"), F.count_if(F.col("gold_key").isNotNull()).alias("positives"),
     )
     p, r = F.try_divide(F.col("correct"), F.col("correct") + F.col("wrong")), F.try_divide(F.col("correct"), F.col("positives"))
-    return n.select("tau", "delta", "correct", "wrong", "positives", F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
+    return n.select(*by, "tau", "delta", "correct", "wrong", "positives", F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))

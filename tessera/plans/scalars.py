@@ -136,6 +136,8 @@ SQL["event_reply_parse"] = "SELECT event_type, count(props) AS n_parsed, CAST(su
 
 #: A text to be grounded is known by its kind and itself.
 CANDIDATE = ("etype", "text")
+#: Weight of the lexical score, as the reference has it; the sweep tries all.
+ALPHA, ALPHAS = 0.7, [round(0.1 * i, 1) for i in range(11)]
 
 
 def _cited(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +155,7 @@ def _matches(spark: SparkSession, d: str, e: DataFrame, alphas: list[float], top
 def ground_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Verses and duas of every usage grounded in the corpus of their kind: best entry, score, margin, verdict, and whether it is the proposed one."""
     e = _cited(spark, d)
-    got = matching.decisions(_matches(spark, d, e, [1.0], 2), "canon_key", "score", 0.5, 0.02, CANDIDATE)
+    got = matching.decisions(_matches(spark, d, e, [ALPHA], 2), "canon_key", "score", 0.5, 0.02, CANDIDATE)
     j = e.join(got, [*CANDIDATE], "left")
     return j.select("entity_id", "best_key", "best_score", "margin", F.coalesce("verdict", F.lit("unresolved")).alias("verdict"), F.when(F.col("verdict") == "verified", F.when(F.col("proposed") == F.col("best_key"), "confirmed").otherwise("alternative_reference_selected")).alias("outcome"))
 
@@ -161,16 +163,17 @@ def ground_candidates(spark: SparkSession, d: str) -> DataFrame:
 @_q
 def match_top5(spark: SparkSession, d: str) -> DataFrame:
     """The five best entries, in the corpus of its kind, of each distinct text of a verse or dua."""
-    return _matches(spark, d, _cited(spark, d), [1.0]).select("etype", F.sha2("text", 256).alias("candidate"), "canon_key", "lexical", "rank")
+    return _matches(spark, d, _cited(spark, d), [ALPHA]).select("etype", F.sha2("text", 256).alias("candidate"), "canon_key", "lexical", "semantic", "score", "rank")
 
 
 @_q
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """The fifteen best settings of threshold and margin on the quoted verses and duas."""
+    """The fifteen best settings of lexical weight, threshold and margin on the quoted verses and duas."""
     e = _cited(spark, d).where(F.lower(F.trim("usage")) == "quotation").withColumnRenamed("proposed", "gold_key")
-    got = matching.decisions(_matches(spark, d, e, [1.0], 2), "canon_key", "score", 0.0, 0.0, CANDIDATE)
-    g = matching.grid(e.join(got, [*CANDIDATE], "left"), [round(0.3 + 0.05 * i, 2) for i in range(14)], [0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2])
-    return g.orderBy(F.desc("f1"), "wrong", F.desc("tau"), "delta").limit(15)
+    got = matching.decisions(_matches(spark, d, e, ALPHAS, 2), "canon_key", "score", 0.0, 0.0, ("alpha", *CANDIDATE))
+    tried = e.withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS))))
+    g = matching.grid(tried.join(got, ["alpha", *CANDIDATE], "left"), [round(0.3 + 0.05 * i, 2) for i in range(14)], [0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2], ("alpha",))
+    return g.orderBy(F.desc("f1"), "wrong", F.desc("tau"), "delta", "alpha").limit(15)
 
 
 @_q

@@ -62,6 +62,19 @@ def test_every_verse_and_dua_is_grounded(spark, data):
     assert all(r.best_key for r in got if r.entity_id in {x.entity_id for x in cited.where("trim(text) <> ''").collect()})
 
 
+def test_semantic_score_and_weight_of_the_sweep(spark, data):
+    from tessera.plans.scalars import ALPHA, QUERIES
+
+    rows = QUERIES["match_top5"](spark, data).collect()
+    assert any(r.semantic != r.lexical for r in rows) and all(r.score == pytest.approx(ALPHA * r.lexical + (1 - ALPHA) * r.semantic, abs=3e-6) for r in rows)
+    best = spark.createDataFrame([(0.2, "a", 0.9, 0.5, "a"), (0.8, "b", 0.9, 0.5, "a")], "alpha double, best_key string, best_score double, margin double, gold_key string")
+    assert {r.alpha: (r.correct, r.wrong) for r in matching.grid(best, [0.5], [0.0], ("alpha",)).collect()} == {0.2: (1, 0), 0.8: (0, 1)}
+    sweep = QUERIES["threshold_sweep"](spark, data).collect()
+    quoted = spark.read.parquet(f"{data}/entities.parquet").where("etype in ('ayah', 'dua') and lower(trim(usage)) = 'quotation'").dropDuplicates(["entity_id"])
+    gold = quoted.where("etype = 'dua' and reference is not null or try_cast(surah_number as int) is not null and try_cast(ayah_number as int) is not null").count()
+    assert len(sweep) == 15 and {r.positives for r in sweep} == {gold} and {r.alpha for r in sweep} <= {x / 10 for x in range(11)}
+
+
 def test_verdicts_and_grid(spark):
     df = spark.createDataFrame([(0.9, 0.01), (0.9, None), (0.4, 0.3), (None, None)], "b double, m double")
     assert [r[0] for r in df.select(matching.verdict(F.col("b"), F.col("m"), 0.5, 0.02)).collect()] == ["ambiguous", "verified", "unresolved", "unresolved"]
