@@ -140,6 +140,18 @@ def found_pairs(segments: DataFrame, entities: DataFrame) -> DataFrame:
     return same_look(of_segment.unionByName(of_entity), ["item_kind", "item_key"], "one", "other")
 
 
+def forms(segments: DataFrame, entities: DataFrame) -> DataFrame:
+    """``item_kind, item_key, form`` of every segment text, entity text and canonical text of an entity; null for null.
+
+    Kinds are ``segment``, ``entity_text`` and ``entity_canonical_text``; redelivered rows count once.
+    """
+    of = lambda df, kind, key, text: df.select(F.lit(kind).alias("item_kind"), F.col(key).cast("bigint").alias("item_key"), F.col(text).alias("_text"))
+    s = segments.select("seg_key", "text").dropDuplicates(["seg_key"])
+    e = entities.select("entity_id", "text", "canonical_text").dropDuplicates(["entity_id"])
+    items = of(s, "segment", "seg_key", "text").unionByName(of(e, "entity_text", "entity_id", "text")).unionByName(of(e, "entity_canonical_text", "entity_id", "canonical_text"))
+    return canonical(items, ["item_kind", "item_key"], "_text", "form").select("item_kind", "item_key", "form")
+
+
 def recomposed(cs: Column) -> Column:
     """String of code points with classes: marks ordered by class within a sequence and recomposed."""
     pairs = compositions()

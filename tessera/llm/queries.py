@@ -58,6 +58,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.found_pairs(table(spark, d, "segments"), table(spark, d, "entities"))
 
 
+def p7_forms(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.forms(table(spark, d, "segments"), table(spark, d, "entities"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -74,7 +78,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.found_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p1_languages": p1_languages, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p1_languages": p1_languages, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p6_found": """

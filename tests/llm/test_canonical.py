@@ -47,3 +47,16 @@ def test_found_pairs(spark):
     e = spark.createDataFrame([(1, "ayah", "كي", "کی"), (2, "hadith", "كي", "کی"), (3, "dua", "a", None), (4, "ayah", "ab", "abc")], "entity_id long, etype string, text string, canonical_text string")
     assert {tuple(r) for r in C.found_pairs(s, e).collect()} == {("segment", 2), ("entity", 1)}
     assert C.found_pairs(s.limit(0), e.limit(0)).count() == 0
+
+
+def test_forms_of_every_text(spark):
+    from tessera.llm import canonical, queries
+
+    segments = spark.createDataFrame([(1, "v0", "caf\u0065\u0301"), (1, "v0", "caf\u0065\u0301"), (2, "v1", "ab\u200cc"), (3, "v2", "plain"), (4, "v3", None), (5, "v2", "")], "seg_key long, version string, text string")
+    entities = spark.createDataFrame([(1, "hadith", "\uff41b", None), (1, "hadith", "\uff41b", None), (2, "topic", "x", "x\u00a0y")], "entity_id long, etype string, text string, canonical_text string")
+    rows = canonical.forms(segments, entities).collect()
+    got = {(r.item_kind, r.item_key): r.form for r in rows}
+    assert len(rows) == len(got) == 9
+    assert [got["segment", i] for i in range(1, 6)] == ["caf\u00e9", "abc", "plain", None, ""]
+    assert got["entity_text", 1] == "ab" and got["entity_canonical_text", 1] is None and got["entity_canonical_text", 2] == "x y"
+    assert "p7_forms" in queries.QUERIES
