@@ -32,7 +32,7 @@ MIN_COUNT, MIN_SUPPORT, MIN_CONFIDENCE, MAX_WORDS = 3, 2e-5, 0.35, 2
 #: A telling word has this share of its occurrences in one subject, and this many times the subject's own share.
 TELLING_SHARE, TELLING_LIFT = 0.35, 1.8
 SHARE = 0.25
-#: Telling words of one sentence that enter a transaction, the most telling first; bounds the patterns per sentence.
+#: Sentences of more telling words don't go into pattern growth, whose patterns double with each word; their sets are counted directly.
 MAX_ITEMS = 8
 
 
@@ -65,10 +65,7 @@ class Rules:
     calibration: list[float] = field(default_factory=lambda: [i / 10 for i in range(11)])
 
     def known(self, sentence: list[str]) -> list[str]:
-        got = [w for w in sentence if w in self.telling]
-        if len(got) > MAX_ITEMS:
-            got = sorted(got, key=lambda w: (-self.telling[w], w))[:MAX_ITEMS]
-        return sorted(got)
+        return sorted(w for w in sentence if w in self.telling)
 
     def evidence(self, sentence: list[str]) -> tuple[str | None, float]:
         """Subject with most evidence and that evidence: noisy-or over the rules that match, as a share of all subjects'."""
@@ -174,6 +171,52 @@ def _transactions(docs: DataFrame, telling) -> DataFrame:
     return docs.select("text", "lang", "subject").mapInArrow(run, "items array<string>")
 
 
+def _set_counts(transactions: DataFrame) -> DataFrame:
+    """``words, subject, freq``: sentences that hold each set of at most MAX_WORDS words, by their subject."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([list(a) for a, _ in n], pa.list_(pa.string())), pa.array([c for _, c in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["words", "subject", "freq"])
+            n.clear()
+            return out
+
+        for b in _slices(it):
+            for *got, subject in b.column(0).to_pylist():
+                for k in range(1, MAX_WORDS + 1):
+                    n.update((a, subject[1:]) for a in combinations(got, k))
+                if len(n) > 100_000:
+                    yield flush()
+        yield flush()
+
+    return transactions.mapInArrow(run, "words array<string>, subject string, freq bigint").groupBy("words", "subject").agg(F.sum("freq").alias("freq"))
+
+
+def _frequent(base: DataFrame, least: int) -> DataFrame:
+    """``words, subject, freq, all``: sets of at most MAX_WORDS words that at least ``least`` sentences of a subject hold, and all that hold them.
+
+    Frequent-pattern growth gives the sets that no long sentence holds; those that one holds are counted in all sentences.
+    """
+    long = F.size("items") > MAX_ITEMS + 1
+    short = base.where(~long)
+    in_long = checkpoint(_set_counts(base.where(long)))
+    held = in_long.select("words").distinct()
+    counted = _set_counts(short).join(held, "words", "left_semi").unionByName(in_long).groupBy("words", "subject").agg(F.sum("freq").alias("freq"))
+    whole = counted.groupBy("words").agg(F.sum("freq").alias("all"))
+    exact = counted.where(F.col("freq") >= least).join(whole, "words").select("words", "subject", "freq", "all")
+    n = short.count()
+    if n < least:
+        return exact
+    # Only sets with one subject and at most MAX_WORDS words can become rules.
+    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=MIN_CONFIDENCE).fit(short).freqItemsets
+    fit = sets.where(F.size("items") <= MAX_WORDS + 1).withColumn("subject", F.filter("items", lambda x: x.startswith("\0"))).withColumn("words", F.array_sort(F.filter("items", lambda x: ~x.startswith("\0"))))
+    fit = fit.where((F.size("words") >= 1) & (F.size("words") <= MAX_WORDS))
+    every = fit.where(F.size("subject") == 0).select("words", F.col("freq").alias("all"))
+    grown = fit.where(F.size("subject") == 1).select("words", F.substring(F.col("subject")[0], 2, 1_000).alias("subject"), "freq").join(every, "words").join(held, "words", "left_anti")
+    return grown.select("words", "subject", "freq", "all").unionByName(exact)
+
+
 def mine(docs: DataFrame) -> Rules:
     """Rules from the sentences of ``docs`` (text cut up, lang, subject; none null but lang)."""
     sc = docs.sparkSession.sparkContext
@@ -185,16 +228,10 @@ def mine(docs: DataFrame) -> Rules:
     n = base.count()
     if not n:
         return out
-    support = min(1.0, max(MIN_COUNT / n, MIN_SUPPORT))
-    # Only sets with one subject and at most MAX_WORDS words can become rules.
-    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(base).freqItemsets
-    fit = sets.where(F.size("items") <= MAX_WORDS + 1).withColumn("subject", F.filter("items", lambda x: x.startswith("\0"))).withColumn("words", F.array_sort(F.filter("items", lambda x: ~x.startswith("\0"))))
-    fit = fit.where((F.size("words") >= 1) & (F.size("words") <= MAX_WORDS))
-    whole = fit.where(F.size("subject") == 0).select("words", F.col("freq").alias("all"))
-    rows = fit.where(F.size("subject") == 1).select("words", F.col("subject")[0].alias("subject"), "freq").join(whole, "words").where(F.col("freq") >= MIN_CONFIDENCE * F.col("all"))
+    rows = _frequent(base, max(MIN_COUNT, math.ceil(MIN_SUPPORT * n))).where(F.col("freq") >= MIN_CONFIDENCE * F.col("all"))
     raw: dict[tuple[str, ...], dict[str, float]] = {}
     for r in rows.toLocalIterator():
-        raw.setdefault(tuple(r.words), {})[r.subject[1:]] = (r.freq + 0.2) / (r["all"] + 1.0)
+        raw.setdefault(tuple(r.words), {})[r.subject] = (r.freq + 0.2) / (r["all"] + 1.0)
     for a, by in raw.items():
         for c, p in by.items():
             shorter = [raw.get(x, {}).get(c, 0.0) for k in range(1, len(a)) for x in combinations(a, k)]

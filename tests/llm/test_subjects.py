@@ -40,3 +40,26 @@ def test_empty_tables(spark):
 def test_redundant_rules_are_pruned_and_longer_ones_win():
     r = S.Rules(by_words={("a",): {"x": 0.9}, ("a", "b"): {"y": 0.95}}, telling={"a": 1.0, "b": 1.0})
     assert r.evidence(["a"])[0] == "x" and r.evidence(["a", "b"])[0] == "y" and r.evidence(["c"]) == (None, 0.0)
+
+
+def test_all_telling_words_count(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    from tessera.llm import subjects
+
+    ws = [f"\tw{i:02d}" for i in range(12)]
+    rules = subjects.Rules({(ws[11],): {"law": 0.9}}, {w: float(12 - i) for i, w in enumerate(ws)})
+    assert rules.known(ws) == ws and rules.evidence(ws)[0] == "law"
+
+    sents = [(ws, "law")] * 2 + [(ws[:3], "law"), (ws[1:3], "art"), (ws[9:], "law"), (ws[:10], "art")] + [(["\tx", "\ty"], "art")] * 3
+    base = spark.createDataFrame([([*a, "\0" + c],) for a, c in sents], "items array<string>")
+    n, whole = Counter(), Counter()
+    for a, c in sents:
+        for k in (1, 2):
+            for x in combinations(a, k):
+                n[x, c] += 1
+                whole[x] += 1
+    rows = subjects._frequent(base, 3).collect()
+    assert len(rows) == len({(tuple(r.words), r.subject) for r in rows})
+    assert {(tuple(r.words), r.subject): (r.freq, r["all"]) for r in rows} == {(x, c): (k, whole[x]) for (x, c), k in n.items() if k >= 3}
