@@ -120,7 +120,7 @@ def learn(counts: list[tuple[str, str, str, int]]) -> Model:
             if "." in t and letters <= 4 and all(len(x) <= 2 for x in t.split(".")):
                 found.add(t)
                 continue
-            if inside < MIN_COUNT or letters > 5 or not letters:
+            if inside < MIN_COUNT or not letters:
                 continue
             # The mark stays inside a line more often than those of other words, the word seldom comes without it,
             # and what follows is often a number or lower case.
@@ -159,12 +159,15 @@ def _count_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(texts: DataFrame, text: str, lang: str) -> Model:
     """Counts over every row of ``texts``; only types that occur with a mark or after a sure end reach the driver.
 
-    Those types are cut to the ones that can pass the thresholds (at most 5 letters, or starters with a count of 3),
-    whose number is bounded by the inventory of short words of the languages, not by the rows.
+    Those types are cut to the ones that can pass the thresholds (at most 5 letters, longer ones by the same
+    ratios as in ``learn``, or starters with a count of 3), whose number is bounded by the inventory of the languages, not by the rows.
     """
     counts = texts.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(_count_batches, "lang string, kind string, word string, n bigint").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
     wide = counts.groupBy("lang", "word").pivot("kind", ["w", "p", "e", "s", "c"]).agg(F.sum("n")).fillna(0)
-    able = ((F.col("p") > 0) & (F.char_length(F.regexp_replace("word", r"[^\p{L}]", "")) <= 5)) | (F.col("s") >= 3)
+    short = F.char_length(F.regexp_replace("word", r"[^\p{L}]", "")) <= 5
+    marked = F.col("p") + F.col("e")
+    passes = (F.col("p") >= MIN_COUNT) & (marked >= 0.5 * F.col("w")) & (F.col("p") > 0.9 * marked)
+    able = ((F.col("p") > 0) & short) | passes | (F.col("s") >= 3)
     totals = wide.groupBy("lang").agg(*[F.sum(k).alias(k) for k in "wpesc"]).collect()
     rows = [(r.lang, k, r.word, r[k]) for r in wide.where(able).toLocalIterator() for k in "wpesc" if r[k]]
     seen: Counter = Counter()

@@ -72,3 +72,11 @@ def test_operator(spark, matrix):
     empty = spark.createDataFrame([], "k long, text string")
     tagged = S.with_language(empty, "k", "text", matrix)
     assert S.sentences(tagged, "k", S.train(tagged, "_text", "lang")).count() == 0
+
+
+def test_learned_abbreviation_of_six_letters(spark):
+    ends = ["They left early.", "We came today.", "It hangs on the wall."]
+    rows = [(i, f"Name{i % 7} read approx. {i} pages. {ends[i % 3]} {ends[(i + i // 3) % 3]}", "en") for i in range(90)]
+    m = S.train(spark.createDataFrame(rows, "k long, t string, lang string"), "t", "lang")
+    assert "approx" in m.abbreviations["en"] and "today" not in m.abbreviations["en"]
+    assert len(S.split("He read approx. 40 words. We ended.", "en", m)) == 2
