@@ -26,7 +26,7 @@ from tessera.llm.textcodes import plain
 
 DEFECTS = ("empty", "refusal", "copy", "truncated", "other_language")
 SIZE, ENDS = 1 << 20, 1 << 22
-#: Words of the longest answer that can be a refusal.
+#: Words in which a refusal is looked for at once; a longer answer is taken in windows of so many, each half over the one before.
 SHORT = 60
 NEAR = 8
 _THINK = re.compile(r"<think>.*?(?:</think>|$)", re.S)
@@ -132,6 +132,10 @@ def complete_sentences(text: str) -> Iterator[list[str]]:
                 yield ws
 
 
+def windows(ws: list[str]) -> list[list[str]]:
+    return [ws] if len(ws) <= SHORT else [ws[i : i + SHORT] for i in range(0, len(ws) - SHORT // 2, SHORT // 2)]
+
+
 @dataclass
 class Model:
     ends: np.ndarray  # ENDS x 2: at the end, before the end
@@ -155,7 +159,7 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not ws:
                 continue
             sents.extend(complete_sentences(text))
-            if answerable is not None and len(ws) <= SHORT:
+            if answerable is not None:
                 sides[0 if answerable is False else 1].append(ws)
         for i, parts in enumerate(sides):
             totals[i] += len(parts)
@@ -304,8 +308,10 @@ def defects(reviews: DataFrame, key: str, question: str, answer: str, answerable
             keys, qs, answers, oks = (b.column(i).to_pylist() for i in range(4))
             lang = [langid._best(x)[0] for x in langid.shares([plain(q or "") for q in qs], matrix)] if keys else []
             said = [langid._best(x)[0] for x in langid.shares([body(a) for a in answers], matrix)] if keys else []
-            told = [words(_LABEL.sub("", body(a), count=1)) for a in answers]
-            scores = refusal_scores(model, [w if len(w) <= SHORT else [] for w in told])
+            told = [windows(words(_LABEL.sub("", body(a), count=1))) for a in answers]
+            of = np.repeat(np.arange(len(told)), [len(x) for x in told])
+            scores = np.full(len(told), -np.inf)
+            np.maximum.at(scores, of, np.asarray(refusal_scores(model, [w for x in told for w in x]), np.float64))
             found = [defect(model, q, a, ok, (l1, l2), float(r)) for q, a, ok, l1, l2, r in zip(qs, answers, oks, lang, said, scores)]
             hit = [i for i, x in enumerate(found) if x]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit, pa.int32())), pa.array([found[i] for i in hit], pa.string())], names=[key, "defect"])

@@ -50,3 +50,12 @@ def test_vector_counts_equal_plain_ones():
 def test_very_long_answer(spark, documents):
     df = frame(spark, [*ROWS, ("What did the speaker say about the next page?", "The lesson explains the market of the river clearly. " * 20_000, True)])
     assert P.defects(df, "review_id", "q", "a", "ok", documents).where("review_id = 80").count() == 0
+
+
+def test_long_refusal(spark, documents):
+    assert [len(w) for w in P.windows(["a"] * 131)] == [60, 60, 60, 41] and P.windows(["a"] * 60) == [["a"] * 60]
+    q = "What did the speaker say about the next page?"
+    plea, lesson = "I'm sorry, but I cannot answer this from the notes. ", "The lesson explains the market of the river clearly. "
+    df = frame(spark, [*ROWS * 6, (q, plea * 8, True), (q, plea * 8, False), (q, lesson * 12, True), (q, lesson * 12 + plea * 8, True)])
+    got = {r.review_id: r.defect for r in P.defects(df, "review_id", "q", "a", "ok", documents).where("review_id >= 480").collect()}
+    assert got == {480: "refusal", 483: "refusal"}
