@@ -2,27 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import difflib
+import functools
+from collections.abc import Callable
 
-from tessera.functions.text import sequence_ratio
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 LIKE = 0.6
 
 
+@functools.lru_cache(maxsize=4096)
+def _places(text: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence, which no sum of matching blocks exceeds."""
+    places, whole = _places(a), (1 << len(a)) - 1
+    v = whole
+    for c in b:
+        u = v & places.get(c, 0)
+        v = (v + u | v - u) & whole
+    return len(a) - v.bit_count()
+
+
+def _ratio(least: float) -> Callable[[Column, Column], Column]:
+    """Ratio of matching blocks of two names, null where it is surely under ``least``."""
+
+    def one(a: str, b: str) -> float | None:
+        a, b = a.lower(), b.lower()
+        return difflib.SequenceMatcher(None, a, b).ratio() if 2 * common_letters(a, b) >= least * (len(a) + len(b)) else None
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([one(a, b) for a, b in zip(x, y)], dtype="float64")
+
+    run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "double")
+
+
 def merge_proposals(topics: DataFrame, least: float = LIKE) -> DataFrame:
     """``a, b, similarity`` of topics (slug, name) whose names are at least so alike, a before b; names equal but for case are none.
 
-    Only names that share three characters in a row are compared: without those no two names reach the least likeness but
-    by scattered letters.
+    All pairs are compared; only those that by their lengths or their longest common subsequence can't be so alike are left out.
     """
-    t = topics.select("slug", "name", F.lower("name").alias("_l")).dropDuplicates(["slug"]).where(F.char_length("_l") >= 3)
-    grams = t.withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("_l") - 2), lambda i: F.substring("_l", i, F.lit(3))))))
-    left, right = grams.select(F.col("slug").alias("a"), "_g", F.col("name").alias("an"), F.col("_l").alias("al")), grams.select(F.col("slug").alias("b"), "_g", F.col("name").alias("bn"), F.col("_l").alias("bl"))
-    n, m = F.char_length("al"), F.char_length("bl")
-    possible = (F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & (2 * F.least(n, m) >= least * (n + m))
-    pairs = left.join(right, "_g").where(possible).select("a", "b", "an", "bn").distinct()
-    return pairs.withColumn("similarity", F.round(sequence_ratio("an", "bn"), 3)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    t = topics.select("slug", "name", F.lower("name").alias("_l")).dropDuplicates(["slug"]).where(F.col("_l") != "")
+    spark = topics.sparkSession
+    parts = max(4, round(spark.sparkContext.defaultParallelism**0.5) * 2)
+    side = lambda x: t.select(F.col("slug").alias(x), F.col("name").alias(f"{x}n"), F.col("_l").alias(f"{x}l")).repartition(parts)
+    n, m, floor = F.char_length("al"), F.char_length("bl"), least - 0.001  # the likeness is rounded
+    possible = (F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & (2 * F.least(n, m) >= floor * (n + m))
+    pairs = side("a").join(side("b"), possible)
+    return pairs.withColumn("similarity", F.round(_ratio(floor)("an", "bn"), 3)).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
 def decided(proposals: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -79,3 +79,16 @@ def test_ask_retries(spark):
 
     got = {r.id: (r.reply, r.tries, r.status) for r in ports.ask(df, "id", F.col("t"), model).collect()}
     assert got == {1: ("FINE", 1, "ok"), 2: (None, 3, "refused by the check"), 3: (None, 0, "no prompt"), 4: (None, 3, "TimeoutError")}
+
+
+def test_merge_proposals_against_the_whole_product(spark):
+    import difflib
+    import random
+
+    rng = random.Random(1)
+    names = ["ab-cd-ef-gh", "abxcdxefxgh", "no", "on", "ns", "The River", "the river"] + ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 9))) + "x" for _ in range(40)]
+    t = spark.createDataFrame([(f"s{i:02d}", n) for i, n in enumerate(names)], "slug string, name string")
+    ratio = lambda a, b: round(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), 3)
+    want = {(f"s{i:02d}", f"s{j:02d}"): r for i, a in enumerate(names) for j, b in enumerate(names) if i < j and a.lower() != b.lower() and (r := ratio(a, b)) >= 0.6}
+    assert ("s00", "s01") in want  # no three letters in a row are shared
+    assert {(r.a, r.b): r.similarity for r in topics.merge_proposals(t).collect()} == want
