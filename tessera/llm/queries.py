@@ -44,7 +44,19 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_pieces(spark, d).where(F.col("piece_no") == 0).select("seg_key", "cut")
+    return splitting.text_cuts(p5_pieces(spark, d), "seg_key")
+
+
+def p5_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Of each oversized text whether its pieces keep the limit, share the overlap, hold every code point in order and are timed within bounds."""
+    p = p5_pieces(spark, d).groupBy("seg_key").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", "piece", "start_at"))).alias("ps"))
+    follow = F.zip_with(F.slice("ps", 1, F.size("ps") - 1), F.slice("ps", 2, F.size("ps") - 1), lambda a, b: (a["end_pos"] - b["start_pos"] == splitting.OVERLAP) & (b["piece_no"] == a["piece_no"] + 1))
+    whole = F.aggregate("ps", F.lit(""), lambda t, x: F.concat(t, F.substring(x["piece"], F.when(x["piece_no"] == 0, 1).otherwise(splitting.OVERLAP + 1), F.lit(splitting.LIMIT))))
+    s = _v2(spark, d).select("seg_key", "text", "start_s", "end_s").dropDuplicates(["seg_key"])
+    lo, hi = F.coalesce(F.least("start_s", "end_s"), "start_s", "end_s"), F.coalesce(F.greatest("start_s", "end_s"), "start_s", "end_s")
+    timed = F.forall("ps", lambda x: x["start_at"].isNull() & lo.isNull() | x["start_at"].between(lo, hi))
+    within = F.forall("ps", lambda x: F.char_length(x["piece"]) <= splitting.LIMIT)
+    return p.join(s, "seg_key").select("seg_key", F.char_length("text").alias("n_chars"), within.alias("within_limit"), F.forall(follow, lambda x: x).alias("overlapping"), (whole == F.col("text")).alias("whole"), F.coalesce(timed, F.lit(False)).alias("timed"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -78,9 +90,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.found_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p1_languages": p1_languages, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p1_languages": p1_languages, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_properties": p5_properties, "p6_found": p6_found, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
+    "p5_properties": """
+        SELECT DISTINCT seg_key, CAST(length(text) AS INTEGER) AS n_chars, true AS within_limit, true AS overlapping, true AS whole, true AS timed
+        FROM segments WHERE version = 'v2' AND length(text) > 400
+    """,
     "p6_found": """
         WITH e AS (SELECT DISTINCT entity_id, recording, CAST(round(start_s * 1000) AS BIGINT) AS t FROM entities WHERE start_s IS NOT NULL AND recording IS NOT NULL),
              s AS (SELECT recording, CAST(round(start_s * 1000) AS BIGINT) AS t, min(seg_key) AS seg_key FROM segments WHERE version = 'v2' AND start_s IS NOT NULL GROUP BY ALL)

@@ -3,29 +3,33 @@
 Unsupervised, per language: the corpus is counted once (one row per language and word type), and log-likelihood ratios
 over these counts tell
 
-* abbreviations: types whose mark is followed by more text on the line more often than chance,
-* collocations: pairs around a marked word (a number after a page sign) that hold together,
+* abbreviations: types whose mark is followed by more text on the line more often than chance; types with inner marks
+  that seldom come without their last one,
+* collocations: a number, initial or dotted type and the word after its mark that come together more often than the word
+  comes elsewhere, and more often than it begins sentences,
 * sentence starters: types that follow a certain sentence end more often than chance.
 
-Each mark is then classified with these statistics and its context: quotations and brackets, list numbers, decimals,
-ordinals, ellipses, scripts without spaces, and scripts that part sentences by a space.
+The ratios are columns; only types that pass reach the driver, and a relative support bounds their number.  Each mark is
+then classified with these statistics and its context: quotations and brackets, list numbers, decimals, ordinals,
+ellipses, scripts without spaces, and scripts that part sentences by a space.
 """
 
 from __future__ import annotations
 
-import math
+import functools
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import langid
 from tessera.llm.textcodes import INVISIBLE, plain
+from tessera.session import checkpoint
 
 # Marks that can end a sentence, by how sure they are; brackets and quotation marks.
 PERIODS = ".۔．"
@@ -37,145 +41,163 @@ BRACKETS = frozenset("(（[{")
 _MARK = re.compile(r"[" + re.escape(PERIODS + SURE + ELLIPSIS) + r"]+")
 _EVENT = re.compile(r"[" + re.escape(PERIODS + SURE + ELLIPSIS + "".join(OPEN_TO_CLOSE) + "".join(OPEN_TO_CLOSE.values()) + '"') + r"\n\r  ]|[฀-๿]\s+(?=\S)|\S\s+(?=[฀-๿])")
 _WORD = re.compile(r"\S+")
+_BREAK = re.compile("[\n\r\u2028\u2029]")
 _STRIP = "«“(（[「『‹{\"'‘»”)）]」』›}’,،؛;:"
 _NUMBER = re.compile(r"^[\d٠-٩۰-۹]+(?:[.,٫۔][\d٠-٩۰-۹]+)*$")
-MIN_COUNT = 2
-
-
+#: Characters of tokens that tell more than a word.
+_SPECIAL = frozenset(PERIODS + SURE + ELLIPSIS + '"').union(OPEN_TO_CLOSE, OPEN_TO_CLOSE.values())
+_CLOSING = "".join(CLOSERS)
+MIN_COUNT, MIN_STARTS = 2, 3
+#: Significance that the ratios of collocations and starters must pass (0.5 % for one degree of freedom), and the scores of abbreviations.
+SIGNIFICANT, INSIDE_SCORE, DOTTED_SCORE = 7.88, 5.0, 0.3
+#: Share of the marks (or of the sentence beginnings) of its language that a learned type has at least; so at most 1 / SUPPORT types of a kind are kept.
+SUPPORT = 1e-5
+#: Parts the two types of a pair.
+PAIR = "\x1f"
+
+
+@functools.lru_cache(1 << 17)
 def word_type(token: str) -> str:
     """A token without quotation marks and its final mark, in lower case; numbers are one type."""
     t = token.strip(_STRIP).rstrip(PERIODS).strip(_STRIP).lower()
     return "##" if _NUMBER.match(t) else t
 
 
-def _llr(k1: float, n1: float, k2: float, n2: float) -> float:
-    """Log-likelihood ratio that k1 of n1 and k2 of n2 have one rate; signed: positive where the first rate is higher."""
-
-    def ll(k: float, n: float, p: float) -> float:
-        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n - k else 0.0)
-
-    if not n1 or not n2:
-        return 0.0
-    p, p1, p2 = (k1 + k2) / (n1 + n2), k1 / n1, k2 / n2
-    if p <= 0 or p >= 1:
-        return 0.0
-    value = 2 * (ll(k1, n1, p1) + ll(k2, n2, p2) - ll(k1, n1, p) - ll(k2, n2, p))
-    return value if p1 > p2 else -value
-
-
 @dataclass
 class Model:
-    """Learned types by language; ``bound`` caps none of them, see ``learn``."""
+    """Learned types by language: abbreviations, sentence starters, and collocations (pairs joined by PAIR)."""
 
     abbreviations: dict[str, frozenset[str]] = field(default_factory=dict)
     starters: dict[str, frozenset[str]] = field(default_factory=dict)
+    collocations: dict[str, frozenset[str]] = field(default_factory=dict)
+    _of: dict[str, tuple] = field(default_factory=dict, repr=False)
+
+    def of(self, lang: str) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+        """The three kinds for a language, or for the languages of a mix."""
+        got = self._of.get(lang)
+        if got is None:
+            got = self._of[lang] = tuple(frozenset().union(*(kind.get(x, ()) for x in lang.split("+"))) for kind in (self.abbreviations, self.starters, self.collocations))
+        return got
+
+
+#: Kinds of counts: w word, p with a period inside a line, e with one at its end, s after a sure end, c before lower case or a number, f first of a pair, k pair.
+KINDS = "wpescfk"
 
 
-def count_text(text: str, lang: str, into: Counter) -> None:
-    """Counts of one text: (lang, kind, type); kinds: w word, p with a period inside a line, e with one at its end, s after a sure end, u word after an inner period in upper case or of unknown case."""
+def count_text(text: str, into: dict[str, Counter]) -> None:
+    """Adds the counts of one text by kind."""
+    starts = into["s"]
     for line in text.splitlines():
-        tokens = _WORD.findall(line)
+        tokens = line.split()
+        kinds = list(map(word_type, tokens))
+        into["w"].update(filter(None, kinds))
         sure = False
         depth = 0  # marks inside a quotation or bracket tell nothing of the sentence around it
-        for i, tok in enumerate(tokens):
+        for i, (tok, kind) in enumerate(zip(tokens, kinds)):
+            if _SPECIAL.isdisjoint(tok):
+                if kind:
+                    if sure and not depth:
+                        starts[kind] += 1
+                    sure = False
+                continue
             quotes = tok.count('"')
             depth += sum(map(tok.count, OPEN_TO_CLOSE)) + (quotes if not depth else 0)
             quoted = depth > 0
             depth = max(0, depth - sum(map(tok.count, OPEN_TO_CLOSE.values())) - (quotes if quotes == 2 or depth and tok[:1] != '"' else 0))
-            bare = tok.rstrip("".join(CLOSERS))
-            kind = word_type(tok)
             if not kind:
                 continue
             if quoted:
-                into[lang, "w", kind] += 1
                 sure = False
                 continue
-            into[lang, "w", kind] += 1
             if sure:
-                into[lang, "s", kind] += 1
+                starts[kind] += 1
+            bare = tok.rstrip(_CLOSING)
             sure = bool(bare) and bare[-1] in SURE and not kind[:1].isdigit()
-            if bare and bare[-1] in PERIODS and kind != "##" and not bare.endswith(("..", "…")):
-                if i + 1 == len(tokens):
-                    into[lang, "e", kind] += 1
-                else:
-                    into[lang, "p", kind] += 1
-                    nxt = tokens[i + 1].lstrip(_STRIP)[:1]
-                    if nxt.isdigit() or nxt.islower():
-                        into[lang, "c", kind] += 1
-
-
-def learn(counts: list[tuple[str, str, str, int]]) -> Model:
-    """Model from rows (lang, kind, type, n) of the whole corpus."""
-    by: dict[str, dict[str, dict[str, int]]] = {}
-    for lang, kind, word, n in counts:
-        by.setdefault(lang, {}).setdefault(kind, {})[word] = n
-    model = Model()
-    for lang, kinds in by.items():
-        w, p, e, s, c = (kinds.get(k, {}) for k in "wpesc")
-        words, inner, ends, after = sum(w.values()), sum(p.values()), sum(e.values()), sum(s.values())
-        found = set()
-        for t in set(p) | set(e):
-            inside, last, all_ = p.get(t, 0), e.get(t, 0), w.get(t, 0)
-            letters = sum(ch.isalpha() for ch in t)
-            if "." in t and letters <= 4 and all(len(x) <= 2 for x in t.split(".")):
-                found.add(t)
-                continue
-            if inside < MIN_COUNT or not letters:
+            if not bare or bare[-1] not in PERIODS or bare.endswith(("..", "…")):
                 continue
-            # The mark stays inside a line more often than those of other words, the word seldom comes without it,
-            # and what follows is often a number or lower case.
-            inside_llr = _llr(inside, inside + last, inner - inside, inner - inside + ends - last)
-            marked_llr = _llr(inside + last, all_, inner + ends - inside - last, words - all_)
-            follow = c.get(t, 0) / inside
-            rate = inside / (inside + last)
-            if marked_llr <= 0 or (inside + last) < 0.5 * all_:
+            if i + 1 == len(tokens):
+                if kind != "##":
+                    into["e"][kind] += 1
                 continue
-            score = inside_llr * math.exp(-max(0, letters - 2) / 3) + (10 * follow if follow > 0.5 else 0)
-            if score > 5 and rate > 0.9:
-                found.add(t)
-        model.abbreviations[lang] = frozenset(found)
-        model.starters[lang] = frozenset(t for t, n in s.items() if n >= 3 and t != "##" and _llr(n, after, w.get(t, n) - n, max(1, words - after)) > 7.88)
-    return model
+            if kinds[i + 1] and (kind == "##" or "." in kind or len(kind) == 1):
+                into["f"][kind] += 1
+                into["k"][kind + PAIR + kinds[i + 1]] += 1
+            if kind != "##":
+                into["p"][kind] += 1
+                nxt = tokens[i + 1].lstrip(_STRIP)[:1]
+                if nxt.isdigit() or nxt.islower():
+                    into["c"][kind] += 1
 
 
 def _count_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    into: Counter = Counter()
+    into: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
 
     def flush() -> pa.RecordBatch:
-        keys = list(into)
-        out = pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array(list(into.values()), pa.int64())], names=["lang", "kind", "word", "n"])
+        rows = [(lang, kind, word, n) for lang, kinds in into.items() for kind, words in kinds.items() for word, n in words.items()]
         into.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "kind", "word", "n"])
 
     for b in it:
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if text:
-                count_text(plain(text), (lang or "").split("+")[0], into)
-        if len(into) > 200_000:
+                count_text(plain(text), into[(lang or "").split("+")[0]])
+        if sum(len(words) for kinds in into.values() for words in kinds.values()) > 200_000:
             yield flush()
     yield flush()
 
 
+def _ratio(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
+    """Log-likelihood ratio that k1 of n1 and k2 of n2 have one rate; signed: positive where the first rate is higher."""
+
+    def ll(k: Column, n: Column, p: Column) -> Column:
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(n - k > 0, (n - k) * F.log(1 - p)).otherwise(0.0)
+
+    p, p1, p2 = F.try_divide(k1 + k2, n1 + n2), F.try_divide(k1, n1), F.try_divide(k2, n2)
+    value = 2 * (ll(k1, n1, p1) + ll(k2, n2, p2) - ll(k1, n1, p) - ll(k2, n2, p))
+    return F.when((n1 <= 0) | (n2 <= 0) | (p <= 0) | (p >= 1), 0.0).when(p1 > p2, value).otherwise(-value)
+
+
 def train(texts: DataFrame, text: str, lang: str) -> Model:
-    """Counts over every row of ``texts``; only types that occur with a mark or after a sure end reach the driver.
+    """Model from the counts over every row of ``texts``; the corpus is read and counted once.
 
-    Those types are cut to the ones that can pass the thresholds (at most 5 letters, longer ones by the same
-    ratios as in ``learn``, or starters with a count of 3), whose number is bounded by the inventory of the languages, not by the rows.
+    Only the types that pass the thresholds reach the driver: at most 1 / SUPPORT of each kind in a language.
     """
-    counts = texts.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(_count_batches, "lang string, kind string, word string, n bigint").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
-    wide = counts.groupBy("lang", "word").pivot("kind", ["w", "p", "e", "s", "c"]).agg(F.sum("n")).fillna(0)
-    short = F.char_length(F.regexp_replace("word", r"[^\p{L}]", "")) <= 5
-    marked = F.col("p") + F.col("e")
-    passes = (F.col("p") >= MIN_COUNT) & (marked >= 0.5 * F.col("w")) & (F.col("p") > 0.9 * marked)
-    able = ((F.col("p") > 0) & short) | passes | (F.col("s") >= 3)
-    totals = wide.groupBy("lang").agg(*[F.sum(k).alias(k) for k in "wpesc"]).collect()
-    rows = [(r.lang, k, r.word, r[k]) for r in wide.where(able).toLocalIterator() for k in "wpesc" if r[k]]
-    seen: Counter = Counter()
-    for lang_, k, _, n in rows:
-        seen[lang_, k] += n
-    # What the other types sum to, so that rates are those of the whole corpus.
-    rows += [(r.lang, k, "\0rest", r[k] - seen[r.lang, k]) for r in totals for k in "wpesc" if r[k] > seen[r.lang, k]]
-    return learn(rows)
+    rows = texts.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(_count_batches, "lang string, kind string, word string, n bigint")
+    counts = checkpoint(rows.groupBy("lang", "word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in KINDS]))
+    totals = F.broadcast(counts.groupBy("lang").agg(*[F.sum(k).alias(f"all_{k}") for k in KINDS]))  # a row a language
+    n = F.col
+    least = lambda count, total: F.greatest(F.lit(count), SUPPORT * total)
+
+    marked, words = n("p") + n("e"), n("all_w")
+    ends_and_inner = n("all_p") + n("all_e")
+    letters = F.char_length(F.regexp_replace("word", r"[^\p{L}]", ""))
+    dots = F.char_length(F.regexp_replace("word", r"[^.]", ""))
+    inside = _ratio(n("p"), marked, n("all_p") - n("p"), ends_and_inner - marked)
+    with_mark = _ratio(marked, n("w"), ends_and_inner - marked, words - n("w"))
+    follow = F.coalesce(F.try_divide(n("c"), n("p")), F.lit(0.0))
+    # The mark stays inside a line more often than those of other words, the word seldom comes without it, and what
+    # follows is often a number or lower case.
+    score = inside * F.exp(-F.greatest(F.lit(0), letters - 2) / 3) + F.when(follow > 0.5, 10 * follow).otherwise(0.0)
+    common = (letters > 0) & (with_mark > 0) & (marked >= 0.5 * n("w"))
+    plain_one = (n("p") >= least(MIN_COUNT, n("all_p"))) & (score > INSIDE_SCORE) & (n("p") > 0.9 * marked)
+    dotted = (dots > 0) & (marked >= least(1, ends_and_inner)) & (with_mark * F.exp(-letters.cast("double")) * (dots + 1) > DOTTED_SCORE)
+    is_abbreviation = ~F.contains("word", F.lit(PAIR)) & (marked > 0) & common & (plain_one | dotted)
+    is_starter = (n("s") >= least(MIN_STARTS, n("all_s"))) & (n("word") != "##") & (_ratio(n("s"), n("all_s"), n("w") - n("s"), F.greatest(F.lit(1), words - n("all_s"))) > SIGNIFICANT)
+    kind = F.when(is_abbreviation, "a").when(is_starter, "s")
+    both = F.when(is_abbreviation & is_starter, F.array(F.lit("a"), F.lit("s"))).otherwise(F.array(kind))
+    types = counts.join(totals, "lang").where(is_abbreviation | is_starter).select("lang", F.explode(both).alias("kind"), "word")
+
+    pairs = counts.where(n("k") >= MIN_COUNT).select("lang", F.substring_index("word", PAIR, 1).alias("a"), F.substring_index("word", PAIR, -1).alias("b"), "word", "k")
+    first = counts.where(n("f") > 0).select("lang", n("word").alias("a"), n("f").alias("fa"))
+    second = counts.where(n("w") > 0).select("lang", n("word").alias("b"), n("w").alias("wb"), n("s").alias("sb"))
+    held = pairs.join(first, ["lang", "a"]).join(second, ["lang", "b"]).join(totals, "lang")
+    together = (_ratio(n("k"), n("fa"), n("wb") - n("k"), words - n("fa")) > SIGNIFICANT) & (_ratio(n("k"), n("fa"), n("sb"), n("all_s")) > SIGNIFICANT)
+    kept = held.where((n("k") >= least(MIN_COUNT, n("all_f"))) & together).select("lang", F.lit("k").alias("kind"), "word")
+
+    found: dict[str, dict[str, set]] = {k: defaultdict(set) for k in "ask"}
+    for r in types.unionByName(kept).collect():
+        found[r.kind][r.lang].add(r.word)
+    return Model(*({lang: frozenset(x) for lang, x in found[k].items()} for k in "ask"))
 
 
 def _is_thai(ch: str) -> bool:
@@ -195,9 +217,8 @@ def split(text: str, lang: str, model: Model) -> list[tuple[int, int]]:
         keep = [i for i, ch in enumerate(text) if ord(ch) not in INVISIBLE]
         where = keep if len(keep) < len(text) else None
         t = "".join(text[i] for i in keep) if where is not None else text
-    langs = lang.split("+")
-    abbr = model.abbreviations.get(langs[0], frozenset()).union(*(model.abbreviations.get(x, ()) for x in langs[1:]))
-    starters = model.starters.get(langs[0], frozenset()).union(*(model.starters.get(x, ()) for x in langs[1:]))
+    abbr, starters, pairs = model.of(lang)
+    last_quote = t.rfind('"', 0, _line_end(t, 0))
     out: list[int] = []
     n = len(t)
     start = 0
@@ -213,6 +234,7 @@ def split(text: str, lang: str, model: Model) -> list[tuple[int, int]]:
             if t[start:i].strip():
                 out.append(i)
             start, pos = i + 1, i + 1
+            last_quote = t.rfind('"', pos, _line_end(t, pos))
             stack.clear()
             continue
         if m.end() - i > 1 and (_is_thai(ch) or (m.end() < n and _is_thai(t[m.end()]))) and t[i + 1].isspace():
@@ -235,7 +257,7 @@ def split(text: str, lang: str, model: Model) -> list[tuple[int, int]]:
             pos = i + 1
             continue
         if ch == '"' and not (stack and stack[-1][0] == '"'):
-            if i == 0 or not t[i - 1].isalnum() or '"' in t[i + 1 : i + 200]:
+            if i == 0 or not t[i - 1].isalnum() or last_quote > i:
                 stack.append(('"', i))
             pos = i + 1
             continue
@@ -281,9 +303,7 @@ def split(text: str, lang: str, model: Model) -> list[tuple[int, int]]:
             continue
         spaced = nxt > end
         last = t[run - 1]
-        before = t[start:i]
-        token = before.split()[-1] if before and not before[-1].isspace() and before.split() else ""
-        after = _WORD.match(t, nxt)[0] if _WORD.match(t, nxt) else ""
+        after = _WORD.match(t, nxt)[0]
         if ELLIPSIS in t[i:run] or (run - i >= 2 and set(t[i:run]) <= set(PERIODS)):
             done = spaced and (t[nxt].isupper() or (not t[nxt].islower() and word_type(after) in starters and not _dense(t[nxt])))
             if t[nxt] in OPEN_TO_CLOSE:
@@ -291,7 +311,13 @@ def split(text: str, lang: str, model: Model) -> list[tuple[int, int]]:
         elif last in SURE or t[i] in SURE:
             done = spaced or _dense(last) or t[nxt].isalpha() or t[nxt] in OPEN_TO_CLOSE
         else:
-            done = _period(t, i, nxt, spaced, token, after, before, lang, abbr, starters)
+            at = i  # the token before the mark
+            while at > start and not t[at - 1].isspace():
+                at -= 1
+            first = start  # where the words of the sentence begin
+            while first < at and (t[first].isspace() or t[first] in _STRIP):
+                first += 1
+            done = _period(t, i, nxt, spaced, t[at:i], after, first >= at, abbr, starters, pairs)
         if done:
             out.append(end)
             start = nxt
@@ -339,7 +365,13 @@ def _dense(ch: str) -> bool:
     return "⺀" <= ch <= "鿿" or "＀" <= ch <= "｠" or "぀" <= ch <= "ヿ"
 
 
-def _period(t: str, i: int, nxt: int, spaced: bool, token: str, after: str, before: str, lang: str, abbr: frozenset, starters: frozenset) -> bool:
+def _line_end(t: str, i: int) -> int:
+    m = _BREAK.search(t, i)
+    return m.start() if m else len(t)
+
+
+def _period(t: str, i: int, nxt: int, spaced: bool, token: str, after: str, leads: bool, abbr: frozenset, starters: frozenset, pairs: frozenset) -> bool:
+    """Whether a period ends the sentence; ``leads``: its token is the first of it."""
     kind = word_type(token)
     head = after.lstrip(_STRIP)[:1] or after[:1]
     if not spaced:
@@ -350,9 +382,11 @@ def _period(t: str, i: int, nxt: int, spaced: bool, token: str, after: str, befo
             rest = after[1:2]
             return t[i - 1].islower() and t[nxt].isupper() and (rest.islower() or not rest) and kind not in abbr and "." not in after.rstrip(PERIODS) and "/" not in after and "@" not in token
         return t[i - 1].isalpha() and kind not in abbr and "." not in kind and not _is_thai(t[i - 1]) and len(kind) > 1
+    if kind == "##" and leads:
+        return False  # a list number
+    if token and kind + PAIR + word_type(after) in pairs:
+        return False
     if kind == "##":
-        if not before[: len(before) - len(token)].strip(_STRIP + " \t"):
-            return False  # a list number
         return not head.islower()  # else an ordinal
     if not token:
         return True

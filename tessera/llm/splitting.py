@@ -3,12 +3,17 @@
 Lexical cohesion: between any two sentences the similarity of the blocks of words before and after is computed; valleys
 of this curve mark changes of topic.  Within each size window the cut is the sentence end in the deepest valley; where a
 window holds no sentence end it is the last white space, and only where it holds none either, the limit itself.
+
+Each piece tells what its end breaks: the length of the sentence and of the run without white space that it lies inside.
+A sentence or run over the limit can't be in one piece, so some piece ends inside it: whether a text can be cut at
+sentences, at spaces or only inside runs follows from what its pieces break.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,6 +27,7 @@ from tessera.session import checkpoint
 
 LIMIT, OVERLAP, BLOCK = 400, 40, 2
 _WORD = re.compile(r"\w+")
+_RUN = re.compile(r"\S+")
 
 
 def _words(text: str) -> Counter:
@@ -39,65 +45,69 @@ def depths(parts: list[str], block: int = BLOCK) -> list[float]:
         dot = sum(n * right[w] for w, n in left.items())
         norm = math.sqrt(sum(n * n for n in left.values()) * sum(n * n for n in right.values()))
         curve.append(dot / norm if norm else 0.0)
-    out = []
-    for i, v in enumerate(curve):
-        a = b = i
-        while a > 0 and curve[a - 1] >= curve[a]:
-            a -= 1
-        while b + 1 < len(curve) and curve[b + 1] >= curve[b]:
-            b += 1
-        out.append(curve[a] + curve[b] - 2 * v)
-    return out
-
-
-def kind_of(text: str, spans: list[tuple[int, int]], limit: int = LIMIT) -> str:
-    """Where a text can be cut: ``sentence``, ``space`` or ``inside``."""
-    if all(e - s <= limit for s, e in spans):
-        return "sentence"
-    return "space" if all(len(run) <= limit for run in text.split()) else "inside"
-
-
-def pieces(text: str, spans: list[tuple[int, int]], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """(start, end, cut) of pieces of at most ``limit`` code points; each starts ``overlap`` before the last one's end.
-
-    Together the pieces hold every code point.  ``cut`` tells what the end is: sentence, space, inside, or end.
+    # The top of the slope that leads up from each place, to the left and to the right.
+    left, right = curve[:], curve[:]
+    for i in range(1, len(curve)):
+        if curve[i - 1] >= curve[i]:
+            left[i] = left[i - 1]
+    for i in range(len(curve) - 2, -1, -1):
+        if curve[i + 1] >= curve[i]:
+            right[i] = right[i + 1]
+    return [a + b - 2 * v for a, b, v in zip(left, right, curve)]
+
+
+def pieces(text: str, spans: list[tuple[int, int]], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str, int, int]]:
+    """(start, end, cut, sentence, run) of pieces of at most ``limit`` code points; each starts ``overlap`` before the last one's end.
+
+    Together the pieces hold every code point.  ``cut`` tells what the end is: sentence, space, inside, or end;
+    ``sentence`` and ``run`` are the lengths of the sentence and the run without white space that it breaks, 0 for none.
     """
     n = len(text)
     deep = depths([text[s:e] for s, e in spans]) + [0.0]
-    ends = []
-    for (s, e), d in zip(spans, deep):
-        stop = e
-        while stop < n and text[stop].isspace():
-            stop += 1
-        ends.append((stop if stop < n else n, d))
+    begins, stops, ends = [s for s, _ in spans], [e for _, e in spans], []
+    for e in stops:
+        while e < n and text[e].isspace():
+            e += 1
+        ends.append(e)
+    runs = [m.span() for m in _RUN.finditer(text)]
+    run_begins = [a for a, _ in runs]
+
+    def broken(parts: list[tuple[int, int]], firsts: list[int], at: int) -> int:
+        i = bisect_right(firsts, at) - 1
+        return parts[i][1] - parts[i][0] if i >= 0 and parts[i][0] < at < parts[i][1] else 0
+
     out, start = [], 0
     while n - start > limit:
         low, high = start + overlap + 1, start + limit
-        inside = [(d, e) for e, d in ends if low <= e <= high]
-        # A piece of under half the limit is taken only if no later sentence end is in reach.
-        late = [x for x in inside if x[1] > start + limit // 2] or inside
-        if late:
-            cut, kind = max(late)[1], "sentence"
+        near = range(bisect_left(ends, low), bisect_right(ends, high))
+        if near:
+            cut, kind = ends[max(near, key=lambda i: (deep[i], i))], "sentence"
         else:
             cut = next((i + 1 for i in range(high - 1, low - 2, -1) if text[i].isspace()), 0)
             kind = "space" if cut else "inside"
             cut = cut or high
-        out.append((start, cut, kind))
+        out.append((start, cut, kind, broken(spans, begins, cut), broken(runs, run_begins, cut)))
         start = cut - overlap
-    out.append((start, n, "end"))
+    out.append((start, n, "end", 0, 0))
     return out
 
 
-SCHEMA = "piece_no int, start_pos int, end_pos int, piece string, piece_cut string, start_at double, cut string"
+def text_cuts(pieces_: DataFrame, key: str, limit: int = LIMIT) -> DataFrame:
+    """``key, cut``: where each text can be cut, from what the ends of its pieces break: ``sentence`` if no sentence over the
+    limit, else ``space`` if no run without white space over it, else ``inside``."""
+    worst = pieces_.groupBy(key).agg(F.max("in_sentence").alias("_s"), F.max("in_run").alias("_r"))
+    return worst.select(key, F.when(F.col("_s") <= limit, "sentence").when(F.col("_r") <= limit, "space").otherwise("inside").alias("cut"))
+
+
+SCHEMA = "piece_no int, start_pos int, end_pos int, piece string, piece_cut string, in_sentence int, in_run int, start_at double"
 
 
 def split_oversized(segments: DataFrame, key: str, text: str, start: str, end: str, documents: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of the texts of ``segments`` with more than ``limit`` code points.
 
-    ``key, piece_no, start_pos, end_pos, piece, piece_cut, start_at, cut``: positions in the stored text; ``start_at``
-    lies between the bounds in proportion to the position (the bound that exists where the other is null, NaN or not
-    after it; null without bounds); ``cut`` is the kind of the whole text.  Repeated keys count once; null and short
-    texts give no row.  ``documents`` (text, lang) train the language model that sentence statistics are kept by.
+    ``key, piece_no, start_pos, end_pos, piece, piece_cut, in_sentence, in_run, start_at``: positions in the stored text;
+    ``start_at`` lies between the bounds in proportion to the position (the bound that exists where the other is null,
+    NaN or not after it; null without bounds).  Repeated keys count once; null and short texts give no row.  ``documents`` (text, lang) train the language model that sentence statistics are kept by.
     """
     from tessera.llm import langid
 
@@ -108,19 +118,18 @@ def split_oversized(segments: DataFrame, key: str, text: str, start: str, end: s
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(9)]
             for k, t, lang, s0, e0 in zip(*(b.column(i).to_pylist() for i in range(5))):
                 spans = sent.split(t, lang or "", shared.value)
-                kind = kind_of(t, spans, limit)
                 s0 = None if s0 is None or s0 != s0 else s0
                 e0 = None if e0 is None or e0 != e0 else e0
                 base = e0 if s0 is None else s0
                 width = e0 - s0 if s0 is not None and e0 is not None and e0 > s0 else 0.0
-                for j, (a, z, how) in enumerate(pieces(t, spans, limit, overlap)):
-                    for c, v in zip(cols, (k, j, a, z, t[a:z], how, None if base is None else base + width * a / len(t), kind)):
+                for j, (a, z, how, s_len, r_len) in enumerate(pieces(t, spans, limit, overlap)):
+                    for c, v in zip(cols, (k, j, a, z, t[a:z], how, s_len, r_len, None if base is None else base + width * a / len(t))):
                         c.append(v)
-            kinds = (b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[key, "piece_no", "start_pos", "end_pos", "piece", "piece_cut", "start_at", "cut"])
+            kinds = (b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[key, *[c.split()[0] for c in SCHEMA.split(", ")]])
 
     src = tagged.where(F.char_length("_text") > limit).select(key, "_text", "lang", F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"))
     return src.mapInArrow(run, f"`{key}` {src.schema[key].dataType.simpleString()}, {SCHEMA}")

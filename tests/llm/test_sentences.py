@@ -80,3 +80,44 @@ def test_learned_abbreviation_of_six_letters(spark):
     m = S.train(spark.createDataFrame(rows, "k long, t string, lang string"), "t", "lang")
     assert "approx" in m.abbreviations["en"] and "today" not in m.abbreviations["en"]
     assert len(S.split("He read approx. 40 words. We ended.", "en", m)) == 2
+
+
+def test_only_the_collocation_decides(spark):
+    """A number before a title stays in the sentence only where the two are learned to belong together."""
+    rng = __import__("random").Random(3)
+    starts, ends = ["Sonra", "Herkes", "Biz", "Bugün", "Hoca"], ["geldi", "bitti", "gitti", "durdu"]
+    plain = lambda m: f"{rng.choice(starts)} {rng.choice(['eve', 'okula'])} {rng.choice(ends)}{m}"
+    rows = [(i, " ".join([plain("!"), plain("!"), f"{rng.choice(starts)} bize {i}. Bölüm yetti.", plain("!"), f"{rng.choice(starts)} sayı {i}.", plain("?")]), "tr") for i in range(200)]
+    m = S.train(spark.createDataFrame(rows, "k long, t string, lang string"), "t", "lang")
+    assert m.collocations["tr"] == {"##" + S.PAIR + "bölüm"}
+    text = "Dün bize 7. Bölüm yetti. Biz sayı 8. Sonra durdu."
+    assert [text[a:b] for a, b in S.split(text, "tr", m)] == ["Dün bize 7. Bölüm yetti.", "Biz sayı 8.", "Sonra durdu."]
+    m.collocations["tr"] = frozenset()
+    m._of.clear()
+    assert len(S.split(text, "tr", m)) == 4
+
+
+def test_long_quotation_is_one_sentence(spark):
+    for n in (3, 80, 4_000):
+        text = 'They called it a"' + "very long quotation. " * n + 'indeed" and left. Then they came.'
+        assert len(S.split(text, "en", MODEL)) == 2
+
+
+def test_dotted_types_are_learned(spark):
+    rows = [(i, f"They came at {i % 9} p.m. and left. He said i.e. that. See notes.example here.", "en") for i in range(60)]
+    m = S.train(spark.createDataFrame(rows, "k long, t string, lang string"), "t", "lang")
+    assert {"p.m", "i.e"} <= m.abbreviations["en"] and "notes.example" not in m.abbreviations["en"]
+
+
+def test_ratio_column(spark):
+    from math import log
+
+    from pyspark.sql import functions as F
+
+    def plain(k, n, j, m):
+        """Twice the gain in log likelihood of two rates over one."""
+        ll = lambda k, n, p: k * log(p) + (n - k) * log(1 - p)
+        return 2 * (ll(k, n, k / n) + ll(j, m, j / m) - ll(k, n, (k + j) / (n + m)) - ll(j, m, (k + j) / (n + m)))
+
+    r = spark.range(1).select(S._ratio(F.lit(10), F.lit(20), F.lit(5), F.lit(100)).alias("a"), S._ratio(F.lit(1), F.lit(100), F.lit(50), F.lit(100)).alias("b"), S._ratio(F.lit(0), F.lit(0), F.lit(1), F.lit(2)).alias("c")).first()
+    assert abs(r.a - plain(10, 20, 5, 100)) < 1e-9 and r.b < -50 and r.c == 0
