@@ -78,6 +78,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text, encoded and decoded."""
+    return tokens.decode(p8_ids(spark, d), "doc_id", "ids")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -90,9 +95,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.found_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p1_languages": p1_languages, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_properties": p5_properties, "p6_found": p6_found, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p1_languages": p1_languages, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_properties": p5_properties, "p6_found": p6_found, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_properties": """
         SELECT DISTINCT seg_key, CAST(length(text) AS INTEGER) AS n_chars, true AS within_limit, true AS overlapping, true AS whole, true AS timed
         FROM segments WHERE version = 'v2' AND length(text) > 400

@@ -11,7 +11,7 @@ pytestmark = pytest.mark.skipif(not Path(T.FOLDER, T.NAME).exists(), reason="no
 def plain_encoder():
     import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=T.PATTERN, mergeable_ranks=T._ranks(f"{T.FOLDER}/{T.NAME}"), special_tokens={})
+    return tiktoken.Encoding("own", pat_str=T.PATTERN, mergeable_ranks=T._ranks(Path(T.FOLDER, T.NAME).read_bytes()), special_tokens={})
 
 
 def test_pattern_is_the_published_one():
@@ -39,3 +39,29 @@ def test_repeated_rows_blocks_and_empty_table(spark):
     got = T.encode(df, "doc_id", "text").collect()
     assert sorted(r.doc_id for r in got) == [1, 1, 2, 3]
     assert T.encode(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_hot_words_and_decoding_edges(spark, monkeypatch):
+    monkeypatch.setattr(T, "HOT_ROWS", 3)
+    monkeypatch.setattr(T, "HOT_SHARE", 0.01)
+    monkeypatch.setattr(T, "BLOCK_CHARS", 50)
+    rng = random.Random(5)
+    texts = [" ".join(["qwertzuiop"] * 4 + [rng.choice(["zyxwvut", "漢字語", "plain", "ٹڈڑ"]) for _ in range(5)]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    enc = plain_encoder()
+    got = {r.doc_id: r.ids for r in T.encode(df, "doc_id", "text").collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [64, 10**8]), (3, [64, 10**8]), (4, got[0])], "doc_id long, ids array<int>")
+    back = sorted((r.doc_id, r.text) for r in T.decode(odd, "doc_id", "ids").collect())
+    assert back == [(1, None), (2, ""), (3, enc.decode([64]) + "\ufffd"), (4, texts[0])]
+
+
+def test_a_word_is_encoded_once(spark, monkeypatch):
+    texts = [f"xqzvword {i} xqzvword" for i in range(40)]
+    monkeypatch.setattr(T, "BLOCK_CHARS", 30)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen = []
+    monkeypatch.setattr(T, "checkpoint", lambda x: (seen.append(x), x)[1])
+    T.encode(df, "doc_id", "text")
+    words = [r.word for r in seen[1].collect()]
+    assert len(words) == len(set(words)) and "xqzvword" in words
