@@ -2,8 +2,8 @@
 
 Texts are exploded to positioned code points.  A broadcast table (built from the Unicode database, so of fixed size)
 gives the decomposition of each code point, its combining class, and the form that look-alike letters, digits and spaces
-are brought to; invisible characters are dropped.  Combining marks are ordered by class within their sequence,
-recomposed with a second broadcast table, and the strings rebuilt.
+are brought to; invisible characters are dropped.  The strings are rebuilt by position; combining marks are ordered by
+class within their sequence and recomposed with a second broadcast table of pairs, in time linear in the text.
 
 A text none of whose code points is in the tables is its own form and isn't exploded.
 """
@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.textcodes import INVISIBLE
@@ -26,11 +28,16 @@ LOOK_ALIKE = {
     "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y", "ο": "o", "ν": "v", "ι": "i", "α": "a", "ρ": "p",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X",
+    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "Ӏ": "I", "ү": "y", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
+    # Armenian and Cherokee letters to Latin
+    "օ": "o", "հ": "h", "յ": "j", "ց": "g", "զ": "q", "ո": "n", "ս": "u", "Օ": "O", "Տ": "S", "Լ": "L",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T",
+    "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z", "Ꭱ": "R",
     # Arabic letters with like joined forms
     "ي": "ی", "ك": "ک", "ه": "ہ", "ە": "ہ",
 }
-#: Compatibility decompositions that keep the look: width, joining forms, ligatures, spaces, radicals.
-KEPT_TAGS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<compat>", "<vertical>", "<small>")
+#: Compatibility decompositions that keep the look: mathematical letters, width, joining forms, ligatures, spaces, radicals.
+KEPT_TAGS = ("<font>", "<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<compat>", "<vertical>", "<small>")
 
 
 def _decompose(ch: str) -> str:
@@ -76,7 +83,7 @@ def mapping() -> tuple[tuple[str, str, int], ...]:
 
 @functools.cache
 def compositions() -> dict[str, str]:
-    """Pairs (after look-alikes) that compose, as two-character strings, to the composed character."""
+    """Pairs (after look-alikes) that compose, as two-character strings, to the composed character; Hangul by its rule."""
     alike = LOOK_ALIKE
     out: dict[str, str] = {}
     for c in range(0x30000):
@@ -87,13 +94,61 @@ def compositions() -> dict[str, str]:
         if d and not d.startswith("<") and " " in d and unicodedata.normalize("NFC", ch) == ch:
             pair = "".join(alike.get(chr(int(x, 16)), chr(int(x, 16))) for x in d.split())
             out.setdefault(pair, ch)
+    for k in range(19 * 21):  # leading consonant and vowel
+        syllable = chr(0xAC00 + 28 * k)
+        out[chr(0x1100 + k // 21) + chr(0x1161 + k % 21)] = syllable
+        for t in range(1, 28):
+            out[syllable + chr(0x11A7 + t)] = chr(0xAC00 + 28 * k + t)
     return out
 
 
+@functools.cache
+def _seconds() -> frozenset[str]:
+    return frozenset(pair[1] for pair in compositions())
+
+
 def _class_table(spark: SparkSession) -> DataFrame:
-    seconds = {pair[1] for pair in compositions()}
-    rows = [(ch, [(x, unicodedata.combining(x), x in seconds) for x in to]) for ch, to, _ in mapping()]
-    return spark.createDataFrame(rows, "cp string, parts array<struct<c: string, ccc: int, composes: boolean>>")
+    """``cp, parts``: what each code point that changes or combines becomes; ``m`` is the class of a mark, 0 where a starter may
+    compose with the one before it, -1 of others."""
+    seconds = _seconds()
+    of = lambda x: unicodedata.combining(x) or (0 if x in seconds else -1)
+    rows = [(ch, [(x, of(x)) for x in to]) for ch, to, _ in mapping()]
+    return spark.createDataFrame(rows + [(x, [(x, of(x))]) for x in sorted(seconds - {r[0] for r in rows})], "cp string, parts array<struct<c: string, m: int>>")
+
+
+def composed(text: str, marks: list[tuple[int, int]], table: dict[str, str]) -> str:
+    """``text`` with its marks ordered by class within each sequence and composed; ``marks`` are the (place, class) of all of
+    its characters that combine, in order of places."""
+    cs = list(text)
+    k, n = 0, len(marks)
+    while k < n:
+        at, cls = marks[k]
+        if cls == 0:  # a starter: composes with the starter right before it
+            base = at - 1
+            while base >= 0 and cs[base] == "":
+                base -= 1
+            made = table.get(cs[base] + cs[at]) if base >= 0 else None
+            if made is not None and (base == at - 1 or all(x == "" for x in cs[base + 1 : at])):
+                cs[base], cs[at] = made, ""
+            k += 1
+            continue
+        end = k
+        while end < n and marks[end][1] > 0 and marks[end][0] == at + end - k:
+            end += 1
+        run = sorted(range(k, end), key=lambda i: marks[i][1])  # stable: marks of one class keep their order
+        ordered = [(cs[marks[i][0]], marks[i][1]) for i in run]
+        base, last, rest = at - 1, 0, []
+        for ch, c in ordered:
+            made = table.get(cs[base] + ch) if base >= 0 and cs[base] and last < c else None
+            if made is not None:
+                cs[base] = made
+            else:
+                rest.append(ch)
+                last = c
+        for i in range(end - k):
+            cs[at + i] = rest[i] if i < len(rest) else ""
+        k = end
+    return "".join(cs)
 
 
 #: A text without any of these is its own form: outside ASCII and the unified ideographs everything may be in the tables.
@@ -101,24 +156,31 @@ _ACTIVE = r"[\x{80}-\x{4DFF}\x{A000}-\x{10FFFF}]"
 
 
 def canonical(df: DataFrame, key: list[str], text: str, out: str = "canonical", *, by: list[str] | None = None) -> DataFrame:
-    """``key..., text, out`` for every row of ``df``; ``key`` must be unique.  ``by`` (part of ``key``) partitions the work.
+    """``key..., out`` for every row of ``df``; ``key`` must be unique.  ``by`` (part of ``key``) partitions the work.
 
-    Null texts stay null, empty texts empty; a text of invisible characters alone becomes empty.  Rows are kept as they
-    are besides; other columns are dropped.
+    Null texts stay null, empty texts empty; a text of invisible characters alone becomes empty.  Other columns are dropped.
     """
     spark = df.sparkSession
     src = df.select(*key, F.col(text).alias("_t"))
     active = F.col("_t").rlike(_ACTIVE)
-    still = src.where(F.col("_t").isNull() | ~active).select(*key, F.col("_t").alias(text), F.col("_t").alias(out))
+    still = src.where(F.col("_t").isNull() | ~active).select(*key, F.col("_t").alias(out))
     moved = src.where(active).repartition(*(by or key))
-    points = moved.select(*key, "_t", F.posexplode(F.split("_t", "")).alias("pos", "cp"))
-    parts = points.join(F.broadcast(_class_table(spark)), "cp", "left").select(
-        *key, "_t", F.struct("pos", F.coalesce("parts", F.array(F.struct(F.col("cp").alias("c"), F.lit(0).alias("ccc"), F.lit(False).alias("composes")))).alias("parts")).alias("p"),
-    )
-    # Positions in order, then each starter with the marks after it (classes above 0), the marks sorted by class (stable).
-    whole = parts.groupBy(*key).agg(F.first("_t").alias("_t"), F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["parts"])).alias("cs"))
-    built = whole.select(*key, F.col("_t").alias(text), recomposed(F.col("cs")).alias(out))
-    return built.unionByName(still)
+    points = moved.select(*key, F.posexplode(F.split("_t", "")).alias("pos", "cp"))
+    itself = F.array(F.struct(F.col("cp").alias("c"), F.lit(-1).alias("m")))
+    parts = points.join(F.broadcast(_class_table(spark)), "cp", "left").select(*key, F.struct("pos", F.coalesce("parts", itself).alias("parts")).alias("p"))
+    whole = parts.groupBy(*key).agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["parts"])).alias("cs"))
+    marks = F.filter(F.transform("cs", lambda x, i: F.struct(i.alias("at"), x["m"].alias("m"))), lambda x: x["m"] >= 0)
+    plain = whole.select(*key, F.array_join(F.transform("cs", lambda x: x["c"]), "").alias("_s"), marks.alias("_m"))
+    shared = spark.sparkContext.broadcast(compositions())
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for b in it:
+            found = [composed(t, [(x["at"], x["m"]) for x in m], table) if m else t for t, m in zip(b.column(len(key)).to_pylist(), b.column(len(key) + 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(key)], pa.array(found, pa.string())], names=[*key, out])
+
+    kinds = ", ".join(f"`{k}` {plain.schema[k].dataType.simpleString()}" for k in key)
+    return plain.mapInArrow(run, f"{kinds}, `{out}` string").unionByName(still)
 
 
 def same_look(pairs: DataFrame, key: list[str], one: str, other: str) -> DataFrame:
@@ -132,7 +194,8 @@ def same_look(pairs: DataFrame, key: list[str], one: str, other: str) -> DataFra
 
 def found_pairs(segments: DataFrame, entities: DataFrame) -> DataFrame:
     """``item_kind, item_key``: v3 segments that look as their v2 text, ayah and dua entities that look as their canonical text."""
-    base = segments.where(F.col("text").isNotNull() & F.col("recording").isNotNull() & F.col("seq").isNotNull())
+    one = segments.where(F.col("version").isin("v2", "v3")).select("seg_key", "version", "recording", "seq", "text").dropDuplicates(["seg_key"])  # a redelivered row once, before the join
+    base = one.where(F.col("text").isNotNull() & F.col("recording").isNotNull() & F.col("seq").isNotNull())
     v3 = base.where(F.col("version") == "v3").select("recording", "seq", F.col("seg_key").cast("bigint").alias("item_key"), F.col("text").alias("one"))
     v2 = base.where(F.col("version") == "v2").select("recording", "seq", F.col("text").alias("other"))
     of_segment = v3.join(v2, ["recording", "seq"]).select(F.lit("segment").alias("item_kind"), "item_key", "one", "other")
@@ -150,33 +213,3 @@ def forms(segments: DataFrame, entities: DataFrame) -> DataFrame:
     e = entities.select("entity_id", "text", "canonical_text").dropDuplicates(["entity_id"])
     items = of(s, "segment", "seg_key", "text").unionByName(of(e, "entity_text", "entity_id", "text")).unionByName(of(e, "entity_canonical_text", "entity_id", "canonical_text"))
     return canonical(items, ["item_kind", "item_key"], "_text", "form").select("item_kind", "item_key", "form")
-
-
-def recomposed(cs: Column) -> Column:
-    """String of code points with classes: marks ordered by class within a sequence and recomposed."""
-    pairs = compositions()
-    table = F.map_from_arrays(F.split(F.lit("\x00".join(pairs)), "\x00"), F.split(F.lit("\x00".join(pairs.values())), "\x00"))
-    marked = F.exists(cs, lambda x: x["ccc"] > 0)
-    text = lambda a: F.array_join(F.transform(a, lambda x: x["c"]), "")
-    blank = F.struct(F.lit("").alias("out"), F.lit("").alias("base"), F.expr("cast(array() as array<struct<c: string, ccc: int, composes: boolean>>)").alias("marks"))
-
-    def compose(base: Column, marks: Column) -> Column:
-        # Marks by class, in order; each is composed with the base unless one of its class was left uncomposed before it.
-        ordered = F.array_sort(F.transform(marks, lambda m, i: F.struct(m["ccc"].alias("ccc"), i.alias("i"), m["c"].alias("c"), m["composes"].alias("composes"))))
-        first = F.struct(base.alias("b"), F.lit("").alias("rest"), F.lit(0).alias("last"))
-
-        def step(acc: Column, m: Column) -> Column:
-            made = F.when(m["composes"] & (acc["b"] != "") & (acc["last"] < m["ccc"]), F.try_element_at(table, F.concat(acc["b"], m["c"])))
-            return F.when(made.isNotNull(), F.struct(made.alias("b"), acc["rest"].alias("rest"), acc["last"].alias("last"))).otherwise(
-                F.struct(acc["b"].alias("b"), F.concat(acc["rest"], m["c"]).alias("rest"), m["ccc"].alias("last"))
-            )
-
-        return F.aggregate(ordered, first, step, lambda a: F.concat(a["b"], a["rest"]))
-
-    def add(acc: Column, x: Column) -> Column:
-        mark = F.struct(acc["out"].alias("out"), acc["base"].alias("base"), F.array_append(acc["marks"], x).alias("marks"))
-        start = F.struct(F.concat(acc["out"], F.when(F.size(acc["marks"]) == 0, acc["base"]).otherwise(compose(acc["base"], acc["marks"]))).alias("out"), x["c"].alias("base"), blank["marks"].alias("marks"))
-        return F.when(x["ccc"] > 0, mark).otherwise(start)
-
-    full = F.aggregate(cs, blank, add, lambda a: F.concat(a["out"], F.when(F.size(a["marks"]) == 0, a["base"]).otherwise(compose(a["base"], a["marks"]))))
-    return F.when(marked, full).otherwise(text(cs))

@@ -31,6 +31,21 @@ def test_edges_and_recomposition(spark):
     assert got == [None, "", "", "plain", "é" * 20_000, "́start", unicodedata.normalize("NFC", "ệ"), "Å"]
 
 
+def test_hangul_and_mathematical_letters(spark):
+    got = forms(spark, ["한글", unicodedata.normalize("NFD", "한글"), "각ᄀ", "𝐀𝒃", "Ꮮоndоn", "가\u0301"])
+    assert got == ["한글", "한글", "각ᄀ", "Ab", "London", "가\u0301"]
+
+
+def test_marks_in_any_order(spark):
+    import random
+
+    rng = random.Random(9)
+    marks = ["\u0300", "\u0323", "\u0327", "\u0301", "\u0338"]
+    texts = ["".join(rng.choice("aeq <=ω") + "".join(rng.choice(marks) for _ in range(rng.randrange(4))) for _ in range(8)) for _ in range(200)]
+    want = [unicodedata.normalize("NFC", t) for t in texts]
+    assert forms(spark, texts) == want
+
+
 def test_canonical_is_stable_and_nfc_for_latin(spark):
     import random
 
