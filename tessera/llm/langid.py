@@ -7,7 +7,7 @@ the rows of the matrix are added up per stretch with one ``reduceat``.
 A stretch is a run of text up to a sentence mark or line break.  Stretches are first scored alone; the shares that
 follow for each text are the prior of a second scoring, so that a short stretch of names follows its surroundings.
 
-Training takes a bounded, hash-chosen sample of labelled documents (``max_docs``); a second pass over that sample
+Training takes a bounded, hash-chosen sample of labelled documents (``max_docs`` of each language); a second pass over it
 replaces each label by the prediction for each stretch, which removes wrong labels and splits mixed documents.
 """
 
@@ -172,39 +172,47 @@ def _own_script_counts() -> np.ndarray:
 
 def _counts(rows: Iterator[pa.RecordBatch], matrix: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((K, ORDERS * BUCKETS), np.float32)
-    latin, arabic = CLASSES.index("ur-Latn"), CLASSES.index("ur")
     for batch in rows:
-        texts = [plain(t) for t in batch.column(0).to_pylist()]
-        labels = np.array([LANGUAGES.index(c) for c in batch.column(1).to_pylist()], np.int64)
-        if not texts:
-            continue
-        s = stretches(texts, matrix)
-        if not len(s.text):
-            continue
-        grams, of, chars = s.grams
-        if matrix is None:
-            cls = labels[s.text]
-            is_latin = np.bincount(of, (chars < 0x250), len(s.text)) > 0.5 * np.bincount(of, minlength=len(s.text))
-            cls = np.where((cls == arabic) & is_latin, latin, cls)
-        else:
-            cls = posteriors(s, len(texts)).argmax(axis=1)
-        flat = cls[of][:, None] * (ORDERS * BUCKETS) + grams
-        counts += np.bincount(flat.ravel(), minlength=counts.size).reshape(counts.shape)
+        rest = [(plain(t), LANGUAGES.index(c)) for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        while rest:
+            size, n = 0, 0
+            while n < len(rest) and size <= CHUNK:  # a part of the batch, as in ``shares``
+                size, n = size + len(rest[n][0]), n + 1
+            part, rest = rest[:n], rest[n:]
+            _count_part([t for t, _ in part], np.array([c for _, c in part], np.int64), matrix, counts)
     yield pa.RecordBatch.from_pydict({"c": [zlib.compress(counts.tobytes(), 1)]})
 
 
-def train(labelled: DataFrame, text: str, label: str, *, max_docs: int = 6_000, passes: int = 2) -> np.ndarray:
+def _count_part(texts: list[str], labels: np.ndarray, matrix: np.ndarray | None, counts: np.ndarray) -> None:
+    latin, arabic = CLASSES.index("ur-Latn"), CLASSES.index("ur")
+    s = stretches(texts, matrix)
+    if not len(s.text):
+        return
+    grams, of, chars = s.grams
+    if matrix is None:
+        cls = labels[s.text]
+        is_latin = np.bincount(of, (chars < 0x250), len(s.text)) > 0.5 * np.bincount(of, minlength=len(s.text))
+        cls = np.where((cls == arabic) & is_latin, latin, cls)
+    else:
+        cls = posteriors(s, len(texts)).argmax(axis=1)
+    flat = cls[of][:, None] * (ORDERS * BUCKETS) + grams
+    counts += np.bincount(flat.ravel(), minlength=counts.size).reshape(counts.shape)
+
+
+def train(labelled: DataFrame, text: str, label: str, *, max_docs: int = 1_000, passes: int = 2) -> np.ndarray:
     """Log-probability matrix from documents and their labels in any notation.
 
-    At most about ``max_docs`` labelled documents are read into the model: those whose text hash lies under a threshold,
-    so the sample doesn't depend on the order of rows.  Null and blank texts and unknown labels are left out.  With no
-    labelled row the model knows only the languages that own a script.
+    At most about ``max_docs`` labelled documents of each language are read into the model: those whose text hash lies
+    under the language's threshold, so the sample doesn't depend on the order of rows, and a rare language keeps its
+    share.  Repeated texts count once; null and blank texts and unknown labels are left out.  With no labelled row the
+    model knows only the languages that own a script.
     """
-    rows = labelled.select(F.col(text).alias("t"), label_code(F.col(label)).alias("l")).where(F.col("l").isNotNull() & (F.trim("t") != ""))
-    n = max(1, labelled.count())
-    keep = min(1.0, max_docs / n)
-    sample = rows if keep >= 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.lit(max(1, int(keep * (1 << 20)))))
-    sample = sample.distinct().repartition(6).persist()  # a text repeated very often counts once
+    rows = labelled.select(F.col(text).alias("t"), label_code(F.col(label)).alias("l")).where(F.col("l").isNotNull() & (F.trim("t") != "")).withColumn("h", F.xxhash64("t"))
+    # Distinct labelled texts of each language, counted by their hashes.
+    counts = {r.l: r.n for r in rows.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("n")).collect()}
+    whole = 1 << 40
+    under = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(whole * min(1.0, max_docs / n))).cast("bigint"))]) if counts else F.lit(None).cast("map<string, bigint>")
+    sample = rows.where(F.pmod("h", F.lit(whole).cast("bigint")) < under[F.col("l")]).select("t", "l").distinct().repartition(6).persist()
     base = _own_script_counts()
     matrix = None
     for _ in range(passes):

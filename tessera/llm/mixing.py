@@ -98,6 +98,6 @@ def mix(documents: DataFrame, targets: DataFrame, *, total: int | None = None, *
     drawn_rows = copies.where(F.col("copies") > 0)
     got = copies.groupBy("source").agg(F.count("*").alias("available_docs"), F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
     full = targets.join(got, "source", "left").fillna(0, ["available_docs", "available_tokens", "mixed_tokens", "most_copies"])
-    every = full.select(F.sum("mixed_tokens").alias("_all"))
-    report = full.join(F.broadcast(every)).select("source", "target_share", "max_repeats", "available_docs", "available_tokens", "mixed_tokens", F.coalesce(F.try_divide(F.col("mixed_tokens"), F.col("_all")), F.lit(0.0)).alias("actual_share"), "most_copies")
+    every = F.lit(full.agg(F.sum("mixed_tokens")).first()[0])  # over one row a source
+    report = full.select("source", "target_share", "max_repeats", "available_docs", "available_tokens", "mixed_tokens", F.coalesce(F.try_divide(F.col("mixed_tokens"), every), F.lit(0.0)).alias("actual_share"), "most_copies")
     return drawn_rows, report

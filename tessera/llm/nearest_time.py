@@ -3,8 +3,8 @@
 Rows are hash-partitioned by (entity, time block) into Arrow groups; inside each, DuckDB joins the nearest earlier and
 the nearest later record (ASOF), and the nearer one within the tolerance is kept.  Records near the edge of a block are
 also put into the neighbouring block, so no pair is lost and a hot entity is spread over its blocks.  The records of one
-instant are combined before the shuffle, and so are the query instants, so a group holds at most as many rows as a block
-has instants.
+instant are combined before the shuffle, and so are the query instants, so a block holds at most two rows an instant.
+The number of groups grows with the rows, about GROUP_ROWS each.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_MS = 120_000
+#: Rows that a group has on average at most.
+GROUP_ROWS = 50_000
 
 
 def _asof(t: pa.Table) -> pa.Table:
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
     try:
         con.register("rows_", t)
         out = con.sql("""
@@ -51,8 +53,7 @@ def nearest(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, e
     near = F.array_distinct(F.array(block_of(F.col("_t") - tolerance), block_of(F.col("_t")), block_of(F.col("_t") + tolerance)))
     both = points.select("_k", "_t", "_id", "_b").unionByName(there.select("_k", "_t", "_id", F.explode(near).alias("_b")))
     spark = left.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A few groups per shuffle partition: whole blocks, so that the instants of a group stay bounded by block * GROUP_BLOCKS.
-    grouped = both.withColumn("_g", F.pmod(F.xxhash64("_k", F.floor(F.col("_b") / 8)), F.lit(parts * 8)))
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(left.count() + 2 * right.count()) // GROUP_ROWS))
+    grouped = both.withColumn("_g", F.pmod(F.xxhash64("_k", "_b"), F.lit(groups)))
     found = grouped.groupBy("_g").applyInArrow(lambda t: _asof(t.drop_columns(["_g"])), "_k string, _t bigint, _id bigint, _rt bigint").where(F.col("_id").isNotNull() & (F.abs(F.col("_rt") - F.col("_t")) <= tolerance))
     return asked.join(found, ["_k", "_t"]).select(F.col("_lid").alias(left_id), F.col("_id").alias(right_id), F.abs(F.col("_rt") - F.col("_t")).alias("distance_ms"))
