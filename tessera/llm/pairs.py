@@ -1,12 +1,13 @@
 """Broken prompt and response pairs: empty, refusing, copying, truncated and foreign-language answers.
 
 * Languages of prompt and answer are compared by their character n-gram naive Bayes posteriors.
-* Truncation: the likelihood of n-grams (the last word, and pairs of it with the words before it by distance) to stand
-  at the end of a text against its middle, counted over the complete sentences of all answers.
+* Truncation: the likelihood of n-grams (the last mark; or the last word, and pairs of it with the words before it by
+  distance) to stand at the end of a text against its middle, counted over the complete sentences of all answers.  An
+  exact check for open brackets, quotations and citations follows.
 * Refusal: naive Bayes over word n-grams; answers to unanswerable prompts against answers to answerable ones, with a
   few general phrases of refusal in each language as a prior.
 
-All counts are kept in hashed tables of fixed size, whatever the corpus.
+All counts are kept in hashed tables of fixed size, whatever the corpus; their cells are summed by bucket.
 """
 
 from __future__ import annotations
@@ -27,20 +28,26 @@ from tessera.llm.textcodes import plain
 DEFECTS = ("empty", "refusal", "copy", "truncated", "other_language")
 SIZE, ENDS = 1 << 20, 1 << 22
 #: Words in which a refusal is looked for at once; a longer answer is taken in windows of so many, each half over the one before.
-SHORT = 60
+WINDOW = 60
 NEAR = 8
 _THINK = re.compile(r"<think>.*?(?:</think>|$)", re.S)
-_CITE = re.compile(r"[\[(（][^\[\]()（）]*chunk_[^\[\]()（）]*[\])）]")
-_OPEN_CITE = re.compile(r"[\[(（][^\[\]()（）]*$")
+#: An id of a citation has an underscore, and may have a name before it.
+_ID = r"(?:\w+=)?[\w.-]*_[\w.-]*"
+_CITE = re.compile(rf"[\[(（]\s*{_ID}(?:\s*[,;،；]\s*{_ID})*\s*[\])）]")
+_OPEN = re.compile(r"[\[(（][^\[\]()（）]*$")
+_OPEN_CITE = re.compile(r"[\[(（][^\[\]()（）\s]*[_=][^\[\]()（）]*$")
 _LABEL = re.compile(r"^\W*\w{1,12}\s*[:：]\s*")
 _MARKS = "\u0300-\u036f\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u0900-\u0963\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u200c"
 _WORD = re.compile(rf"[⺀-鿿]|[^\W_⺀-鿿](?:[^\W_⺀-鿿]|['’](?=\w)|[{_MARKS}])*")
 _FINAL = re.compile(r"[.!?۔؟।。！？…]")
 _SPLIT = re.compile(r"(?<=[.!?۔؟।…])[\"»”’)\]）]*\s+|(?<=[。！？])[”」）]*|\n+")
+_CLOSING = "\"»”’)]）」"
 #: A quotation after the last sentence.
 _QUOTED = re.compile(r"(?<=[\s.!?۔؟।。！？…])(?:«[^«»]*»|“[^“”]*”|\"[^\"]*\")$")
 _PAIRS = {"(": ")", "[": "]", "（": "）", "«": "»", "“": "”", "「": "」"}
 
+#: What the phrases below count for in the refusals' side, as the prior.
+PHRASE_WEIGHT = 4
 # General phrases by which answers are declined.
 REFUSAL_PHRASES = (
     "I cannot answer", "I can't help with that", "unable to answer", "not enough information to answer", "no answer is given in the excerpts",
@@ -122,18 +129,18 @@ def _end_keys(h: np.ndarray, of: np.ndarray) -> list[tuple[np.ndarray, np.ndarra
     return [(p, (k & np.uint64(ENDS - 1)).astype(np.int64)) for p, k in out]
 
 
-def complete_sentences(text: str) -> Iterator[list[str]]:
-    """Words of the sentences of a body that end in a mark."""
+def complete_sentences(text: str) -> Iterator[tuple[list[str], str, list[str]]]:
+    """Words of the sentences of a body that end in a mark, that mark, and the marks inside."""
     for part in _SPLIT.split(text):
-        part = (part or "").strip().rstrip("\"»”’)]）」")
+        part = (part or "").strip().rstrip(_CLOSING)
         if part and _FINAL.match(part[-1]):
             ws = words(part)
             if len(ws) > 1:
-                yield ws
+                yield ws, part[-1], _FINAL.findall(part[:-1])
 
 
 def windows(ws: list[str]) -> list[list[str]]:
-    return [ws] if len(ws) <= SHORT else [ws[i : i + SHORT] for i in range(0, len(ws) - SHORT // 2, SHORT // 2)]
+    return [ws] if len(ws) <= WINDOW else [ws[i : i + WINDOW] for i in range(0, len(ws) - WINDOW // 2, WINDOW // 2)]
 
 
 @dataclass
@@ -146,76 +153,77 @@ def _flat(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return _hashes([w for p in parts for w in p]), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
+def _mark_keys(marks: list[str]) -> np.ndarray:
+    return (_mix(_hashes(marks), np.uint64(0), 13) & np.uint64(ENDS - 1)).astype(np.int64)
+
+
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ends = np.zeros((2, ENDS), np.float32)
-    refs = np.zeros((2, SIZE), np.float32)
-    totals = np.zeros(2)
+    """Nonzero cells of the tables: bucket (ends, then refusals, then one for the answers) and the counts of its two sides."""
+    cells = np.zeros((2, ENDS + SIZE + 1), np.int64)
     for b in it:
         sides: tuple[list, list] = ([], [])
         sents: list[list[str]] = []
+        marks: tuple[list, list] = ([], [])
         for answer, answerable in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             text = body(answer)
             ws = words(text)
             if not ws:
                 continue
-            sents.extend(complete_sentences(text))
+            for sentence, mark, inside in complete_sentences(text):
+                sents.append(sentence)
+                marks[0].append(mark)
+                marks[1].extend(inside)
             if answerable is not None:
                 sides[0 if answerable is False else 1].append(ws)
         for i, parts in enumerate(sides):
-            totals[i] += len(parts)
+            cells[i, -1] += len(parts)
             if parts:
-                refs[i] += np.bincount(_grams(*_flat(parts))[0], minlength=SIZE).astype(np.float32)
+                np.add.at(cells[i], ENDS + _grams(*_flat(parts))[0], 1)
+        for i, found in enumerate(marks):
+            if found:
+                np.add.at(cells[i], _mark_keys(found), 1)
         if sents:
             h, of = _flat(sents)
             last = np.append(of[1:] != of[:-1], True)
             for at, key in _end_keys(h, of):
                 for side, mask in ((0, last[at]), (1, ~last[at])):
-                    np.add.at(ends[side], key[mask], 1)
-    yield pa.RecordBatch.from_pydict({"e": [_packed(ends)], "r": [_packed(refs)], "n": [totals.tobytes()]})
-
-
-def _packed(a: np.ndarray) -> bytes:
-    """Nonzero places and values, compressed."""
-    at = np.flatnonzero(a).astype(np.int32)
-    return zlib.compress(np.concatenate((at, a.ravel()[at].astype(np.int32))).tobytes(), 1)
+                    np.add.at(cells[side], key[mask], 1)
+    at = np.flatnonzero(cells.any(axis=0))
+    for i in range(0, len(at), 100_000):
+        part = at[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(cells[0, part]), pa.array(cells[1, part])], names=["at", "a", "b"])
 
 
-def _unpack(raw: bytes, into: np.ndarray) -> None:
-    both = np.frombuffer(zlib.decompress(raw), np.int32)
-    n = len(both) // 2
-    into.ravel()[both[:n]] += both[n:]
-
-
-def _sum(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ends, refs, n = np.zeros((2, ENDS), np.float32), np.zeros((2, SIZE), np.float32), np.zeros(2)
+def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells as compressed bytes, for the way to the driver."""
     for b in it:
-        for e, r, t in zip(*(b.column(i).to_pylist() for i in range(3))):
-            _unpack(e, ends)
-            _unpack(r, refs)
-            n += np.frombuffer(t)
-    yield pa.RecordBatch.from_pydict({"e": [_packed(ends)], "r": [_packed(refs)], "n": [n.tobytes()]})
+        cols = [c.to_numpy().astype(t).tobytes() for c, t in zip(b.columns, (np.int32, np.int64, np.int64))]
+        yield pa.RecordBatch.from_pydict({"raw": [zlib.compress(b"".join(cols), 1)], "n": [b.num_rows]})
 
 
 def train(reviews: DataFrame, answer: str, answerable: str) -> Model:
-    """Counts over every row; tables of fixed size are summed in two steps."""
-    parts = reviews.select(F.col(answer), F.col(answerable)).mapInArrow(_count, "e binary, r binary, n binary")
-    rows = parts.repartition(3).mapInArrow(_sum, "e binary, r binary, n binary").collect()
-    ends, refs, n = np.zeros((2, ENDS), np.float32), np.zeros((2, SIZE), np.float32), np.zeros(2)
-    for r in rows:
-        _unpack(r.e, ends)
-        _unpack(r.r, refs)
-        n += np.frombuffer(r.n)
-    no, yes = refs.astype(np.float64)
+    """Counts over every row.  A task's table has at most ENDS + SIZE cells and so has their sum, which goes to the driver."""
+    tasks = 4 * reviews.sparkSession.sparkContext.defaultParallelism  # each with a table, whatever the rows
+    cells = reviews.select(F.col(answer), F.col(answerable)).coalesce(tasks).mapInArrow(_count, "at int, a bigint, b bigint").groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = np.zeros((2, ENDS + SIZE + 1))
+    for r in cells.mapInArrow(_packed, "raw binary, n bigint").toLocalIterator():
+        raw = zlib.decompress(r.raw)
+        at = np.frombuffer(raw, np.int32, r.n)
+        sums[:, at] = np.frombuffer(raw, np.int64, 2 * r.n, 4 * r.n).reshape(2, r.n)
+    ends, (no, yes), n = sums[:, :ENDS].astype(np.float32), sums[:, ENDS : ENDS + SIZE], sums[:, -1]
     share = (n + 1) / (n.sum() + 2)
     prior = np.bincount(_grams(*_flat([words(plain(p)) for p in REFUSAL_PHRASES]))[0], minlength=SIZE)
-    no += 4 * prior
+    no = no + PHRASE_WEIGHT * prior
     weight = 3.0
     ratio = np.log((no + weight * share[0]) / share[0]) - np.log((yes + weight * share[1]) / share[1])
     return Model(ends.T.copy(), ratio.astype(np.float32))
 
 
-def end_score(model: Model, ws: list[str]) -> float:
-    """Log odds that the last word stands at an end rather than inside a sentence."""
+def end_score(model: Model, ws: list[str], mark: str | None = None) -> float:
+    """Log odds that the last mark, or without one the last word, stands at an end rather than inside a sentence."""
+    if mark:
+        e, m = model.ends[_mark_keys([mark])[0]]
+        return float(np.log((e + 1) / (m + 0.5)))
     if not ws:
         return 0.0
     ws = ws[-(NEAR + 1) :]
@@ -245,32 +253,29 @@ def refusal_scores(model: Model, texts: list[list[str]]) -> np.ndarray:
 
 
 def is_truncated(model: Model, answer: str, text: str) -> bool:
-    """Breaks off inside a citation, bracket, quotation, sentence or word; a missing final mark alone is no break."""
-    rest = _THINK.sub(" ", plain(answer)).strip()
-    opened = _OPEN_CITE.search(rest)
-    if opened:
-        return True
+    """Breaks off inside a sentence or word, by the likelihood of its end; or, by an exact check, inside a citation, bracket or quotation.
+
+    A missing final mark alone is no break.
+    """
     tail = _QUOTED.sub("", text.rstrip(" *_>#`")).rstrip(" *_>#`")
-    if not tail:
-        return False
+    last = [p for p in _SPLIT.split(tail) if p and p.strip()]
+    final = tail.rstrip(_CLOSING)[-1:]
+    if end_score(model, words(last[-1]) if last else [], final if _FINAL.match(final) else None) < 0:
+        return True
+    if _OPEN.search(_THINK.sub(" ", plain(answer)).strip()):
+        return True
     stack: list[str] = []
     for ch in tail:
         if ch in _PAIRS:
             stack.append(_PAIRS[ch])
         elif stack and ch == stack[-1]:
             stack.pop()
-    if stack or tail.count('"') % 2:
-        return True
-    if _FINAL.match(tail.rstrip("\"»”’)]）」")[-1:] or "x"):
-        return False
-    last = [p for p in _SPLIT.split(tail) if p and p.strip()]
-    ws = words(last[-1]) if last else []
-    return bool(ws) and end_score(model, ws) < 0
+    return bool(stack) or tail.count('"') % 2 == 1
 
 
 def defect(model: Model, question: str | None, answer: str | None, answerable: bool | None, langs: tuple[str | None, str | None], refusal: float) -> str | None:
     text = body(answer)
-    shown = _OPEN_CITE.sub("", text) if "chunk" in text[-60:] else text
+    shown = _OPEN_CITE.sub("", text)
     bare = _bare(shown)
     if not bare:
         return "empty"

@@ -59,3 +59,21 @@ def test_long_refusal(spark, documents):
     df = frame(spark, [*ROWS * 6, (q, plea * 8, True), (q, plea * 8, False), (q, lesson * 12, True), (q, lesson * 12 + plea * 8, True)])
     got = {r.review_id: r.defect for r in P.defects(df, "review_id", "q", "a", "ok", documents).where("review_id >= 480").collect()}
     assert got == {480: "refusal", 483: "refusal"}
+
+
+def test_other_citation_forms_and_marks(spark, documents):
+    q = "What did the speaker say about the next page?"
+    said = "The lesson explains the market of the river clearly."
+    cases = [("[source=DOC_17, DOC_18]", "empty"), ("[DOC_17", "empty"), (said + " [DOC_17; DOC_18]", None), (said + " (see_" + "x" * 90, "truncated"), ("The lesson explains «the market", "truncated")]
+    df = frame(spark, [*ROWS * 3, *[(q, a, True) for a, _ in cases]])
+    got = {r.review_id: r.defect for r in P.defects(df, "review_id", "q", "a", "ok", documents).collect()}
+    assert [got.get(len(ROWS) * 3 + i) for i in range(len(cases))] == [d for _, d in cases]
+
+
+def test_cells_are_the_counts(spark):
+    answers = [("The river is long. It ended", True), ("No answer here.", False), (None, True), ("Two. Three four.", None)]
+    df = spark.createDataFrame(answers * 3, "a string, ok boolean").repartition(3)
+    m = P.train(df, "a", "ok")
+    at = [int(P._mark_keys([x])[0]) for x in (".", "!")]
+    assert m.ends[at[0]].tolist() == [9.0, 0.0] and m.ends[at[1]].tolist() == [0.0, 0.0]
+    assert P.end_score(m, ["long"], ".") > 0 and P.train(df.limit(0), "a", "ok").ends.sum() == 0
