@@ -193,12 +193,16 @@ def same_look(pairs: DataFrame, key: list[str], one: str, other: str) -> DataFra
 
 
 def found_pairs(segments: DataFrame, entities: DataFrame) -> DataFrame:
-    """``item_kind, item_key``: v3 segments that look as their v2 text, ayah and dua entities that look as their canonical text."""
-    one = segments.where(F.col("version").isin("v2", "v3")).select("seg_key", "version", "recording", "seq", "text").dropDuplicates(["seg_key"])  # a redelivered row once, before the join
-    base = one.where(F.col("text").isNotNull() & F.col("recording").isNotNull() & F.col("seq").isNotNull())
-    v3 = base.where(F.col("version") == "v3").select("recording", "seq", F.col("seg_key").cast("bigint").alias("item_key"), F.col("text").alias("one"))
-    v2 = base.where(F.col("version") == "v2").select("recording", "seq", F.col("text").alias("other"))
-    of_segment = v3.join(v2, ["recording", "seq"]).select(F.lit("segment").alias("item_kind"), "item_key", "one", "other")
+    """``item_kind, item_key``: v3 segments that look as their v2 text, ayah and dua entities that look as their canonical text.
+
+    A version of a segment is one (recording, seq); should it have rows that differ, the greatest is taken.
+    """
+    # Both versions of a segment meet in one grouping, which also takes redelivered rows once.
+    is_3, there = F.col("version") == "v3", F.col("text").isNotNull() & F.col("recording").isNotNull() & F.col("seq").isNotNull()
+    both = segments.where(F.col("version").isin("v2", "v3") & there).groupBy("recording", "seq").agg(
+        F.max(F.when(is_3, F.struct(F.col("seg_key").cast("bigint").alias("item_key"), "text"))).alias("_3"), F.max(F.when(~is_3, F.col("text"))).alias("other"),
+    )
+    of_segment = both.where(F.col("_3").isNotNull() & F.col("other").isNotNull()).select(F.lit("segment").alias("item_kind"), "_3.item_key", F.col("_3.text").alias("one"), "other")
     of_entity = entities.where(F.col("etype").isin("ayah", "dua")).select(F.lit("entity").alias("item_kind"), F.col("entity_id").cast("bigint").alias("item_key"), F.col("text").alias("one"), F.col("canonical_text").alias("other"))
     return same_look(of_segment.unionByName(of_entity), ["item_kind", "item_key"], "one", "other")
 

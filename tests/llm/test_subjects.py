@@ -37,29 +37,59 @@ def test_empty_tables(spark):
     assert S.found_subjects(one, lab).count() == 0
 
 
-def test_redundant_rules_are_pruned_and_longer_ones_win():
-    r = S.Rules(by_words={("a",): {"x": 0.9}, ("a", "b"): {"y": 0.95}}, telling={"a": 1.0, "b": 1.0})
-    assert r.evidence(["a"])[0] == "x" and r.evidence(["a", "b"])[0] == "y" and r.evidence(["c"]) == (None, 0.0)
+def test_longer_rules_win_and_all_words_count():
+    r = S.Rules(by_words={(0,): {"x": 0.9}, (0, 1): {"y": 0.95}}, telling={"en": {"a": 0, "b": 1}})
+    assert r.known(["b", "c", "a"], "en") == (0, 1) and r.known(["a"], None) == ()
+    assert r.evidence((0,))[0] == "x" and r.evidence((0, 1))[0] == "y" and r.evidence((5,)) == (None, 0.0)
+    many = S.Rules(by_words={(29,): {"law": 0.9}}, telling={"": {f"w{i:02d}": i for i in range(30)}})
+    assert many.evidence(many.known([f"w{i:02d}" for i in range(30)], ""))[0] == "law"
 
 
-def test_all_telling_words_count(spark):
+def test_growth_against_brute_force(spark):
+    """Every rule that is not redundant is found, however many telling words a sentence has."""
     from collections import Counter
     from itertools import combinations
 
-    from tessera.llm import subjects
-
-    ws = [f"\tw{i:02d}" for i in range(12)]
-    rules = subjects.Rules({(ws[11],): {"law": 0.9}}, {w: float(12 - i) for i, w in enumerate(ws)})
-    assert rules.known(ws) == ws and rules.evidence(ws)[0] == "law"
-
-    sents = [(ws, "law")] * 2 + [(ws[:3], "law"), (ws[1:3], "art"), (ws[9:], "law"), (ws[:10], "art")] + [(["\tx", "\ty"], "art")] * 3
-    base = spark.createDataFrame([([*a, "\0" + c],) for a, c in sents], "items array<string>")
+    rng = random.Random(6)
+    sents = [(tuple(sorted(rng.sample(range(9), rng.randrange(1, 8)))), rng.choice("ab")) for _ in range(150)]
+    sents += [(tuple(range(9)), "a")] * 6 + [((0, 4, 8), "b")] * 30 + [((7,), "b")] * 40
     n, whole = Counter(), Counter()
-    for a, c in sents:
-        for k in (1, 2):
-            for x in combinations(a, k):
+    for got, c in sents:
+        for k in range(1, len(got) + 1):
+            for x in combinations(got, k):
                 n[x, c] += 1
                 whole[x] += 1
-    rows = subjects._frequent(base, 3).collect()
-    assert len(rows) == len({(tuple(r.words), r.subject) for r in rows})
-    assert {(tuple(r.words), r.subject): (r.freq, r["all"]) for r in rows} == {(x, c): (k, whole[x]) for (x, c), k in n.items() if k >= 3}
+    least = 4
+    raw: dict = {}
+    for (x, c), k in n.items():
+        if k >= least and k >= S.MIN_CONFIDENCE * whole[x]:
+            raw.setdefault(x, {})[c] = S._confidence(k, whole[x])
+    want = {a: {c: p for c, p in by.items() if all(raw.get(x, {}).get(c, 0) < p - S.GAIN for k in range(1, len(a)) for x in combinations(a, k))} for a, by in raw.items()}
+    want = {a: by for a, by in want.items() if by}
+    rows = [(got[j], list(got[:j]), c) for got, c in sents for j in range(len(got))]
+    parts = spark.createDataFrame(rows, "item int, before array<int>, subject string").groupBy("item", "before", "subject").count().withColumnRenamed("count", "n")
+    found: dict = {}
+    for r in S.patterns(parts, least).collect():
+        assert (n[tuple(r.words), r.subject], whole[tuple(r.words)]) == (r.n, r["all"])
+        found.setdefault(tuple(r.words), {})[r.subject] = S._confidence(r.n, r["all"])
+    assert S.pruned(found) == want and max(map(len, want)) > 2
+
+
+def test_sentence_of_thirty_telling_words(spark):
+    words = [f"telling{'abcdefghij'[i % 10] * (1 + i // 10)}" for i in range(30)]
+    docs = [(i, (" ".join(words) if i % 2 else "Other words entirely. " + words[i % 30] + " here") + ". ", "en") for i in range(60)]
+    labels = [(i, "law" if i % 2 else "art", "x") for i in range(60)]
+    got = S.found_subjects(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, subject string, annotator string"))
+    assert {r.doc_id for r in got.where("subject = 'law'").collect()} >= {i for i in range(60) if i % 2}
+
+
+def test_bounded_sample(spark):
+    docs = spark.createDataFrame([(i, "x", "en" if i % 10 else None) for i in range(5_000)], "doc_id long, text string, lang string")
+    n = {r.lang: r["count"] for r in S.fitted_on(docs, 400).groupBy("lang").count().collect()}
+    assert 300 < n["en"] < 500 and 300 < n[None] < 500
+    assert S.fitted_on(docs, 10_000).count() == 5_000
+
+
+def test_cut_up():
+    assert [sorted(x) for x in S.sentences_of(S.cut_up("The cat, the 12 cats! 我们上课。好\nEnd"))] == [["cat", "cats", "the"], ["上课", "们上", "我们"], ["end"]]
+    assert S.cut_up(None) == S.cut_up("") == S.cut_up("1 2. 3") == ""
