@@ -48,10 +48,10 @@ _ENDS = frozenset(".!?۔؟।…。！？\n")
 _TOKEN = re.compile(rf"[.!?۔؟।…][{re.escape(_CLOSING)}]*(?=\s)|[。！？\n]|{_WORD.pattern}")
 
 
-def cut_up(text: str | None) -> str:
-    """The distinct words of each sentence of a text, as one string; of ideographs the pairs of neighbours; no numbers."""
+def cut_up(text: str) -> str:
+    """The distinct words of each sentence of a plain text, as one string; of ideographs the pairs of neighbours; no numbers."""
     out, words, before = [], {}, ""
-    for token in _TOKEN.findall(plain(text or "").lower()):
+    for token in _TOKEN.findall(text.lower()):
         ch = token[0]
         if ch in _ENDS:
             if words:

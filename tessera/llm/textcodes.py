@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 import numpy as np
@@ -10,6 +11,8 @@ import numpy as np
 #: Invisible characters that carry no text: format controls and the soft hyphen.
 INVISIBLE = dict.fromkeys([0xAD, 0x61C, 0x180E, 0xFEFF, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070)])
 
+_INVISIBLE = re.compile("[" + "".join(map(chr, INVISIBLE)) + "]")
+
 
 @functools.cache
 def letters() -> np.ndarray:
@@ -25,7 +28,10 @@ def base_letters() -> np.ndarray:
 
 def plain(text: str) -> str:
     """Compatibility-composed form without invisible characters; ASCII is returned as it is."""
-    return text if text.isascii() else unicodedata.normalize("NFKC", text).translate(INVISIBLE)
+    if text.isascii():
+        return text
+    t = text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+    return t.translate(INVISIBLE) if _INVISIBLE.search(t) else t
 
 
 def code_points(text: str) -> np.ndarray:
