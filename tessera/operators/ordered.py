@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import itertools
 import operator
-import re
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import SPACE
+
 # Fixed values of the chunk policy (seconds).
 TARGET_S, LEAST_S, MOST_S, PAUSE_S = 30, 15, 60, 1.0
-SENTENCE_END, CLAUSE_END = re.compile(r"[.!?۔؟]$"), re.compile(r"[,;:،؛]$")
 CLOSING = "\"'”’»)]}"
+SENTENCE_END, CLAUSE_END = rf"[.!?۔؟][{CLOSING[:-2]}\]}}]*$", rf"[,;:،؛][{CLOSING[:-2]}\]}}]*$"
+#: What a place to stop is worth: after a sentence, before a pause, after a clause.
+AT_SENTENCE, AT_PAUSE, AT_CLAUSE = 3, 2, 1
 BUFFER_WORDS, BUFFER_TAIL = 15, 8
 
 
@@ -36,49 +41,65 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column, agg
     return joined.select(*df.columns, *[value(n, f).alias(n) for n, (f, _) in aggs.items()])
 
 
-def apply_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[list], list[tuple]], schema: str, per_partition: int = 8) -> DataFrame:
-    """``fn`` from the rows (named tuples, in ``order``) of each of many small groups to rows of ``schema``.
+def apply_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[Iterator], Iterator[tuple]], schema: str) -> DataFrame:
+    """``fn`` from the rows (tuples of the columns of ``df``, in ``order``) of each group to rows of ``schema``.
 
-    Groups are packed by hash, so that one call serves many; no key may be null.
+    Rows are partitioned by ``keys``, sorted, and go through as a stream: a group is never held as a whole unless ``fn``
+    holds it.  No key may be null.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * per_partition
-    names = [c.split()[0] for c in schema.split(", ")]
+    names, at = [c.split()[0] for c in schema.split(", ")], [df.columns.index(k) for k in keys]
+    key = operator.itemgetter(*at)
+    out_types = [f.dataType for f in df.sparkSession.createDataFrame([], schema).schema.fields]
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(t) for t in out_types]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.drop(columns="_pack").sort_values([*keys, *order], kind="stable").itertuples(index=False)
-        key = operator.attrgetter(*keys)
-        return pd.DataFrame([x for _, g in itertools.groupby(rows, key) for x in fn(list(g))], columns=names)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in it for r in zip(*(c.to_pylist() for c in b.columns)))
+        made = (x for _, group in itertools.groupby(rows, key) for x in fn(group))
+        while part := list(itertools.islice(made, 5_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names=names)
 
-    return df.withColumn("_pack", F.pmod(F.xxhash64(*keys), F.lit(n))).groupBy("_pack").applyInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def chunk_rows(rows: list[tuple], exhausted: bool = True) -> list[tuple[int, int, float, float, str]]:
-    """Chunks (first, past, start, end, text) of segments (start, end, text) in order.
+def _stop(starts: np.ndarray, ends: np.ndarray, marks: np.ndarray, following: float | None, whole: bool) -> int:
+    """How many of the segments at hand make the chunk that begins with the first.
 
-    From a first segment on, a chunk may stop after any segment that makes it LEAST_S long, best at a sentence end, then
-    before a pause, then at a clause end, then nearest TARGET_S; it never passes MOST_S but for a single segment.  Where
-    the segments run out within MOST_S they are one chunk (if ``exhausted``: a long pause follows otherwise).
+    ``following`` is the start of the segment after them, or None at the end of the input; ``whole``: then what fits is one chunk.
+    """
+    reach = np.maximum.accumulate(ends)
+    length = reach - starts[0]
+    fit = max(1, int(np.searchsorted(length, MOST_S, "right")))
+    if fit == len(starts) and following is None and whole:
+        return fit
+    after = np.append(starts[1:], reach[-1] + MOST_S if following is None else following)[:fit]
+    worth = np.where(marks[:fit] == AT_SENTENCE, AT_SENTENCE, np.where(after - reach[:fit] >= PAUSE_S, AT_PAUSE, marks[:fit]))
+    able = np.flatnonzero(length[:fit] >= LEAST_S)
+    if not len(able):
+        return fit
+    return 1 + int(able[np.lexsort((able, -np.abs(length[able] - TARGET_S), worth[able]))[-1]])
+
+
+def chunk_stream(rows: Iterator[tuple], whole: bool = True) -> Iterator[tuple[list, float, float, str]]:
+    """Chunks (seqs, start, end, text) of segments (seq, start, end, text, mark) in order of their start.
+
+    From its first segment on, a chunk may stop after any segment that makes it LEAST_S long, best after a sentence, then
+    before a pause, then after a clause, then nearest TARGET_S; it never passes MOST_S but for a single segment.  Where the
+    segments run out within MOST_S they are one chunk (if ``whole``: a long pause follows otherwise).  Only the segments
+    within reach of a chunk are held.
     """
-    out, i, n = [], 0, len(rows)
-    while i < n:
-        origin, reach, best, j = rows[i][0], rows[i][1], None, i
-        while j < n:
-            longer = max(reach, rows[j][1])
-            if longer - origin > MOST_S and j > i:
-                break
-            reach = longer
-            length = reach - origin
-            if length >= LEAST_S:
-                text = rows[j][2].rstrip().rstrip(CLOSING)
-                pause = rows[j + 1][0] - reach if j + 1 < n else 0 if exhausted else MOST_S
-                rank = 3 if SENTENCE_END.search(text) else 2 if pause >= PAUSE_S else 1 if CLAUSE_END.search(text) else 0
-                best = max(best or (rank, -abs(length - TARGET_S), j + 1), (rank, -abs(length - TARGET_S), j + 1))
-            j += 1
-        stop = n if j == n and exhausted else best[2] if best else max(j, i + 1)
-        part = rows[i:stop]
-        out.append((i, stop, origin, max(r[1] for r in part), " ".join(t for t in (r[2].strip() for r in part) if t)))
-        i = stop
-    return out
+    source = iter(rows)
+    held: deque = deque()
+    coming = next(source, None)
+    while held or coming is not None:
+        while coming is not None and (not held or coming[1] <= held[0][1] + MOST_S):
+            held.append(coming)
+            coming = next(source, None)
+        starts, ends, marks = (np.array([r[i] for r in held]) for i in (1, 2, 4))
+        n = _stop(starts, ends, marks, None if coming is None else coming[1], whole)
+        part = [held.popleft() for _ in range(n)]
+        yield [r[0] for r in part], part[0][1], max(r[2] for r in part), " ".join(r[3] for r in part if r[3])
 
 
 def chunks(segments: DataFrame) -> DataFrame:
@@ -87,18 +108,21 @@ def chunks(segments: DataFrame) -> DataFrame:
     A pause longer than MOST_S ends a chunk whatever precedes it, so recordings are cut at such pauses first and the
     pieces are chunked side by side.  Segments with a null time or an end before the start are left out.
     """
-    ok = segments.where(F.col("start_s").isNotNull() & (F.col("end_s") >= F.col("start_s")) & F.col("recording").isNotNull()).select("recording", "seq", "start_s", "end_s", F.coalesce("text", F.lit("")).alias("text"))
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), rf"^{SPACE}|{SPACE}$", "")
+    mark = F.when(bare.rlike(SENTENCE_END), AT_SENTENCE).when(bare.rlike(CLAUSE_END), AT_CLAUSE).otherwise(0)
+    ok = segments.where(F.col("start_s").isNotNull() & (F.col("end_s") >= F.col("start_s")) & F.col("recording").isNotNull()).select("recording", "seq", "start_s", "end_s", bare.alias("text"), mark.alias("mark"))
     block = F.floor(F.col("start_s") / 3600)
     reach = running(ok, ["recording"], ["start_s", "seq"], block, {"_reach": ("max", "end_s")})
     fresh = reach.withColumn("_new", F.when(F.col("start_s") - F.col("_reach") > MOST_S, 1).otherwise(0))
     marked = running(fresh, ["recording"], ["start_s", "seq"], block, {"_piece0": ("sum", "_new")}).withColumn("_piece", F.col("_piece0") + F.col("_new"))
     last = marked.groupBy("recording").agg(F.max("_piece").alias("_last"))
 
-    def run(rows: list) -> list[tuple]:
-        got = chunk_rows([(r.start_s, r.end_s, r.text) for r in rows], rows[0].piece == rows[0].last)
-        return [(rows[0].recording, s, e, z - a, [r.seq for r in rows[a:z]], t) for a, z, s, e, t in got]
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        first = next(rows)
+        for seqs, s, e, t in chunk_stream((r[2:] for r in itertools.chain([first], rows)), first[7]):
+            yield first[0], s, e, len(seqs), seqs, t
 
-    rows = marked.join(last, "recording").select("recording", F.col("_piece").alias("piece"), F.col("_last").alias("last"), "seq", "start_s", "end_s", "text")
+    rows = marked.join(last, "recording").select("recording", F.col("_piece").alias("piece"), "seq", "start_s", "end_s", "text", "mark", (F.col("_piece") == F.col("_last")).alias("whole"))
     return apply_groups(rows, ["recording", "piece"], ["start_s", "seq"], run, "recording string, chunk_start double, chunk_end double, n_segments int, seqs array<int>, text string")
 
 

@@ -45,9 +45,10 @@ def plans(old: DataFrame, new: DataFrame) -> DataFrame:
     groups = periods_and_gaps(both.withColumn("e", F.greatest(F.col("end_ms") - 1, F.col("start_ms") + 1)), ["recording"], "start_ms", "e").where(F.col("kind") == "period").select("recording", F.col("from_ms").alias("g"), F.col("from_ms").alias("g_start"))
     at = last_before(both, groups, "recording", "k", "start_ms", "g", "g_start")
 
-    def run(rows: list) -> list[tuple]:
-        sides = [[{"uid": f"s{r.seq}", "start": r.start_ms / 1000, "end": r.end_ms / 1000, "text": r.text or ""} for r in rows if r.side == v] for v in (0, 1)]
-        return [(rows[0].recording, int(rows[0].g), len(sides[0]), len(sides[1]), [json.dumps(a, ensure_ascii=False) for a in plan(*sides)])]
+    def run(group) -> list[tuple]:
+        rows = list(group)
+        sides = [[{"uid": f"s{r[3]}", "start": r[4] / 1000, "end": r[5] / 1000, "text": r[6] or ""} for r in rows if r[2] == v] for v in (0, 1)]
+        return [(rows[0][0], int(rows[0][1]), len(sides[0]), len(sides[1]), [json.dumps(a, ensure_ascii=False) for a in plan(*sides)])]
 
     rows = both.join(at, "k").select("recording", "g", "side", "seq", "start_ms", "end_ms", "text")
     return apply_groups(rows, ["recording", "g"], ["seq"], run, "recording string, from_ms long, n_old int, n_new int, actions array<string>")

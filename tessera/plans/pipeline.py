@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import ordered, ports, replacement, replay, topics
 from tessera.operators.retrieval import knn
-from tessera.plans.common import ENTITIES_SQL, SEGMENTS_SQL, entities, reviews, segments, timed
+from tessera.plans.common import ENTITIES_SQL, REVIEWS_SQL, SEGMENTS_SQL, entities, reviews, segments, timed
+from tessera.plans.spans import CHUNKS_SQL
 from tessera.plans.scalars import topic_registry
 from tessera.session import table
 
@@ -91,6 +92,13 @@ def cited_chunks(spark: SparkSession, d: str) -> DataFrame:
     return r.join(_chunks(spark, d).select("chunk_id", "chunk_start", "chunk_end"), "chunk_id", "left").select("review_id", "n", "chunk_id", F.round("chunk_start", 3).alias("chunk_start"), F.round("chunk_end", 3).alias("chunk_end"))
 
 
+SQL["cited_chunks"] = f"""
+    WITH RECURSIVE {CHUNKS_SQL}, {REVIEWS_SQL}, k AS (SELECT *, recording || '_chunk_' || lpad(CAST(row_number() OVER (PARTITION BY recording ORDER BY chunk_start, chunk_end) - 1 AS VARCHAR), 4, '0') AS chunk_id FROM chunks),
+    r AS (SELECT review_id, unnest(cited_chunk_ids) AS chunk_id, CAST(generate_subscripts(cited_chunk_ids, 1) - 1 AS INTEGER) AS n FROM revs)
+    SELECT review_id, n, r.chunk_id, round(chunk_start, 3) AS chunk_start, round(chunk_end, 3) AS chunk_end FROM r LEFT JOIN k ON r.chunk_id = k.chunk_id
+"""
+
+
 @_q
 def retrieval_traces(spark: SparkSession, d: str) -> DataFrame:
     """Ten nearest chunks of every twentieth question's key against all chunks, the four best reranked, and the prompt's context."""

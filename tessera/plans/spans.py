@@ -195,11 +195,38 @@ def word_buffers(spark: SparkSession, d: str) -> DataFrame:
     return out.select("recording", "buffer", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "n_words", "text")
 
 
+STRIP_SQL = "[\\s\\x0b\\x{85}\\p{Z}]+"
+SQL["word_buffers"] = f"""
+    WITH {SEGMENTS_SQL}, s AS (SELECT recording, seq, start_s, end_s, {words_sql("text")} AS ws FROM segs WHERE version = 'v2' AND start_s IS NOT NULL AND end_s >= start_s),
+    o AS (SELECT *, len(ws) AS n, coalesce(sum(len(ws)) OVER (PARTITION BY recording ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM s),
+    w AS (SELECT recording, off + i AS no, start_s + (end_s - start_s) / n * i AS a, start_s + (end_s - start_s) / n * (i + 1) AS b, ws[i + 1] AS word FROM (SELECT *, unnest(range(0, n)) AS i FROM o WHERE n > 0)),
+    g AS (SELECT *, no // 15 AS g, count(*) OVER (PARTITION BY recording) AS total FROM w),
+    h AS (SELECT *, CASE WHEN total % 15 BETWEEN 1 AND 7 AND g = total // 15 AND g > 0 THEN g - 1 ELSE g END AS buffer FROM g)
+    SELECT recording, buffer, round(min(a), 3) AS start_s, round(max(b), 3) AS end_s, count(*) AS n_words, string_agg(word, ' ' ORDER BY no) AS text FROM h GROUP BY recording, buffer
+"""
+
+
 @_q
 def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
     return ordered.chunks(segments(spark, d, "v2"))
 
 
+# For every segment the stop of a chunk that begins there; then the chain from the first of each recording.
+_ENDING = "[\"''”’»)\\]}]*$"
+CHUNKS_SQL = f"""{SEGMENTS_SQL},
+    s0 AS (SELECT recording, seq, start_s, end_s, regexp_replace(coalesce(text, ''), '^{STRIP_SQL}|{STRIP_SQL}$', '', 'g') AS text FROM segs WHERE version = 'v2' AND start_s IS NOT NULL AND end_s >= start_s),
+    s AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY start_s, seq) - 1 AS n, count(*) OVER (PARTITION BY recording) AS total, lead(start_s) OVER (PARTITION BY recording ORDER BY start_s, seq) AS following,
+        CASE WHEN regexp_matches(text, '[.!?۔؟]{_ENDING}') THEN 3 WHEN regexp_matches(text, '[,;:،؛]{_ENDING}') THEN 1 ELSE 0 END AS mark FROM s0),
+    w AS (SELECT a.recording, a.n AS i, b.n AS j, b.total, b.following, b.mark, a.start_s AS origin, max(b.end_s) OVER (PARTITION BY a.recording, a.n ORDER BY b.n) AS reach
+        FROM s a JOIN s b ON a.recording = b.recording AND b.n >= a.n AND b.start_s <= a.start_s + 60),
+    c AS (SELECT *, reach - origin AS len, CASE WHEN mark = 3 THEN 3 WHEN following - reach >= 1.0 THEN 2 ELSE mark END AS worth FROM w WHERE reach - origin <= 60 OR j = i),
+    stops AS (SELECT recording, i, CASE WHEN max(j) = max(total) - 1 THEN max(total) ELSE coalesce(arg_max(j, (worth, -abs(len - 30), j)) FILTER (len >= 15), max(j)) + 1 END AS stop FROM c GROUP BY recording, i),
+    chain AS (SELECT recording, i, stop FROM stops WHERE i = 0 UNION ALL SELECT t.recording, t.i, t.stop FROM chain h JOIN stops t ON t.recording = h.recording AND t.i = h.stop),
+    chunks AS (SELECT h.recording, min(s.start_s) FILTER (s.n = h.i) AS chunk_start, max(s.end_s) AS chunk_end, CAST(count(*) AS INTEGER) AS n_segments, list(s.seq ORDER BY s.n) AS seqs, coalesce(string_agg(s.text, ' ' ORDER BY s.n) FILTER (s.text <> ''), '') AS text
+        FROM chain h JOIN s ON s.recording = h.recording AND s.n >= h.i AND s.n < h.stop GROUP BY h.recording, h.i)"""
+SQL["greedy_chunks"] = f"WITH RECURSIVE {CHUNKS_SQL} SELECT * FROM chunks"
+
+
 @_q
 def activity_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of users with pauses under ten minutes (the batch form of the stream)."""

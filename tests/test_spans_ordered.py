@@ -49,13 +49,24 @@ def test_running(spark):
         assert r.s == sum(before) and r.m == (max(before) if before else None)
 
 
+MARKS = {".": 3, ",": 1}
+
+
+def chunked(rows, whole=True):
+    return list(ordered.chunk_stream(((i, a, b, t.strip(), MARKS.get(t.strip()[-1:], 0)) for i, (a, b, t) in enumerate(rows)), whole))
+
+
 def test_chunk_rules():
     seg = lambda *xs: [(float(a), float(b), t) for a, b, t in xs]
-    assert [c[:2] for c in ordered.chunk_rows(seg((0, 10, "a"), (10, 20, "b.")))] == [(0, 2)]
+    assert [c[0] for c in chunked(seg((0, 10, "a"), (10, 20, "b.")))] == [[0, 1]]
     rows = seg(*[(10 * i, 10 * i + 10, "x." if i == 2 else "x") for i in range(12)])
-    assert [c[:2] for c in ordered.chunk_rows(rows)] == [(0, 3), (3, 6), (6, 12)]
-    assert ordered.chunk_rows(seg((0, 90, "long"), (90, 95, "b")))[0][:2] == (0, 1)
-    assert ordered.chunk_rows([]) == []
+    assert [c[0] for c in chunked(rows)] == [[0, 1, 2], [3, 4, 5], [6, 7, 8, 9, 10, 11]]
+    assert [c[0] for c in chunked(rows, False)] == [c[0] for c in chunked(rows)] and chunked(seg((0, 90, "long"), (90, 95, "b")))[0][0] == [0]
+    # A pause beats a clause, a sentence beats a pause; of equal places the one nearest the target, then the later.
+    assert chunked(seg((0, 20, "a,"), (20, 30, "b"), (35, 50, "c"), (50, 70, "d")))[0][0] == [0, 1]
+    assert chunked(seg((0, 16, "a."), (16, 30, "b"), (35, 50, "c"), (50, 70, "d")))[0][0] == [0]
+    assert chunked(seg((0, 20, "a."), (20, 40, "b."), (40, 70, "c"), (70, 99, "d")))[0][0] == [0, 1]
+    assert chunked([]) == []
 
 
 def test_chunks_cut_at_pauses_are_those_of_the_whole(spark):
@@ -64,11 +75,18 @@ def test_chunks_cut_at_pauses_are_those_of_the_whole(spark):
     for i in range(300):
         at += rng.choice([0, 0, 0, 0.5, 2, 90, 200])
         end = at + rng.choice([1, 4, 9, 30, 70])
-        rows.append(("r", i, at, end, rng.choice(["a.", "b,", " c ", "d", ""])))
+        rows.append(("r", i, at, end, rng.choice(["a.", "b,", " c ", "d", "", "e.”", "f)"])))
         at = end
     got = sorted((r.chunk_start, r.chunk_end, r.n_segments, r.text) for r in ordered.chunks(spark.createDataFrame(rows, "recording string, seq int, start_s double, end_s double, text string")).collect())
-    want = ordered.chunk_rows([r[2:] for r in rows])
-    assert got == sorted((s, e, b - a, t) for a, b, s, e, t in want)
+    want = chunked([(a, b, t.rstrip("”)") if t != "f)" else t) for _, _, a, b, t in rows])
+    assert [(s, e, n) for s, e, n, _ in got] == sorted((s, e, len(i)) for i, s, e, _ in want)
+
+
+def test_groups_are_streamed_in_order(spark):
+    rows = [(k, i) for k in ("a", "b", "c") for i in random.Random(5).sample(range(4_000), 4_000)]
+    fn = lambda g: ((r[0], n) for n, r in enumerate(g) if r[1] == n)
+    got = ordered.apply_groups(spark.createDataFrame(rows, "k string, i int"), ["k"], ["i"], fn, "k string, n long")
+    assert got.count() == 12_000
 
 
 def test_word_buffers(spark):
