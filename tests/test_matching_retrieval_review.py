@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import matching, retrieval
+from tessera.operators import review
 from tessera.operators.review import Session, fold
 
 
@@ -99,34 +100,90 @@ def test_knn_against_brute_force(spark):
     assert retrieval.knn(df.limit(0), df, "vec_id", "e", 3).count() == 0
 
 
-def test_session_rules():
-    s = Session([{"id": "a", "start": 0.0, "end": 10.0, "text": "abcde fghi"}, {"id": "b", "start": 10.0, "end": 12.0, "text": "x"}], [{"type": "dua", "start": 1.0}])
+def opened():
+    return Session([{"id": "a", "start": 0.0, "end": 10.0, "text": "abcde fghi"}, {"id": "b", "start": 10.0, "end": 12.0, "text": "x"}], [{"type": "dua", "start": 1.0}, {"type": "topics", "start": 0.0, "end": 1.0}])
+
+
+def test_session_segments():
+    s = opened()
     s.apply({"op": "seg.accept", "uid": "s0"})
-    for bad in ({"op": "seg.accept", "uid": "s0"}, {"op": "seg.accept", "uid": "q"}, {"op": "nothing"}, {"op": "ent.retype", "uid": "e0", "type": "poem"}, {"op": "seg.accept", "uid": "s1", "role": "guest"}):
+    s.apply({"op": "seg.accept", "uid": "s0"})  # nothing more happens
+    for bad in ({"op": "seg.accept", "uid": "q"}, {"op": "nothing"}, {}, {"op": "seg.split", "uid": "s0", "at": 10}, {"op": "seg.merge", "uids": ["s0"]}, {"op": "seg.merge", "uids": ["s0", "s0"]}, {"op": "seg.accept", "uid": "s1", "role": "guest"}):
+        with pytest.raises(ValueError):
+            s.apply(bad)
+    first, second = s.apply({"op": "seg.split", "uid": "s0", "at": 5})
+    assert [(x["data"]["end"], x["data"]["text"], x["data"].get("id")) for x in s.segments[:2]] == [(5.0, "abcde", "a"), (10.0, "fghi", None)] and first == "s0"
+    s.apply({"op": "seg.merge", "uids": [second, first]})  # in any order
+    assert len(s.segments) == 2 and s.segments[0]["data"] == {"id": "a", "start": 0.0, "end": 10.0, "text": "abcde fghi"}
+    (new,) = s.apply({"op": "seg.insert", "start": 1, "end": 2, "text": "n"})
+    s.apply({"op": "seg.edit", "uid": new, "text": "m"})
+    assert s.segments[0]["status"] == "inserted" and s.segments[0]["data"] == {"start": 1.0, "end": 2.0, "text": "m"}
+    s.apply({"op": "seg.edit", "uid": "s1", "data": {"start": 3.0, "end": 2.0, "text": "y"}})
+    assert s.segments[-1]["data"] == {"start": 3.0, "end": 2.0, "text": "y"}
+    s.apply({"op": "seg.merge", "uids": ["s0", "s1"]})
+    assert s.segments[1]["data"]["end"] == 2.0  # that of the last
+    s.apply({"op": "seg.split", "uid": "s0", "parts": [{"start": 0.0, "end": 1.0, "text": str(i)} for i in range(3)]})
+    assert [x["data"]["text"] for x in s.segments] == ["m", "0", "1", "2"]
+
+
+def test_session_entities():
+    s = opened()
+    for bad in ({"op": "ent.retype", "uid": "e0", "type": "poem"}, {"op": "ent.scope", "uid": "e0", "scope": "lecture"}, {"op": "ent.add", "type": "poem", "fields": {}}):
         with pytest.raises(ValueError):
             s.apply(bad)
-    s.apply({"op": "seg.split", "uid": "s0", "at": 5})
-    assert [(x["end"], x["text"], x["id"]) for x in s.segments[:2]] == [(5.0, "abcde", "a"), (10.0, "fghi", None)]
-    s.apply({"op": "seg.merge", "uids": [s.segments[0]["uid"], s.segments[1]["uid"]]})
-    assert len(s.segments) == 2 and s.segments[0]["text"] == "abcde fghi"
-    s.apply({"op": "flag.add", "target": "s1", "issue": "missing text"})
-    flag = s.flags[0]["uid"]
+    s.apply({"op": "ent.accept", "uid": "e0", "position": 4})
+    orders = [s.entities[-1]["order"] for start in (0.5, 2.0, 1.5, None) if s.apply({"op": "ent.add", "type": "dua", "fields": {"start": start}})]
+    assert orders == [3.5, 5.0, 4.5, 3.0]
+    assert Session().apply({"op": "ent.add", "type": "dua", "fields": {}}) and review.place_among([], 3.0) == 1.0
+    added = s.entities[-1]["uid"]
+    for op in ({"op": "ent.edit", "fields": {"text": "t"}}, {"op": "ent.retype", "type": "hadith"}):
+        s.apply(op | {"uid": added})
+        assert s.entities[-1]["status"] == "added"
+    s.apply({"op": "ent.edit", "uid": "e0", "fields": {"text": "t"}, "replace": True})
+    assert s.entities[0]["status"] == "edited" and s.entities[0]["fields"] == {"text": "t"}
+    s.apply({"op": "ent.scope", "uid": "e1", "scope": "lecture"})
+    assert s.entities[1]["fields"] == {"start": 0.0, "end": 12.0}
+    s.apply({"op": "ent.reject", "uid": "e0"})
+    assert {"text": "t"} not in s.outputs()[1]["dua"] and len(s.outputs()[1]["hadith"]) == 1
+
+
+def test_session_flags_and_end():
+    s = opened()
+    for bad in ({"op": "flag.add", "target": "q", "issue": "missing text"}, {"op": "flag.add", "target": "s1", "issue": "odd"}):
+        with pytest.raises(ValueError):
+            s.apply(bad)
+    (flag,) = s.apply({"op": "flag.add", "target": {"kind": "segment", "uid": "s1"}, "issue": "missing text"})
     s.apply({"op": "flag.escalate", "uid": flag})
+    for bad in ({"op": "flag.resolve", "uid": flag}, {"op": "flag.escalate", "uid": flag}, {"op": "finalize"}):
+        with pytest.raises(ValueError):
+            s.apply(bad)
+    s.apply({"op": "flag.resolve", "uid": flag, "role": "super"})
     with pytest.raises(ValueError):
-        s.apply({"op": "flag.resolve", "uid": flag})
-    with pytest.raises(ValueError):
-        s.apply({"op": "finalize"})
+        s.apply({"op": "flag.resolve", "uid": flag, "role": "super"})
+    (other,) = s.apply({"op": "flag.add", "target": "s1", "issue": "missing text"})
     s.apply({"op": "seg.delete", "uid": "s1"})
-    s.apply({"op": "ent.add", "type": "dua", "fields": {"start": 0.5}})
+    assert s.flags[1]["status"] == "resolved" and other == s.flags[1]["uid"]
+    with pytest.raises(ValueError):
+        s.apply({"op": "finalize"})  # the dua has no text, reference, usage
     s.apply({"op": "ent.reject", "uid": "e0"})
-    assert [e["start"] for e in s.outputs()["dua"]] == [0.5]
     s.apply({"op": "finalize"})
     with pytest.raises(ValueError):
         s.apply({"op": "ent.accept", "uid": "e0"})
+    s.apply({"op": "reopen"})
+    s.apply({"op": "ent.accept", "uid": "e1"})
+
+
+def test_violations():
+    ok = {"id": 1, "start": 0, "end": 1, "text": "t"}
+    dua = {"reference": "1", "text": "t", "start": 0, "end": 1, "usage": " Explicit Paraphrase", "extent": "partial"}
+    assert review.violations([ok], {"dua": [dua], "headings": []}) == [] and review.violations([], {}) == ["no segments"]
+    assert len(review.violations([ok, ok | {"text": None}], {"dua": [dua | {"usage": "x", "extent": None}]})) == 4
 
 
 def test_fold(spark):
-    acts = [{"op": "open", "segments": [{"id": "a", "start": 0, "end": 1, "text": "t"}]}, {"op": "seg.accept", "uid": "s0"}, {"op": "seg.accept", "uid": "s0"}, {"op": "finalize"}]
-    rows = [("x", i, json.dumps(a)) for i, a in enumerate(acts)] + [("y", 0, "no json"), ("y", 1, None), ("y", 2, "[]")]
-    got = {r.session: r for r in fold(spark.createDataFrame(rows, "session string, n int, action string")).collect()}
-    assert (got["x"].applied, got["x"].refused, got["x"].finalized) == (3, 1, True) and (got["y"].applied, got["y"].refused) == (0, 3)
+    acts = [{"op": "open", "segments": [{"id": "a", "start": 0, "end": 1, "text": "t"}]}, {"op": "seg.accept", "uid": "s0"}, {"op": "seg.accept", "uid": "q"}, {"op": "finalize"}]
+    rows = [("x", i, json.dumps(a)) for i, a in enumerate(acts)] + [("y", 0, "no json"), ("y", 1, None), ("y", 2, "[]"), (None, 1, "{}")]
+    log = spark.createDataFrame(rows, "session string, n int, action string")
+    got = {r.session: r for r in fold(log).collect()}
+    assert (got["x"].applied, got["x"].refused, got["x"].finalized) == (3, 1, True) and (got["y"].applied, got["y"].refused) == (0, 3) and len(got) == 2
+    assert [(r.session, r.uid, r.status, r.text) for r in review.folded_segments(log).collect()] == [("x", "s0", "accepted", "t")]

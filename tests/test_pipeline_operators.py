@@ -38,21 +38,46 @@ def test_topics(spark):
 
 def test_plans_turn_old_into_new():
     rng = random.Random(6)
-    for _ in range(500):
-        make = lambda n: [{"start": float(i), "end": i + 1.0, "text": rng.choice("abc")} for i in range(n)]
-        old, new = make(rng.randrange(5)), make(rng.randrange(5))
-        s = Session(old)
-        for a in replay.plan([{**x} for x in s.segments], new):
-            s.apply(a)
-        assert [{k: x[k] for k in ("start", "end", "text")} for x in s.segments] == new
+    for _ in range(2000):
+        def make(n):
+            out, at = [], 0.0
+            for _ in range(n):
+                at += rng.choice([0, 0.005, 1, 2])
+                end = at + rng.choice([0, 1, 1, 3, -1])
+                out.append({"start": at, "end": end, "text": rng.choice("abc")})
+                at = max(at, end) - rng.choice([0, 0, 0.5])
+            return sorted(out, key=lambda x: x["start"])
+
+        old, new = make(rng.randrange(6)), make(rng.randrange(6))
+        kinds = [{"type": rng.choice(["dua", "topics"]), "reference": rng.choice("xy"), "start": rng.choice([0.25, 0.35, 1.0])} for _ in range(rng.randrange(5))]
+        want = {t: [{k: v for k, v in e.items() if k != "type"} for e in [{"type": rng.choice(["dua", "topics"]), "reference": rng.choice("xy"), "start": rng.choice([0.25, 0.35, 1.0])} for _ in range(rng.randrange(5))] if e["type"] == t] for t in ("dua", "topics")}
+        s = Session(old, kinds)
+        actions = replay.interleaved(replay.plan(s.segments, new), replay.plan_entities(s.entities, want))
+        segments, entities = replay.run_plan(s, actions).outputs()
+        assert segments == new and {t: entities[t] for t in want} == want
+
+
+def test_merge_then_split():
+    s = Session([{"start": 0.0, "end": 2.0, "text": "a"}, {"start": 2.0, "end": 4.0, "text": "b"}])
+    acts = replay.plan(s.segments, [{"start": 0.0, "end": 1.0, "text": "a"}, {"start": 1.0, "end": 4.0, "text": "b"}])
+    assert [a["op"] for a in acts] == ["seg.merge", "seg.split"]
+
+
+def test_entity_moves(spark):
+    from tessera.operators.replay import entity_moves
+
+    f = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("m", 1, "a")], "k string, o int, t string")
+    w = spark.createDataFrame([("k", 5, "a"), ("k", 6, "x"), ("k", 7, "y"), ("z", 1, "a")], "k string, o int, t string")
+    got = {(r.k, r.n): r.move for r in entity_moves(f, w, ["k"], "o", F.col("f_t") == F.col("w_t")).collect()}
+    assert got == {("k", 1): "accept", ("k", 2): "edit", ("k", 3): "add", ("m", 1): "reject", ("z", 1): "add"}
 
 
 def test_plans_by_group(spark):
     cols = "recording string, seq int, start_ms long, end_ms long, text string"
-    old = spark.createDataFrame([("r", 0, 0, 10, "a"), ("r", 1, 10, 20, "b"), ("r", 2, 20, 30, "c"), ("r", 3, None, 5, "x")], cols)
-    new = spark.createDataFrame([("r", 0, 0, 10, "a"), ("r", 1, 10, 30, "b c"), ("r", 2, 90, 99, "d")], cols)
+    old = spark.createDataFrame([("r", 0, 0, 10, "a"), ("r", 1, 100, 200, "b"), ("r", 2, 200, 300, "c"), ("r", 3, None, 5, "x")], cols)
+    new = spark.createDataFrame([("r", 0, 0, 10, "a"), ("r", 1, 100, 300, "b c"), ("r", 2, 900, 999, "d")], cols)
     got = {r.from_ms: [json.loads(a)["op"] for a in r.actions] for r in replay.plans(old, new).collect()}
-    assert got == {0: ["seg.accept"], 10: ["seg.merge", "seg.edit"], 90: ["seg.insert"]}
+    assert got == {0: ["seg.accept"], 100: ["seg.merge", "seg.edit"], 900: ["seg.insert"]} and replay.plans(old, new).where("not exact").count() == 0
 
 
 def test_ports(spark):
