@@ -151,6 +151,12 @@ def controlled(value: Column, names: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.lower(F.trim(value)))
 
 
+def checked(value: Column, names: dict[str, str]) -> Column:
+    """Name of a controlled value as ``controlled`` gives it; a value that isn't null and isn't known raises an error."""
+    name = controlled(value, names)
+    return F.when(value.isNotNull() & name.isNull(), F.raise_error(F.concat(F.lit("unknown value: "), value)).cast("string")).otherwise(name)
+
+
 def local_name(iri: Column) -> Column:
     return F.regexp_extract(iri, "[^#/]*$", 0)
 
@@ -189,17 +195,35 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)])
 
 
+def is_arabic_mark(ch: str) -> bool:
+    return unicodedata.category(ch)[0] == "M" and "ARABIC" in unicodedata.name(ch, "")
+
+
+#: Blocks of presentation forms, whose letters are brought to their plain ones.
+FORMS = (*range(0xFB50, 0xFE00), *range(0xFE70, 0xFEFD))
+
+
+@functools.cache
+def profile_tables(profile: str) -> tuple[dict[int, str], dict[int, None]]:
+    """What letters become in a profile, and the marks it drops."""
+    drop, rules, _ = PROFILES[profile]
+    letters = {c: unicodedata.normalize("NFKC", chr(c)) for c in FORMS if unicodedata.normalize("NFKC", chr(c)) != chr(c)} if rules else {}
+    folded = {c: "".join(rules.get(x, x) for x in unicodedata.normalize("NFC", t)) for c, t in letters.items()}
+    marks = dict.fromkeys(c for c in range(0x600, 0x1EF00) if is_arabic_mark(chr(c))) if drop else {}
+    return {ord(k): v for k, v in rules.items()} | folded, marks
+
+
+_PUNCTUATED = re.compile(r"(?<=\S)([۔،؟!.,?])")
+
+
 def _in_profile(text: str, profile: str) -> str:
-    drop, rules, part = PROFILES[profile]
+    letters, marks = profile_tables(profile)
     t = unicodedata.normalize("NFC", text)
-    if rules:
-        t = "".join(unicodedata.normalize("NFKC", ch) if "ﭐ" <= ch <= "﷿" or "ﹰ" <= ch <= "ﻼ" else ch for ch in t)
-        t = unicodedata.normalize("NFC", "".join(rules.get(ch, ch) for ch in t))
-    if part:
-        t = re.sub(r"(?<=\S)([۔،؟!.,?])", r" \1", t)
-    if drop:
-        t = "".join(ch for ch in t if not (unicodedata.category(ch)[0] == "M" and "ARABIC" in unicodedata.name(ch, "")))
-    return " ".join(t.split())
+    if letters:
+        t = unicodedata.normalize("NFC", t.translate(letters))
+    if PROFILES[profile][2]:
+        t = _PUNCTUATED.sub(r" \1", t)
+    return " ".join((t.translate(marks) if marks else t).split())
 
 
 def in_profile(text: Column, profile: str) -> Column:
@@ -207,10 +231,58 @@ def in_profile(text: Column, profile: str) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else _in_profile(t, profile)), "string")(text)
 
 
+def as_letters(a: list, b: list) -> tuple[str, str]:
+    """Two lists as strings with one letter for each distinct item, so that distances of strings are those of the lists."""
+    number: dict = {}
+    code = lambda x: (k := number.setdefault(x, len(number)) + 0x20) + (0x800 if k >= 0xD800 else 0)
+    return "".join(chr(code(x)) for x in a), "".join(chr(code(x)) for x in b)
+
+
+@_udf("array<struct<profile: string, unit: string, ref: string, hyp: string>>")
+def in_profiles(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Both texts in every profile: as characters (cer), and with a letter for each word (wer)."""
+    out = []
+    for r, h in zip(ref, hyp):
+        rows = []
+        for profile in PROFILES:
+            a, b = _in_profile(r or "", profile), _in_profile(h or "", profile)
+            wa, wb = as_letters(a.split(), b.split())
+            rows += [{"profile": profile, "unit": "cer", "ref": a, "hyp": b}, {"profile": profile, "unit": "wer", "ref": wa, "hyp": wb}]
+        out.append(rows)
+    return pd.Series(out)
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance; near texts, however long, are told in bands of growing width."""
+    near = lambda k: F.nullif(F.levenshtein(a, b, k), F.lit(-1))
+    return F.when(a == b, 0).otherwise(F.coalesce(near(8), near(64), near(512), F.levenshtein(a, b)))
+
+
+def n_edits(a: list, b: list) -> int:
+    """Least number of edits between two lists, by bits: a step for each item of ``b`` on words as long as ``a``."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, n = whole, 0, len(a)
+    for x in b:
+        eq = places.get(x, 0)
+        vertical = eq | down
+        across = (((eq & up) + up) ^ up) | eq
+        more, less = down | (whole & ~(across | up)), up & across
+        n += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & whole, (less << 1) & whole
+        up, down = less | (whole & ~(vertical | more)), more & vertical
+    return n
+
+
 def align(ref: list, hyp: list) -> list[tuple[str, int, int]]:
     """Edits that turn ``ref`` into ``hyp``: (substitution | deletion | insertion, position in ref, position in hyp).
 
-    A least number of edits; walking back from the ends a match or substitution is preferred, then a deletion.
+    A least number of edits; walking back from the ends a match or substitution is preferred, then a deletion.  Only the
+    band that the number of edits leaves is filled.
     """
     lead = 0
     while lead < min(len(ref), len(hyp)) and ref[lead] == hyp[lead]:
@@ -219,19 +291,36 @@ def align(ref: list, hyp: list) -> list[tuple[str, int, int]]:
     while tail < min(len(ref), len(hyp)) - lead and ref[-1 - tail] == hyp[-1 - tail]:
         tail += 1
     a, b = ref[lead : len(ref) - tail], hyp[lead : len(hyp) - tail]
-    cost = [list(range(len(b) + 1))]
+    k = n_edits(a, b)
+    far = len(a) + len(b) + 1
+    # Row i holds the costs at j from i - k to i + k.
+    rows = [[j if j >= 0 else far for j in range(-k, min(k, len(b)) + 1)]]
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(cost[-1][j - 1] + (x != y), cost[-1][j] + 1, row[-1] + 1))
-        cost.append(row)
+        last, row = rows[-1], []
+        for at in range(2 * k + 1):
+            j = i - k + at
+            if j < 0 or j > len(b):
+                row.append(far)
+                continue
+            best = last[at] + (x != b[j - 1]) if j and at < len(last) else far
+            if at + 1 < len(last):
+                best = min(best, last[at + 1] + 1)
+            if at and j:
+                best = min(best, row[-1] + 1)
+            row.append(best)
+        rows.append(row)
+
+    def cost(i: int, j: int) -> int:
+        at = j - i + k
+        return rows[i][at] if i >= 0 and j >= 0 and 0 <= at < len(rows[i]) else far
+
     out, i, j = [], len(a), len(b)
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+        if i and j and cost(i, j) == cost(i - 1, j - 1) + (a[i - 1] != b[j - 1]):
             if a[i - 1] != b[j - 1]:
                 out.append(("substitution", lead + i - 1, lead + j - 1))
             i, j = i - 1, j - 1
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        elif i and cost(i, j) == cost(i - 1, j) + 1:
             out.append(("deletion", lead + i - 1, lead + j))
             i -= 1
         else:

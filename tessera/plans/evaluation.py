@@ -38,36 +38,92 @@ SQL["changed_segment_rate"] = f"""
 """
 
 
+HEADLINE = "without_diacritics"
+COMPARED = ("v0", "v1", "v2")
+
+
+@_q
+def error_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Character and word error rates of each version against v3 in all six profiles, pooled (sums before ratios) by series and in all.
+
+    Segments are compared with their own reviewed text, over the whole stored texts; null texts are empty.
+    """
+    s = segments(spark, d, "v3", *COMPARED)
+    by = s.groupBy("recording", "seq").agg(F.max("series").alias("series"), F.map_from_entries(F.collect_list(F.struct("version", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    hyp = F.explode(F.filter(F.array(*[F.when(F.map_contains_key("t", v), F.struct(F.lit(v).alias("version"), F.col("t")[v].alias("hyp"))) for v in COMPARED]), lambda x: x.isNotNull()))
+    pairs = by.where(F.map_contains_key("t", "v3")).select("series", F.col("t")["v3"].alias("ref"), hyp.alias("h")).select("series", "h.version", F.explode(T.in_profiles(F.col("ref"), F.col("h.hyp"))).alias("x"))
+    one = pairs.select("series", "version", "x.profile", "x.unit", T.distance(F.col("x.ref"), F.col("x.hyp")).alias("e"), F.char_length("x.ref").alias("n"))
+    sums = one.groupBy("series", "version", "profile", "unit").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).groupingSets([["series", "version", "profile", "unit"], ["version", "profile", "unit"]], "series", "version", "profile", "unit").agg(F.sum("e").alias("edits"), F.sum("n").alias("units"), F.grouping("series").alias("g"))
+    return sums.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("series")).alias("series"), "version", "profile", "unit", "edits", "units", F.round(F.try_divide(100 * F.col("edits"), F.col("units")), 6).alias("rate"))
+
+
+def _sql_text(column: str) -> str:
+    return "'" + column.replace("'", "''") + "'"
+
+
+def _profile_sql(profile: str, text: str) -> str:
+    """The rules of a profile in SQL, from the same tables of letters and marks."""
+    letters, marks = T.profile_tables(profile)
+    t = f"nfc_normalize({text})"
+    if letters:
+        table = "MAP {" + ", ".join(f"{_sql_text(chr(k))}: {_sql_text(v)}" for k, v in letters.items()) + "}"
+        t = f"nfc_normalize(list_aggregate(list_transform(string_split({t}, ''), lambda c: coalesce({table}[c], c)), 'string_agg', ''))"
+    if T.PROFILES[profile][2]:
+        t = f"regexp_replace({t}, '([^\\s\\x0b\\x{{85}}\\p{{Z}}])([۔،؟!.,?])', '\\1 \\2', 'g')"
+        t = f"regexp_replace({t}, '([۔،؟!.,?])([۔،؟!.,?])', '\\1 \\2', 'g')"
+        t = f"regexp_replace({t}, '([۔،؟!.,?])([۔،؟!.,?])', '\\1 \\2', 'g')"
+    if marks:
+        t = f"regexp_replace({t}, '[{''.join(map(chr, marks))}]', '', 'g')"
+    return words_sql(t)
+
+
+# Distances in SQL are of bytes: what both lists begin and end with is cut off, and of the rest each item that both have is
+# one character of one byte; all that only one side has are alike.
+_DISTANCE_SQL = """
+    cut1 AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(r), len(h)) + 1), lambda i: r[i] <> h[i]), true) - 1, least(len(r), len(h))) AS lead FROM units),
+    cut2 AS (SELECT * EXCLUDE (r, h), len(r) AS n, r[lead + 1:] AS r, h[lead + 1:] AS h FROM cut1),
+    cut3 AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(r), len(h)) + 1), lambda i: r[len(r) + 1 - i] <> h[len(h) + 1 - i]), true) - 1, least(len(r), len(h))) AS tail FROM cut2),
+    cut4 AS (SELECT * EXCLUDE (r, h), r[:len(r) - tail] AS r, h[:len(h) - tail] AS h FROM cut3),
+    known AS (SELECT *, list_sort(list_distinct(list_intersect(r, h))) AS k FROM cut4),
+    coded AS (SELECT *, coalesce(list_aggregate(list_transform(r, lambda x: chr(CAST(coalesce(list_position(k, x), 126) AS INTEGER))), 'string_agg', ''), '') AS a,
+        coalesce(list_aggregate(list_transform(h, lambda x: chr(CAST(coalesce(list_position(k, x), 127) AS INTEGER))), 'string_agg', ''), '') AS b FROM known),
+    edits AS (SELECT series, version, profile, unit, CASE WHEN len(k) > 125 THEN error('too many letters for bytes') WHEN a = '' THEN length(b) WHEN b = '' THEN length(a) ELSE levenshtein(a, b) END AS e, n FROM coded)"""
+
+
+def _error_sql(profiles: tuple[str, ...], units: tuple[str, ...]) -> str:
+    words = " UNION ALL ".join(f"SELECT series, version, '{p}' AS profile, {_profile_sql(p, 'rt')} AS rw, {_profile_sql(p, 'ht')} AS hw FROM p" for p in profiles)
+    letters = lambda w: f"CASE WHEN len({w}) = 0 THEN [] ELSE string_split(array_to_string({w}, ' '), '') END"
+    made = {"cer": f"SELECT series, version, profile, 'cer' AS unit, {letters('rw')} AS r, {letters('hw')} AS h FROM w", "wer": "SELECT series, version, profile, 'wer' AS unit, rw AS r, hw AS h FROM w"}
+    return f"""{SEGMENTS_SQL},
+    p AS (SELECT a.series, b.version, coalesce(a.text, '') AS rt, coalesce(b.text, '') AS ht FROM segs a JOIN segs b ON a.recording = b.recording AND a.seq = b.seq AND a.version = 'v3' AND b.version IN ('v0', 'v1', 'v2')),
+    w AS ({words}), units AS ({" UNION ALL ".join(made[u] for u in units)}), {_DISTANCE_SQL},
+    rates AS (SELECT CASE WHEN grouping(series) = 1 THEN 'ALL' ELSE series END AS series, version, profile, unit, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS units, CASE WHEN sum(n) > 0 THEN round(100 * sum(e) / sum(n), 6) END AS rate
+        FROM edits GROUP BY GROUPING SETS ((series, version, profile, unit), (version, profile, unit)))"""
+
+
+SQL["error_profiles"] = f"WITH {_error_sql(tuple(T.PROFILES), ('cer', 'wer'))} SELECT * FROM rates"
+
+
 @_q
 def pooled_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Character error rates of the Latin form against the reviewed version, pooled (sums before ratios) by series and in all."""
-    out = None
-    for v in ("v0", "v2"):
-        p = _versions(spark, d, "v3", v).select("series", T.latin_form(F.col("ref")).alias("r"), T.latin_form(F.col("hyp")).alias("h"))
-        sums = p.rollup("series").agg(F.sum(F.levenshtein("r", "h")).alias("edits"), F.sum(F.char_length("r")).alias("units"))
-        rows = sums.select(F.coalesce("series", F.lit("ALL")).alias("series"), F.lit(v).alias("version"), "edits", "units", F.round(F.try_divide(100 * F.col("edits"), F.col("units")), 6).alias("rate"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-SQL["pooled_error_rate"] = f"""
-    WITH {SEGMENTS_SQL}, n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM segs),
-    p AS (SELECT a.series, b.version, levenshtein(a.t, b.t) AS e, length(a.t) AS u FROM n a JOIN n b ON a.recording = b.recording AND a.seq = b.seq AND a.version = 'v3' AND b.version IN ('v0', 'v2'))
-    SELECT coalesce(series, 'ALL') AS series, version, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(u) AS BIGINT) AS units, CASE WHEN sum(u) > 0 THEN round(100 * sum(e) / sum(u), 6) END AS rate
-    FROM p GROUP BY GROUPING SETS ((series, version), (version))
-"""
+    """The rates of the headline profile."""
+    return error_profiles(spark, d).where(F.col("profile") == HEADLINE).drop("profile")
+
+
+SQL["pooled_error_rate"] = f"WITH {_error_sql((HEADLINE,), ('cer', 'wer'))} SELECT * EXCLUDE (profile) FROM rates"
 
 
 @_q
 def error_reduction(spark: SparkSession, d: str) -> DataFrame:
-    """Relative reduction of the pooled rate from v0 to v2 by series."""
-    r = pooled_error_rate(spark, d).groupBy("series").pivot("version", ["v0", "v2"]).agg(F.first("rate"))
-    return r.select("series", F.round(F.try_divide(100 * (F.col("v0") - F.col("v2")), F.col("v0")), 4).alias("reduction"))
+    """Relative reduction of the headline rates between versions, by series and unit; null where the first rate is 0."""
+    r = pooled_error_rate(spark, d).groupBy("series", "unit").pivot("version", list(COMPARED)).agg(F.first("rate"))
+    drop = lambda a, b: F.round(F.try_divide(100 * (F.col(a) - F.col(b)), F.col(a)), 4).alias(f"{a}_to_{b}")
+    return r.select("series", "unit", drop("v0", "v1"), drop("v1", "v2"), drop("v0", "v2"))
 
 
 SQL["error_reduction"] = f"""
-    WITH r AS ({SQL["pooled_error_rate"]})
-    SELECT series, round(100 * (max(rate) FILTER (version = 'v0') - max(rate) FILTER (version = 'v2')) / nullif(max(rate) FILTER (version = 'v0'), 0), 4) AS reduction FROM r GROUP BY series
+    WITH {_error_sql((HEADLINE,), ("cer", "wer"))}, v AS (SELECT series, unit, max(rate) FILTER (version = 'v0') AS v0, max(rate) FILTER (version = 'v1') AS v1, max(rate) FILTER (version = 'v2') AS v2 FROM rates GROUP BY series, unit)
+    SELECT series, unit, round(100 * (v0 - v1) / nullif(v0, 0), 4) AS v0_to_v1, round(100 * (v1 - v2) / nullif(v1, 0), 4) AS v1_to_v2, round(100 * (v0 - v2) / nullif(v0, 0), 4) AS v0_to_v2 FROM v
 """
 
 

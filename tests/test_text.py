@@ -88,3 +88,68 @@ def test_sequence_ratio(spark):
     import difflib
 
     assert one(spark, T.sequence_ratio(F.col("a"), F.col("b")), a="Abcd", b="bcde") == difflib.SequenceMatcher(None, "abcd", "bcde").ratio()
+
+
+def test_bits_and_band_give_the_distance(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as T
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(1500):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(14))] for _ in range(2))
+        n = table(a, b)
+        got = T.align(a, b)
+        assert T.n_edits(a, b) == n == len(got)
+        out, at = [], 0
+        for kind, i, j in got:
+            out += a[at:i]
+            at = i + (kind != "insertion")
+            out += [] if kind == "deletion" else [b[j]]
+        assert out + a[at:] == b
+        pairs.append((*T.as_letters(a, b), n))
+    df = spark.createDataFrame(pairs, "a string, b string, n int")
+    assert df.where(T.distance(F.col("a"), F.col("b")) != F.col("n")).count() == 0
+    assert T.distance is not None and T.n_edits(["w"] * 5000, ["w"] * 4000 + ["x"]) == 1000
+
+
+def test_profiles_by_their_rules():
+    import unicodedata
+
+    from tessera.functions import text as T
+
+    def slow(text, profile):
+        drop, rules, part = T.PROFILES[profile]
+        t = unicodedata.normalize("NFC", text)
+        if rules:
+            t = unicodedata.normalize("NFC", "".join(rules.get(c, c) for ch in t for c in (unicodedata.normalize("NFKC", ch) if ord(ch) in T.FORMS else ch)))
+        if part:
+            t = __import__("re").sub(r"(?<=\S)([۔،؟!.,?])", r" \1", t)
+        return " ".join("".join(ch for ch in t if not (drop and T.is_arabic_mark(ch))).split())
+
+    for text in ("كِتابٌ، ﻼﷲ ٱلقرآن؟! abc.", "کی أإآ ہ", "", "  a\u00a0b ", "ﳍ ئـؤ"):
+        for profile in T.PROFILES:
+            assert T._in_profile(text, profile) == slow(text, profile)
+
+
+def test_checked_values_raise(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as T
+
+    df = spark.createDataFrame([(" Explicit paraphrase",), (None,)], "u string")
+    assert [r[0] for r in df.select(T.checked(F.col("u"), T.USAGE)).collect()] == ["Paraphrase", None]
+    with pytest.raises(Exception, match="unknown value"):
+        spark.createDataFrame([("other",)], "u string").select(T.checked(F.col("u"), T.USAGE)).collect()
