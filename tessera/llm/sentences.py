@@ -9,7 +9,7 @@ over these counts tell
   comes elsewhere, and more often than it begins sentences,
 * sentence starters: types that follow a certain sentence end more often than chance.
 
-The ratios are columns; only types that pass reach the driver, and a relative support bounds their number.  Each mark is
+The ratios are computed side by side; only types that pass reach the driver, and a relative support bounds their number.  Each mark is
 then classified with these statistics and its context: quotations and brackets, list numbers, decimals, ordinals,
 ellipses, scripts without spaces, and scripts that part sentences by a space.
 """
@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import langid
@@ -146,15 +146,59 @@ def _count_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _ratio(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
-    """Log-likelihood ratio that k1 of n1 and k2 of n2 have one rate; signed: positive where the first rate is higher."""
+def _ratio(k1: np.ndarray, n1: np.ndarray, k2: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratios that k1 of n1 and k2 of n2 have one rate; signed: positive where the first rate is higher; 0 without rows."""
+    with np.errstate(all="ignore"):
 
-    def ll(k: Column, n: Column, p: Column) -> Column:
-        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(n - k > 0, (n - k) * F.log(1 - p)).otherwise(0.0)
+        def ll(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+            return np.where(k > 0, k * np.log(p), 0.0) + np.where(n - k > 0, (n - k) * np.log1p(-p), 0.0)
 
-    p, p1, p2 = F.try_divide(k1 + k2, n1 + n2), F.try_divide(k1, n1), F.try_divide(k2, n2)
-    value = 2 * (ll(k1, n1, p1) + ll(k2, n2, p2) - ll(k1, n1, p) - ll(k2, n2, p))
-    return F.when((n1 <= 0) | (n2 <= 0) | (p <= 0) | (p >= 1), 0.0).when(p1 > p2, value).otherwise(-value)
+        p, p1, p2 = (k1 + k2) / (n1 + n2), k1 / n1, k2 / n2
+        value = 2 * (ll(k1, n1, p1) + ll(k2, n2, p2) - ll(k1, n1, p) - ll(k2, n2, p))
+        return np.where((n1 <= 0) | (n2 <= 0) | (p <= 0) | (p >= 1), 0.0, np.where(p1 > p2, value, -value))
+
+
+def _telling_types(words: list[str], n: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which word types are abbreviations, and which are starters; ``n`` has their counts and those of their language (all_*)."""
+    letters = np.array([sum(map(str.isalpha, w)) for w in words], float)
+    dots = np.array([w.count(".") for w in words], float)
+    marked, marks, all_words = n["p"] + n["e"], n["all_p"] + n["all_e"], n["all_w"]
+    inside = _ratio(n["p"], marked, n["all_p"] - n["p"], marks - marked)
+    with_mark = _ratio(marked, n["w"], marks - marked, all_words - n["w"])
+    follow = n["c"] / np.maximum(n["p"], 1)
+    # The mark stays inside a line more often than those of other words, the word seldom comes without it, and what
+    # follows is often a number or lower case.
+    score = inside * np.exp(-np.maximum(0, letters - 2) / 3) + np.where(follow > 0.5, 10 * follow, 0.0)
+    plain_one = (n["p"] >= np.maximum(MIN_COUNT, SUPPORT * n["all_p"])) & (score > INSIDE_SCORE) & (n["p"] > 0.9 * marked)
+    dotted = (dots > 0) & (marked >= np.maximum(1, SUPPORT * marks)) & (with_mark * np.exp(-letters) * (dots + 1) > DOTTED_SCORE)
+    one_type = np.array([PAIR not in w for w in words], bool)
+    abbreviation = one_type & (marked > 0) & (letters > 0) & (with_mark > 0) & (marked >= 0.5 * n["w"]) & (plain_one | dotted)
+    begins = _ratio(n["s"], n["all_s"], n["w"] - n["s"], np.maximum(1, all_words - n["all_s"]))
+    starter = (n["s"] >= np.maximum(MIN_STARTS, SUPPORT * n["all_s"])) & np.array([w != "##" for w in words], bool) & (begins > SIGNIFICANT)
+    return abbreviation, starter
+
+
+def _held_pairs(words: list[str], n: dict[str, np.ndarray]) -> tuple[np.ndarray]:
+    """Which pairs hold together: more than the second word comes elsewhere, and than it begins sentences."""
+    elsewhere = _ratio(n["k"], n["fa"], n["wb"] - n["k"], n["all_w"] - n["fa"])
+    beginning = _ratio(n["k"], n["fa"], n["sb"], n["all_s"])
+    return ((n["k"] >= np.maximum(MIN_COUNT, SUPPORT * n["all_f"])) & (elsewhere > SIGNIFICANT) & (beginning > SIGNIFICANT),)
+
+
+def _passing(rows: DataFrame, rule, kinds: str) -> DataFrame:
+    """``kind, lang, word`` of the rows (lang, word, counts) that pass each part of a rule."""
+    names = rows.columns[2:]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if not b.num_rows:
+                continue
+            counts = {c: b.column(2 + i).to_numpy(zero_copy_only=False).astype(float) for i, c in enumerate(names)}
+            for kind, hit in zip(kinds, rule(b.column(1).to_pylist(), counts)):
+                at = pa.array(np.flatnonzero(hit), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), b.column(0).take(at), b.column(1).take(at)], names=["kind", "lang", "word"])
+
+    return rows.mapInArrow(run, "kind string, lang string, word string")
 
 
 def train(texts: DataFrame, text: str, lang: str) -> Model:
@@ -166,36 +210,15 @@ def train(texts: DataFrame, text: str, lang: str) -> Model:
     counts = checkpoint(rows.groupBy("lang", "word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in KINDS]))
     totals = F.broadcast(counts.groupBy("lang").agg(*[F.sum(k).alias(f"all_{k}") for k in KINDS]))  # a row a language
     n = F.col
-    least = lambda count, total: F.greatest(F.lit(count), SUPPORT * total)
-
-    marked, words = n("p") + n("e"), n("all_w")
-    ends_and_inner = n("all_p") + n("all_e")
-    letters = F.char_length(F.regexp_replace("word", r"[^\p{L}]", ""))
-    dots = F.char_length(F.regexp_replace("word", r"[^.]", ""))
-    inside = _ratio(n("p"), marked, n("all_p") - n("p"), ends_and_inner - marked)
-    with_mark = _ratio(marked, n("w"), ends_and_inner - marked, words - n("w"))
-    follow = F.coalesce(F.try_divide(n("c"), n("p")), F.lit(0.0))
-    # The mark stays inside a line more often than those of other words, the word seldom comes without it, and what
-    # follows is often a number or lower case.
-    score = inside * F.exp(-F.greatest(F.lit(0), letters - 2) / 3) + F.when(follow > 0.5, 10 * follow).otherwise(0.0)
-    common = (letters > 0) & (with_mark > 0) & (marked >= 0.5 * n("w"))
-    plain_one = (n("p") >= least(MIN_COUNT, n("all_p"))) & (score > INSIDE_SCORE) & (n("p") > 0.9 * marked)
-    dotted = (dots > 0) & (marked >= least(1, ends_and_inner)) & (with_mark * F.exp(-letters.cast("double")) * (dots + 1) > DOTTED_SCORE)
-    is_abbreviation = ~F.contains("word", F.lit(PAIR)) & (marked > 0) & common & (plain_one | dotted)
-    is_starter = (n("s") >= least(MIN_STARTS, n("all_s"))) & (n("word") != "##") & (_ratio(n("s"), n("all_s"), n("w") - n("s"), F.greatest(F.lit(1), words - n("all_s"))) > SIGNIFICANT)
-    kind = F.when(is_abbreviation, "a").when(is_starter, "s")
-    both = F.when(is_abbreviation & is_starter, F.array(F.lit("a"), F.lit("s"))).otherwise(F.array(kind))
-    types = counts.join(totals, "lang").where(is_abbreviation | is_starter).select("lang", F.explode(both).alias("kind"), "word")
+    types = counts.where((n("p") + n("e") > 0) | (n("s") >= MIN_STARTS)).join(totals, "lang").select("lang", "word", *KINDS, *[f"all_{k}" for k in KINDS])
 
     pairs = counts.where(n("k") >= MIN_COUNT).select("lang", F.substring_index("word", PAIR, 1).alias("a"), F.substring_index("word", PAIR, -1).alias("b"), "word", "k")
     first = counts.where(n("f") > 0).select("lang", n("word").alias("a"), n("f").alias("fa"))
     second = counts.where(n("w") > 0).select("lang", n("word").alias("b"), n("w").alias("wb"), n("s").alias("sb"))
-    held = pairs.join(first, ["lang", "a"]).join(second, ["lang", "b"]).join(totals, "lang")
-    together = (_ratio(n("k"), n("fa"), n("wb") - n("k"), words - n("fa")) > SIGNIFICANT) & (_ratio(n("k"), n("fa"), n("sb"), n("all_s")) > SIGNIFICANT)
-    kept = held.where((n("k") >= least(MIN_COUNT, n("all_f"))) & together).select("lang", F.lit("k").alias("kind"), "word")
+    held = pairs.join(first, ["lang", "a"]).join(second, ["lang", "b"]).join(totals, "lang").select("lang", "word", "k", "fa", "wb", "sb", "all_w", "all_s", "all_f")
 
     found: dict[str, dict[str, set]] = {k: defaultdict(set) for k in "ask"}
-    for r in types.unionByName(kept).collect():
+    for r in _passing(types, _telling_types, "as").unionByName(_passing(held, _held_pairs, "k")).collect():
         found[r.kind][r.lang].add(r.word)
     return Model(*({lang: frozenset(x) for lang, x in found[k].items()} for k in "ask"))
 
