@@ -238,18 +238,22 @@ def as_letters(a: list, b: list) -> tuple[str, str]:
     return "".join(chr(code(x)) for x in a), "".join(chr(code(x)) for x in b)
 
 
-@_udf("array<struct<profile: string, unit: string, ref: string, hyp: string>>")
-def in_profiles(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Both texts in every profile: as characters (cer), and with a letter for each word (wer)."""
-    out = []
-    for r, h in zip(ref, hyp):
-        rows = []
-        for profile in PROFILES:
-            a, b = _in_profile(r or "", profile), _in_profile(h or "", profile)
-            wa, wb = as_letters(a.split(), b.split())
-            rows += [{"profile": profile, "unit": "cer", "ref": a, "hyp": b}, {"profile": profile, "unit": "wer", "ref": wa, "hyp": wb}]
-        out.append(rows)
-    return pd.Series(out)
+def in_profiles(ref: Column, hyp: Column, profiles: tuple[str, ...] = tuple(PROFILES)) -> Column:
+    """Array of both texts in each profile: as characters (cer), and with a letter for each word (wer); null for empty."""
+
+    def run(refs: pd.Series, hyps: pd.Series) -> pd.Series:
+        out = []
+        for r, h in zip(refs, hyps):
+            rows = []
+            for profile in profiles:
+                a, b = _in_profile(r or "", profile), _in_profile(h or "", profile)
+                wa, wb = as_letters(a.split(), b.split())
+                rows += [{"profile": profile, "unit": "cer", "ref": a, "hyp": b}, {"profile": profile, "unit": "wer", "ref": wa, "hyp": wb}]
+            out.append(rows)
+        return pd.Series(out)
+
+    run.__annotations__ = {"refs": pd.Series, "hyps": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<profile: string, unit: string, ref: string, hyp: string>>")(ref, hyp)
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -42,21 +42,25 @@ HEADLINE = "without_diacritics"
 COMPARED = ("v0", "v1", "v2")
 
 
-@_q
-def error_profiles(spark: SparkSession, d: str) -> DataFrame:
-    """Character and word error rates of each version against v3 in all six profiles, pooled (sums before ratios) by series and in all.
-
-    Segments are compared with their own reviewed text, over the whole stored texts; null texts are empty.
-    """
+def _rates(spark: SparkSession, d: str, profiles: tuple[str, ...]) -> DataFrame:
     s = segments(spark, d, "v3", *COMPARED)
     by = s.groupBy("recording", "seq").agg(F.max("series").alias("series"), F.map_from_entries(F.collect_list(F.struct("version", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
     hyp = F.explode(F.filter(F.array(*[F.when(F.map_contains_key("t", v), F.struct(F.lit(v).alias("version"), F.col("t")[v].alias("hyp"))) for v in COMPARED]), lambda x: x.isNotNull()))
-    pairs = by.where(F.map_contains_key("t", "v3")).select("series", F.col("t")["v3"].alias("ref"), hyp.alias("h")).select("series", "h.version", F.explode(T.in_profiles(F.col("ref"), F.col("h.hyp"))).alias("x"))
+    pairs = by.where(F.map_contains_key("t", "v3")).select("series", F.col("t")["v3"].alias("ref"), hyp.alias("h")).select("series", "h.version", F.explode(T.in_profiles(F.col("ref"), F.col("h.hyp"), profiles)).alias("x"))
     one = pairs.select("series", "version", "x.profile", "x.unit", T.distance(F.col("x.ref"), F.col("x.hyp")).alias("e"), F.char_length("x.ref").alias("n"))
     sums = one.groupBy("series", "version", "profile", "unit").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).groupingSets([["series", "version", "profile", "unit"], ["version", "profile", "unit"]], "series", "version", "profile", "unit").agg(F.sum("e").alias("edits"), F.sum("n").alias("units"), F.grouping("series").alias("g"))
     return sums.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("series")).alias("series"), "version", "profile", "unit", "edits", "units", F.round(F.try_divide(100 * F.col("edits"), F.col("units")), 6).alias("rate"))
 
 
+@_q
+def error_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Character and word error rates of each version against v3 in all six profiles, pooled (sums before ratios) by series and in all.
+
+    Segments are compared with their own reviewed text, over the whole stored texts; null texts are empty.
+    """
+    return _rates(spark, d, tuple(T.PROFILES))
+
+
 def _sql_text(column: str) -> str:
     return "'" + column.replace("'", "''") + "'"
 
@@ -77,17 +81,21 @@ def _profile_sql(profile: str, text: str) -> str:
     return words_sql(t)
 
 
+# The distance of two lists row by row; slow, for the few with more shared items than there are bytes.
+_TABLE_SQL = """list_reduce(list_prepend(range(0, len(r) + 1), list_transform(range(1, len(h) + 1), lambda j: [j])), lambda row, x:
+        list_transform([list_prepend(row[1] + 1, list_transform(range(1, len(r) + 1), lambda i: least(row[i + 1] + 1, row[i] + CASE WHEN r[i] = h[x[1]] THEN 0 ELSE 1 END)))], lambda t:
+            list_transform(range(1, len(r) + 2), lambda i: list_min(list_transform(range(1, i + 1), lambda m: t[m] + i - m))))[1])[len(r) + 1]"""
 # Distances in SQL are of bytes: what both lists begin and end with is cut off, and of the rest each item that both have is
 # one character of one byte; all that only one side has are alike.
-_DISTANCE_SQL = """
+_DISTANCE_SQL = f"""
     cut1 AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(r), len(h)) + 1), lambda i: r[i] <> h[i]), true) - 1, least(len(r), len(h))) AS lead FROM units),
     cut2 AS (SELECT * EXCLUDE (r, h), len(r) AS n, r[lead + 1:] AS r, h[lead + 1:] AS h FROM cut1),
     cut3 AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(r), len(h)) + 1), lambda i: r[len(r) + 1 - i] <> h[len(h) + 1 - i]), true) - 1, least(len(r), len(h))) AS tail FROM cut2),
     cut4 AS (SELECT * EXCLUDE (r, h), r[:len(r) - tail] AS r, h[:len(h) - tail] AS h FROM cut3),
     known AS (SELECT *, list_sort(list_distinct(list_intersect(r, h))) AS k FROM cut4),
-    coded AS (SELECT *, coalesce(list_aggregate(list_transform(r, lambda x: chr(CAST(coalesce(list_position(k, x), 126) AS INTEGER))), 'string_agg', ''), '') AS a,
-        coalesce(list_aggregate(list_transform(h, lambda x: chr(CAST(coalesce(list_position(k, x), 127) AS INTEGER))), 'string_agg', ''), '') AS b FROM known),
-    edits AS (SELECT series, version, profile, unit, CASE WHEN len(k) > 125 THEN error('too many letters for bytes') WHEN a = '' THEN length(b) WHEN b = '' THEN length(a) ELSE levenshtein(a, b) END AS e, n FROM coded)"""
+    coded AS (SELECT *, coalesce(list_aggregate(list_transform(r, lambda x: chr(CAST(least(coalesce(list_position(k, x), 126), 126) AS INTEGER))), 'string_agg', ''), '') AS a,
+        coalesce(list_aggregate(list_transform(h, lambda x: chr(CAST(least(coalesce(list_position(k, x), 127), 127) AS INTEGER))), 'string_agg', ''), '') AS b FROM known),
+    edits AS (SELECT series, version, profile, unit, CASE WHEN len(k) > 125 THEN {_TABLE_SQL} WHEN a = '' THEN length(b) WHEN b = '' THEN length(a) ELSE levenshtein(a, b) END AS e, n FROM coded)"""
 
 
 def _error_sql(profiles: tuple[str, ...], units: tuple[str, ...]) -> str:
@@ -107,7 +115,7 @@ SQL["error_profiles"] = f"WITH {_error_sql(tuple(T.PROFILES), ('cer', 'wer'))} S
 @_q
 def pooled_error_rate(spark: SparkSession, d: str) -> DataFrame:
     """The rates of the headline profile."""
-    return error_profiles(spark, d).where(F.col("profile") == HEADLINE).drop("profile")
+    return _rates(spark, d, (HEADLINE,)).drop("profile")
 
 
 SQL["pooled_error_rate"] = f"WITH {_error_sql((HEADLINE,), ('cer', 'wer'))} SELECT * EXCLUDE (profile) FROM rates"
