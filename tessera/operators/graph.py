@@ -1,11 +1,12 @@
-"""A knowledge graph as a triple table: construction, node merge, statistics, and a subset of SPARQL over it.
+"""A knowledge graph as triples: construction by rules, node merge, reviewed decisions and relations, statistics.
 
-Triples are ``s, p, o, kind`` with kind ``iri`` or ``literal``; a graph is a set of them.
+Triples are ``s, p, o, kind`` with kind ``iri`` or ``literal``; a graph is a set of them.  Terms of the own namespace NS are
+written without it.  ``Triples`` keeps a graph by property, so that a pattern with a known property reads only what makes it.
 """
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,53 @@ NS = "https://tessera.example/ns#"
 TYPE = "rdf:type"
 
 
+class Triples:
+    """A graph by property (classes apart): tables ``s, o, kind``, each a set once read."""
+
+    def __init__(self, parts: dict[tuple[str, str | None], list[DataFrame]], rules: list[DataFrame] = ()) -> None:
+        self.parts, self.rules = parts, rules
+
+    @staticmethod
+    def of_table(table: DataFrame) -> Triples:
+        """A graph that is one table ``s, p, o, kind``."""
+        return _Table(table)
+
+    @staticmethod
+    def of_rules(rules: list[tuple[DataFrame, Column, list[tuple[str, Column | str, str]]]]) -> Triples:
+        """Rules (rows, subject, [(property, object, kind)]); a class is given as plain text.  Null subjects and objects give no triple."""
+        parts: dict[tuple[str, str | None], list[DataFrame]] = {}
+        for rows, subject, facts in rules:
+            for p, o, kind in facts:
+                value = F.lit(o) if isinstance(o, str) else o.cast("string")
+                made = rows.select(subject.alias("s"), value.alias("o"), F.lit(kind).alias("kind")).where(F.col("s").isNotNull() & F.col("o").isNotNull())
+                parts.setdefault((p, o if isinstance(o, str) and p == TYPE else None), []).append(made)
+        return Triples(parts, [triples(rows, subject, [(p, F.lit(o) if isinstance(o, str) else o, kind) for p, o, kind in facts]) for rows, subject, facts in rules])
+
+    def of(self, p: str, o: str | None = None) -> DataFrame:
+        """``s, p, o, kind`` of a property (of one class, for the type property)."""
+        some = [x for (q, c), xs in self.parts.items() if q == p and (o is None or c is None or c == o) for x in xs]
+        if not some:
+            first = next(iter(self.parts.values()))[0]
+            some = [first.where(F.lit(False))]
+        return reduce(DataFrame.unionByName, some).distinct().select("s", F.lit(p).alias("p"), "o", "kind")
+
+    def all(self) -> DataFrame:
+        """The whole set, every rule's rows read once."""
+        return union(*self.rules)
+
+
+class _Table(Triples):
+    def __init__(self, table: DataFrame) -> None:
+        self.table = table
+
+    def of(self, p: str, o: str | None = None) -> DataFrame:
+        rows = self.table.where(F.col("p") == p)
+        return rows if o is None else rows.where(F.col("o") == o)
+
+    def all(self) -> DataFrame:
+        return self.table
+
+
 def triples(rows: DataFrame, subject: Column, rules: list[tuple[str, Column, str]]) -> DataFrame:
     """Triples of every row: (property, object, kind) rules; rules with a null object give none."""
     facts = F.array(*[F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(k).alias("kind")) for p, o, k in rules])
@@ -47,139 +95,58 @@ def statistics(graph: DataFrame) -> DataFrame:
     return flat.unionByName(by_class).unionByName(by_property)
 
 
-def match(graph: DataFrame, patterns: list[tuple[str, str, str]], optional: list[list[tuple[str, str, str]]] = ()) -> DataFrame:
-    """Solutions of a basic graph pattern: ``?x`` are variables, ``p/q`` a path of properties; ``optional`` are left-joined."""
-    fresh = iter(f"_path{i}" for i in range(1000))
-
-    def steps(parts: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-        out = []
-        for s, p, o in parts:
-            *hops, last = p.split("/") if not p.startswith("<") else [p]
-            for h in hops:
-                v = "?" + next(fresh)
-                out.append((s, h, v))
-                s = v
-            out.append((s, last, o))
-        return out
-
-    def solve(parts: list[tuple[str, str, str]]) -> DataFrame:
-        out = None
-        todo = steps(parts)
-        bound: set[str] = set()
-        while todo:
-            # The next pattern is one that shares a variable with what is bound, so no product arises.
-            k = next((i for i, t in enumerate(todo) if bound & {x for x in t if x.startswith("?")}), 0)
-            s, p, o = todo.pop(k)
-            rows, cols = graph, []
-            for c, x in (("s", s), ("p", p), ("o", o)):
-                if x.startswith("?"):
-                    if x[1:] in dict(cols):
-                        rows = rows.where(F.col(c) == F.col(dict(cols)[x[1:]]))
-                    else:
-                        cols.append((x[1:], c))
-                else:
-                    rows = rows.where(F.col(c) == x)
-            rows = rows.select(*[F.col(c).alias(v) for v, c in cols])
-            shared = [v for v, _ in cols if "?" + v in bound]
-            if out is not None and not shared:
-                raise ValueError("patterns that share no variable with the others aren't supported")
-            out = rows if out is None else out.join(rows, shared)
-            bound |= {"?" + v for v, _ in cols}
-        return out
-
-    out = solve(patterns)
-    for part in optional:
-        extra = solve(part)
-        out = out.join(extra, [c for c in extra.columns if c in out.columns], "left")
-    return out
-
-
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|<[^>]*>|\?\w+|:?[A-Za-z_][\w:-]*(?:/:?[A-Za-z_][\w:-]*)*|[{}().,;*=<>!]+|\d+')
-
-
-def select(graph: DataFrame, query: str) -> DataFrame:
-    """A query of the supported subset of SPARQL 1.1.
-
-    SELECT [DISTINCT] variables or (COUNT([DISTINCT] ?x) AS ?n) or (GROUP_CONCAT(DISTINCT ?x; separator="..") AS ?n),
-    WHERE with basic patterns (``;`` and ``/`` allowed), OPTIONAL, FILTER STRSTARTS(?x, "..") and FILTER (?x = ".."),
-    GROUP BY, HAVING (COUNT(DISTINCT ?x) > n), ORDER BY [DESC(?x)], LIMIT; and ASK, which gives one row ``answer``.
-    Updates and anything else raise ValueError.  Prefixed names are looked up without their prefix.
-    """
-    text = re.sub(r"(?m)^\s*#.*$|^\s*PREFIX\s+\S+\s+<[^>]*>", "", query).strip()
-    form = re.match(r"(SELECT|ASK)\b", text, re.I)
-    if not form:
-        raise ValueError("only SELECT and ASK queries are supported")
-    if re.search(r"\b(UNION|MINUS|EXISTS|VALUES|SERVICE|GRAPH|CONSTRUCT|INSERT|DELETE)\b", re.sub(r'"[^"]*"', "", text), re.I):
-        raise ValueError("the query is outside the supported subset")
-    head, _, rest = text.partition("{")
-    depth, end = 1, 0
-    quoted = False
-    for end, ch in enumerate(rest):
-        quoted ^= ch == '"'
-        depth += 0 if quoted else (ch == "{") - (ch == "}")
-        if not depth:
+def typed_links(graph: Triples, p: str, *, subject: str | None = None, obj: str | None = None, prefix: str | None = None) -> int:
+    """Triples of a property whose subject or object is of a class, or whose object begins with a prefix."""
+    rows = graph.of(p)
+    for column, cls in (("s", subject), ("o", obj)):
+        if cls is not None:
+            rows = rows.join(graph.of(TYPE, cls).select(F.col("s").alias(column)), column, "left_semi")
+    return rows.where(F.startswith("o", F.lit(prefix))).count() if prefix else rows.count()
+
+
+def link_statistics(graph: Triples, links: list[tuple[str, str, str | None, str | None, str | None]]) -> DataFrame:
+    """``metric, n`` of links (name, property, class of the subject, class of the object, prefix of the object), in one plan."""
+    out = []
+    for name, p, subject, obj, prefix in links:
+        rows = graph.of(p)
+        for column, cls in (("s", subject), ("o", obj)):
+            if cls is not None:
+                rows = rows.join(graph.of(TYPE, cls).select(F.col("s").alias(column)), column, "left_semi")
+        rows = rows.where(F.startswith("o", F.lit(prefix))) if prefix else rows
+        out.append(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("metric"), "n"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def value_counts(graph: Triples, p: str) -> DataFrame:
+    """``name, n``: uses of each object of a property, the most used first."""
+    return graph.of(p).groupBy(F.col("o").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name")
+
+
+def resolved(same: DataFrame, rounds: int = 20) -> DataFrame:
+    """``drop, keep`` with chains followed to their end; a node merged into several keeps the least."""
+    pairs = same.where(F.col("drop") != F.col("keep")).groupBy("drop").agg(F.min("keep").alias("keep"))
+    for _ in range(rounds):
+        nxt = pairs.select(F.col("drop").alias("keep"), F.col("keep").alias("_next"))
+        longer = pairs.join(nxt, "keep", "left").select("drop", F.coalesce("_next", "keep").alias("keep"), F.col("_next").isNotNull().alias("_moved")).where(F.col("drop") != F.col("keep"))
+        if longer.where("_moved").isEmpty():
             break
-    body, tail = rest[:end], rest[end + 1 :]
-
-    filters = []
-    for v, s in re.findall(r'FILTER\s*\(?\s*STRSTARTS\s*\(\s*(?:STR\s*\(\s*)?\?(\w+)\s*\)?\s*,\s*"([^"]*)"\s*\)\s*\)?', body, re.I):
-        filters.append(F.col(v).startswith(s))
-    body = re.sub(r'FILTER\s*\(?\s*STRSTARTS\s*\((?:[^()"]|\([^()]*\)|"[^"]*")*\)\s*\)?', "", body, flags=re.I)
-    for v, s in re.findall(r'FILTER\s*\(\s*\?(\w+)\s*=\s*"([^"]*)"\s*\)', body, re.I):
-        filters.append(F.col(v) == s)
-    body = re.sub(r'FILTER\s*\(\s*\?\w+\s*=\s*"[^"]*"\s*\)', "", body, flags=re.I)
-    if re.search(r"\b(FILTER|BIND)\b", body, re.I):
-        raise ValueError("this FILTER or BIND is outside the supported subset")
-    optional = [_patterns(x) for x in re.findall(r"OPTIONAL\s*\{([^{}]*)\}", body, re.I)]
-    basic = _patterns(re.sub(r"OPTIONAL\s*\{[^{}]*\}", "", body, flags=re.I))
-    rows = match(graph, basic, optional)
-    for f in filters:
-        rows = rows.where(f)
-    if form[1].upper() == "ASK":
-        return rows.agg((F.count("*") > 0).alias("answer"))
-
-    aggs = {}
-    for fn, distinct, v, sep, name in re.findall(r'\(\s*(COUNT|GROUP_CONCAT)\s*\(\s*(DISTINCT\s+)?\?(\w+)\s*(?:;\s*separator\s*=\s*[\'"]([^\'"]*)[\'"]\s*)?\)\s*AS\s+\?(\w+)\s*\)', head, re.I):
-        if fn.upper() == "COUNT":
-            aggs[name] = F.count_distinct(v) if distinct else F.count(v)
-        else:
-            aggs[name] = F.array_join(F.array_sort(F.collect_set(v) if distinct else F.collect_list(v)), sep or " ")
-    plain = re.findall(r"\?(\w+)", re.sub(r"\((?:[^()]|\([^()]*\))*\)", "", head))
-    group = re.search(r"GROUP\s+BY\s+((?:\?\w+\s*)+)", tail, re.I)
-    if aggs:
-        keys = re.findall(r"\?(\w+)", group[1]) if group else []
-        having = re.search(r"HAVING\s*\(\s*COUNT\s*\(\s*(DISTINCT\s+)?\?(\w+)\s*\)\s*>\s*(\d+)\s*\)", tail, re.I)
-        extra = [(F.count_distinct(having[2]) if having[1] else F.count(having[2])).alias("_having")] if having else []
-        rows = rows.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()], *extra)
-        if having:
-            rows = rows.where(F.col("_having") > int(having[3]))
-    order = re.search(r"ORDER\s+BY\s+(.*?)(?:LIMIT|$)", tail, re.I | re.S)
-    names = plain + [n for n in aggs if n not in plain]
-    out = rows.select(*names)
-    if re.match(r"SELECT\s+DISTINCT", head, re.I):
-        out = out.distinct()
-    limit = re.search(r"LIMIT\s+(\d+)", tail, re.I)
-    if order or limit:
-        by = [F.desc(d) if d else F.asc(a) for d, a in re.findall(r"DESC\s*\(\s*\?(\w+)\s*\)|\?(\w+)", order[1], re.I)] if order else []
-        out = out.orderBy(*by, *[F.asc(n) for n in names])  # ties in a stated order
-    return out.limit(int(limit[1])) if limit else out
-
-
-def _patterns(body: str) -> list[tuple[str, str, str]]:
-    """Patterns of a group without braces; ``;`` repeats the subject, ``a`` is the type property."""
-    tokens = _TOKEN.findall(body)
-    name = lambda t: t[1:-1] if t[:1] in '"<' else t if t.startswith("?") else TYPE if t == "a" else "/".join(x.split(":")[-1] if x != TYPE else x for x in t.split("/"))
-    out, at, subject = [], 0, None
-    while at < len(tokens):
-        if tokens[at] == ".":
-            at, subject = at + 1, None
-        elif tokens[at] == ";":
-            at += 1
-        else:
-            if subject is None:
-                subject, at = name(tokens[at]), at + 1
-            if at + 1 >= len(tokens):
-                raise ValueError("a pattern is incomplete")
-            out.append((subject, name(tokens[at]), name(tokens[at + 1])))
-            at += 2
-    return out
+        pairs = longer.select("drop", "keep")
+    return pairs
+
+
+def applied(graph: DataFrame, proposals: DataFrame, related: str = "skos:related") -> DataFrame:
+    """``graph`` after reviewed proposals ``a, b, status`` on nodes: of an accepted pair ``b`` is merged into ``a``; a pair rejected
+    but related is linked both ways; others change nothing."""
+    merged = merge_nodes(graph, resolved(proposals.where(F.col("status") == "accepted").select(F.col("b").alias("drop"), F.col("a").alias("keep"))))
+    return union(merged, relations(proposals.where(F.col("status") == "related").select("a", "b"), related))
+
+
+def relations(pairs: DataFrame, p: str) -> DataFrame:
+    """Triples of a symmetric relation between the nodes ``a, b``, both ways."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.select(F.col("a").alias("s"), F.lit(p).alias("p"), F.col("b").alias("o"), F.lit("iri").alias("kind")).distinct()
+
+
+def inverse(graph: Triples, p: str, q: str) -> DataFrame:
+    """Triples of the inverse ``q`` of a property."""
+    return graph.of(p).where(F.col("kind") == "iri").select(F.col("o").alias("s"), F.lit(q).alias("p"), F.col("s").alias("o"), "kind")

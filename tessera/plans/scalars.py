@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import graph as G
 from tessera.operators import matching, retrieval
 from tessera.operators.review import fold
-from tessera.operators.spans import overlap_join
 from tessera.plans.common import ENTITIES_SQL, SEGMENTS_SQL, entities, segments, timed
 from tessera.session import table
 
@@ -176,21 +174,6 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     return g.orderBy(F.desc("f1"), "wrong", F.desc("tau"), "delta", "alpha").limit(15)
 
 
-@_q
-def concept_keywords(spark: SparkSession, d: str) -> DataFrame:
-    """Topics that hold a word of a subject's description, with the words held."""
-    k = table(spark, d, "subjects").select("subject", F.explode(F.filter(F.split(F.lower("description"), "[^a-z]+"), lambda w: F.char_length(w) > 3)).alias("kw"))
-    t = entities(spark, d, "topic").where(F.col("text").isNotNull()).select("entity_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""))).alias("kw"))
-    return t.join(k, "kw").groupBy("entity_id", "subject").agg(F.array_sort(F.collect_set("kw")).alias("hits"))
-
-
-SQL["concept_keywords"] = f"""
-    WITH {ENTITIES_SQL}, k AS (SELECT subject, unnest(list_filter(string_split_regex(lower(description), '[^a-z]+'), lambda w: length(w) > 3)) AS kw FROM subjects),
-    t AS (SELECT entity_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> ''))) AS kw FROM ents WHERE etype = 'topic' AND text IS NOT NULL)
-    SELECT entity_id, subject, list_sort(list(DISTINCT t.kw)) AS hits FROM t JOIN k ON t.kw = k.kw GROUP BY ALL
-"""
-
-
 @_q
 def topic_registry(spark: SparkSession, d: str) -> DataFrame:
     """Topics by slug over all series: the name met first, and the series that have it."""
@@ -205,109 +188,6 @@ SQL["topic_registry"] = f"""
 """
 
 
-def _graph(spark: SparkSession, d: str) -> DataFrame:
-    """Triples of recordings, v3 segments and verse occurrences."""
-    iri = lambda kind, *c: F.concat_ws("_", F.lit(kind), *c)
-    r = table(spark, d, "recordings")
-    rec = G.triples(r, iri("Recording", "recording"), [(G.TYPE, F.lit("Recording"), "iri"), ("recordingId", F.col("recording"), "literal"), ("hasPrimarySpeaker", iri("Speaker", "speaker"), "iri"), ("hasPrimaryLanguage", F.col("lang_label"), "literal"), ("partOf", iri("Series", "series"), "iri")])
-    ser = G.triples(r.select("series").distinct(), iri("Series", "series"), [(G.TYPE, F.lit("Series"), "iri"), ("seriesCode", F.col("series"), "literal")])
-    s = segments(spark, d, "v3").select("recording", F.col("seg_key").cast("string").alias("k"), F.col("seq").cast("string").alias("seq"))
-    seg = G.triples(s, iri("Segment", "k"), [(G.TYPE, F.lit("Segment"), "iri"), ("segmentOf", iri("Recording", "recording"), "iri"), ("sequenceIndex", F.col("seq"), "literal")])
-    e = entities(spark, d, "ayah").where(F.expr("try_cast(ayah_number AS int)").isNotNull() & F.col("surah_number").isNotNull()).select("recording", F.col("entity_id").cast("string").alias("k"), "surah_number", "ayah_number", T.controlled(F.col("usage"), T.USAGE).alias("u"))
-    occ = G.triples(e, iri("Occurrence", "k"), [(G.TYPE, F.lit("VerseOccurrence"), "iri"), ("occursIn", iri("Recording", "recording"), "iri"), ("refersTo", iri("Verse", "surah_number", "ayah_number"), "iri"), ("hasUsageType", F.col("u"), "iri")])
-    verse = G.triples(e, iri("Verse", "surah_number", "ayah_number"), [(G.TYPE, F.lit("Verse"), "iri"), ("surahNumber", F.col("surah_number"), "literal"), ("verseNumber", F.col("ayah_number"), "literal")])
-    return G.union(rec, ser, seg, occ, verse)
-
-
-_GRAPH_SQL = f"""{SEGMENTS_SQL}, {ENTITIES_SQL}, v AS (SELECT recording, CAST(entity_id AS VARCHAR) AS k, surah_number AS s, ayah_number AS a,
-        CASE lower(trim(usage)) WHEN 'quotation' THEN 'Quotation' WHEN 'translation' THEN 'Translation' WHEN 'paraphrase' THEN 'Paraphrase' WHEN 'explicit paraphrase' THEN 'Paraphrase' END AS u
-        FROM ents WHERE etype = 'ayah' AND TRY_CAST(ayah_number AS INTEGER) IS NOT NULL AND surah_number IS NOT NULL),
-    raw AS (
-        SELECT concat_ws('_', 'Recording', recording) AS s, unnest([{{'p': 'rdf:type', 'o': 'Recording', 'kind': 'iri'}}, {{'p': 'recordingId', 'o': recording, 'kind': 'literal'}}, {{'p': 'hasPrimarySpeaker', 'o': concat_ws('_', 'Speaker', speaker), 'kind': 'iri'}}, {{'p': 'hasPrimaryLanguage', 'o': lang_label, 'kind': 'literal'}}, {{'p': 'partOf', 'o': concat_ws('_', 'Series', series), 'kind': 'iri'}}]) AS f FROM recordings
-        UNION ALL SELECT concat_ws('_', 'Series', series), unnest([{{'p': 'rdf:type', 'o': 'Series', 'kind': 'iri'}}, {{'p': 'seriesCode', 'o': series, 'kind': 'literal'}}]) FROM recordings
-        UNION ALL SELECT concat_ws('_', 'Segment', seg_key), unnest([{{'p': 'rdf:type', 'o': 'Segment', 'kind': 'iri'}}, {{'p': 'segmentOf', 'o': concat_ws('_', 'Recording', recording), 'kind': 'iri'}}, {{'p': 'sequenceIndex', 'o': CAST(seq AS VARCHAR), 'kind': 'literal'}}]) FROM segs WHERE version = 'v3'
-        UNION ALL SELECT concat_ws('_', 'Occurrence', k), unnest([{{'p': 'rdf:type', 'o': 'VerseOccurrence', 'kind': 'iri'}}, {{'p': 'occursIn', 'o': concat_ws('_', 'Recording', recording), 'kind': 'iri'}}, {{'p': 'refersTo', 'o': concat_ws('_', 'Verse', s, a), 'kind': 'iri'}}, {{'p': 'hasUsageType', 'o': u, 'kind': 'iri'}}]) FROM v
-        UNION ALL SELECT concat_ws('_', 'Verse', s, a), unnest([{{'p': 'rdf:type', 'o': 'Verse', 'kind': 'iri'}}, {{'p': 'surahNumber', 'o': s, 'kind': 'literal'}}, {{'p': 'verseNumber', 'o': a, 'kind': 'literal'}}]) FROM v),
-    g AS (SELECT DISTINCT s, f.p AS p, f.o AS o, f.kind AS kind FROM raw WHERE f.o IS NOT NULL)"""
-
-
-@_q
-def kg_triples(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d)
-
-
-SQL["kg_triples"] = f"WITH {_GRAPH_SQL} SELECT s, p, o, kind FROM g"
-
-
-@_q
-def kg_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return G.statistics(_graph(spark, d))
-
-
-SQL["kg_statistics"] = f"""
-    WITH {_GRAPH_SQL} SELECT 'triples' AS metric, '' AS name, count(*) AS n FROM g UNION ALL SELECT 'individuals', '', count(DISTINCT s) FROM g WHERE p = 'rdf:type'
-    UNION ALL SELECT 'class', o, count(*) FROM g WHERE p = 'rdf:type' GROUP BY o UNION ALL SELECT 'property', p, count(*) FROM g GROUP BY p
-"""
-
-
-@_q
-def kg_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The graph with speakers of names that differ in case or spacing made one node."""
-    g = _graph(spark, d)
-    s = g.where(F.col("p") == "hasPrimarySpeaker").select(F.col("o").alias("drop")).distinct()
-    keep = s.groupBy(F.lower("drop").alias("_l")).agg(F.min("drop").alias("keep"))
-    same = s.withColumn("_l", F.lower("drop")).join(keep, "_l").where(F.col("drop") != F.col("keep")).select("drop", "keep")
-    return G.merge_nodes(g, same).groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("o").alias("n_objects"))
-
-
-SQL["kg_merge"] = f"""
-    WITH {_GRAPH_SQL}, k AS (SELECT lower(o) AS l, min(o) AS keep FROM g WHERE p = 'hasPrimarySpeaker' GROUP BY ALL), m AS (SELECT DISTINCT g.s, g.p, CASE WHEN g.p = 'hasPrimarySpeaker' THEN keep ELSE g.o END AS o FROM g LEFT JOIN k ON g.p = 'hasPrimarySpeaker' AND lower(g.o) = k.l)
-    SELECT p, count(*) AS n, count(DISTINCT o) AS n_objects FROM m GROUP BY p
-"""
-
-
-def _sparql(name: str, sparql: str, sql: str, doc: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return G.select(_graph(spark, d), sparql)
-
-    run.__doc__ = doc
-    QUERIES[name] = run
-    SQL[name] = f"WITH {_GRAPH_SQL} {sql}"
-
-
-_sparql("kg_verses_of_recordings", "SELECT DISTINCT ?rec ?surah ?verse WHERE { ?occ :occursIn/:recordingId ?rec . ?occ :refersTo ?v . ?v :surahNumber ?surah ; :verseNumber ?verse . }",
-        "SELECT DISTINCT r.o AS rec, s.o AS surah, n.o AS verse FROM g a JOIN g r ON a.p = 'occursIn' AND a.o = r.s AND r.p = 'recordingId' JOIN g f ON f.s = a.s AND f.p = 'refersTo' JOIN g s ON s.s = f.o AND s.p = 'surahNumber' JOIN g n ON n.s = f.o AND n.p = 'verseNumber'",
-        "Path and star join: verses by recording.")
-_sparql("kg_shared_verses", "SELECT ?v (COUNT(DISTINCT ?code) AS ?n_series) (GROUP_CONCAT(DISTINCT ?code; separator=', ') AS ?series) WHERE { ?occ :refersTo ?v . ?occ :occursIn ?rec . ?rec :partOf/:seriesCode ?code . } GROUP BY ?v HAVING (COUNT(DISTINCT ?code) > 1)",
-        "SELECT f.o AS v, count(DISTINCT c.o) AS n_series, string_agg(DISTINCT c.o, ', ' ORDER BY c.o) AS series FROM g f JOIN g a ON a.s = f.s AND a.p = 'occursIn' AND f.p = 'refersTo' JOIN g q ON q.s = a.o AND q.p = 'partOf' JOIN g c ON c.s = q.o AND c.p = 'seriesCode' GROUP BY f.o HAVING count(DISTINCT c.o) > 1",
-        "Grouped concatenation with HAVING: verses cited in several series.")
-_sparql("kg_completeness", "SELECT (COUNT(?rec) AS ?total) (COUNT(?sp) AS ?with_speaker) (COUNT(?lang) AS ?with_language) WHERE { ?rec a :Recording . OPTIONAL { ?rec :hasPrimarySpeaker ?sp } OPTIONAL { ?rec :hasPrimaryLanguage ?lang } }",
-        "SELECT count(*) AS total, count(s.o) AS with_speaker, count(l.o) AS with_language FROM g r LEFT JOIN g s ON s.s = r.s AND s.p = 'hasPrimarySpeaker' LEFT JOIN g l ON l.s = r.s AND l.p = 'hasPrimaryLanguage' WHERE r.p = 'rdf:type' AND r.o = 'Recording'",
-        "Counts over OPTIONAL parts.")
-_sparql("kg_segment_counts", "SELECT ?rec (COUNT(?seg) AS ?n) WHERE { ?seg :segmentOf ?r . ?r :recordingId ?rec . } GROUP BY ?rec",
-        "SELECT r.o AS rec, count(*) AS n FROM g a JOIN g r ON a.p = 'segmentOf' AND r.s = a.o AND r.p = 'recordingId' GROUP BY r.o",
-        "Grouped count: segments by recording.")
-_sparql("kg_filtered_recordings", 'SELECT ?rec ?sp WHERE { ?r :recordingId ?rec . OPTIONAL { ?r :hasPrimarySpeaker ?sp } FILTER (STRSTARTS(STR(?rec), "M")) } ORDER BY DESC(?rec) LIMIT 20',
-        "SELECT r.o AS rec, s.o AS sp FROM g r LEFT JOIN g s ON s.s = r.s AND s.p = 'hasPrimarySpeaker' WHERE r.p = 'recordingId' AND starts_with(r.o, 'M') ORDER BY rec DESC, sp LIMIT 20",
-        "FILTER STRSTARTS, OPTIONAL, ORDER BY and LIMIT (a top-k report).")
-
-
-@_q
-def kg_segment_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of v3 segments that each verse occurrence covers."""
-    e = timed(entities(spark, d, "ayah"), "e_start", "e_end").select("recording", "e_start", "e_end").distinct()
-    s = timed(segments(spark, d, "v3"), "s_start", "s_end").select("recording", "seg_key", "s_start", "s_end")
-    o = overlap_join(e, s, "recording", "e_start", "e_end", "s_start", "s_end")
-    return o.groupBy(F.concat_ws("_", F.lit("SegmentGroup"), "recording", F.col("e_start").cast("string"), F.col("e_end").cast("string")).alias("node")).agg(F.count("*").alias("n_segments"), F.min("seg_key").alias("first_segment"))
-
-
-SQL["kg_segment_groups"] = f"""
-    WITH {SEGMENTS_SQL}, {ENTITIES_SQL}, e AS (SELECT DISTINCT recording, CAST(round(start_s * 1000) AS BIGINT) AS a, CAST(round(end_s * 1000) AS BIGINT) AS b FROM ents WHERE etype = 'ayah'),
-    s AS (SELECT recording, seg_key, CAST(round(start_s * 1000) AS BIGINT) AS c, CAST(round(end_s * 1000) AS BIGINT) AS d FROM segs WHERE version = 'v3')
-    SELECT concat_ws('_', 'SegmentGroup', e.recording, a, b) AS node, count(*) AS n_segments, min(seg_key) AS first_segment FROM e JOIN s ON e.recording = s.recording AND a < d AND c < b GROUP BY ALL
-"""
-
-
 @_q
 def knn_top10(spark: SparkSession, d: str) -> DataFrame:
     """Ten nearest vectors of each vector whose id is divisible by 20, against all."""
@@ -335,9 +215,24 @@ SQL["knn_label_metrics"] = f"""
 """
 
 
+OPENED = '{"op": "open", "segments": [{"start": 0, "end": 1, "text": "t"}]}'
+
+
 @_q
 def review_fold(spark: SparkSession, d: str) -> DataFrame:
     """State of review sessions after the actions that a user's events stand for."""
     e = table(spark, d, "events").where(F.col("user_id").isNotNull())
-    act = F.when(F.col("event_type") == "error", F.lit('{"op": "flag.add", "target": "s0", "issue": "missing text"}')).when(F.col("event_type") == "click", F.lit('{"op": "seg.insert", "text": "a line"}')).when(F.col("event_type") == "purchase", F.lit('{"op": "finalize"}')).otherwise(F.lit('{"op": "seg.accept", "uid": "s0"}'))
-    return fold(e.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("n"), act.alias("action")))
+    act = F.when(F.col("event_type") == "error", F.lit('{"op": "flag.add", "target": "s0", "issue": "missing text"}')).when(F.col("event_type") == "click", F.lit('{"op": "seg.insert", "start": 1, "end": 2, "text": "a line"}')).when(F.col("event_type") == "purchase", F.lit('{"op": "finalize"}')).otherwise(F.lit('{"op": "seg.accept", "uid": "s0"}'))
+    log = e.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").cast("bigint").alias("n"), act.alias("action"))
+    first = log.groupBy("session").agg((F.min("n") - 1).alias("n")).select("session", "n", F.lit(OPENED).alias("action"))
+    return fold(log.unionByName(first))
+
+
+SQL["review_fold"] = """
+    WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS n, event_type AS t FROM events WHERE user_id IS NOT NULL),
+    f AS (SELECT session, min(n) FILTER (t = 'purchase') AS bought, min(n) FILTER (t = 'error') AS failed FROM e GROUP BY session),
+    x AS (SELECT e.*, CASE WHEN bought IS NOT NULL AND (failed IS NULL OR bought < failed) THEN bought END AS done FROM e JOIN f USING (session)),
+    c AS (SELECT session, CASE WHEN done IS NULL THEN t <> 'purchase' ELSE n <= done END AS ok, t, done FROM x)
+    SELECT session, CAST(1 + count(*) FILTER (ok) AS INTEGER) AS applied, CAST(count(*) FILTER (NOT ok) AS INTEGER) AS refused, CAST(1 + count(*) FILTER (ok AND t = 'click') AS INTEGER) AS n_segments, 0 AS n_entities,
+        CAST(count(*) FILTER (ok AND t = 'error') AS INTEGER) AS open_flags, max(done) IS NOT NULL AS finalized FROM c GROUP BY session
+"""
