@@ -41,6 +41,25 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column, agg
     return joined.select(*df.columns, *[value(n, f).alias(n) for n, (f, _) in aggs.items()])
 
 
+def neighbours(df: DataFrame, keys: list[str], order: list[str], block: Column, *, before: dict[str, str] | None = None, after: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with values of the row before and after each one: name -> column, null at the ends.
+
+    As in ``running`` a window runs within a block only; what lies over its edges comes from one row per block.  Blocks must
+    be monotone in ``order``, which must be unique within ``keys``.
+    """
+    before, after = before or {}, after or {}
+    base = df.withColumn("_blk", block).repartition(*[F.col(k) for k in keys], F.col("_blk"))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
+    blocks = Window.partitionBy(*keys).orderBy("_blk")
+    pack = lambda names: F.struct(F.lit(1).alias("_"), *[F.col(c).alias(n) for n, c in names.items()])
+    local = base.select("*", F.lag(pack(before)).over(inside).alias("_lb"), F.lead(pack(after)).over(inside).alias("_la"))
+    by = F.struct(*order)
+    edges = base.groupBy(*keys, "_blk").agg(F.max_by(pack(before), by).alias("_last"), F.min_by(pack(after), by).alias("_first"))
+    carried = edges.select(*keys, "_blk", F.lag("_last").over(blocks).alias("_eb"), F.lead("_first").over(blocks).alias("_ea"))
+    joined = local.join(carried, [*keys, "_blk"])
+    return joined.select(*df.columns, *[F.coalesce("_lb", "_eb")[n].alias(n) for n in before], *[F.coalesce("_la", "_ea")[n].alias(n) for n in after])
+
+
 def apply_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[Iterator], Iterator[tuple]], schema: str) -> DataFrame:
     """``fn`` from the rows (tuples of the columns of ``df``, in ``order``) of each group to rows of ``schema``.
 

@@ -6,23 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_MS = 60_000
+#: A span over more blocks than this is long, and meets others in blocks so many times as wide.
+LONG_BLOCKS, WIDER = 64, 4_096
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, l_start: str, l_end: str, r_start: str, r_end: str, *, block: int = BLOCK_MS) -> DataFrame:
     """Pairs of rows of one ``key`` whose spans (integers, in ms) share more than a boundary: l_start < r_end and r_start < l_end.
 
     Spans are put into every time block they touch and meet there; a pair is given only in the block where the later of
-    the two starts lies, so once.  Spans with a null bound match nothing.  Columns of both sides must differ in name but
-    for ``key``.
+    the two starts lies, so once.  Long spans, should there be any, meet all others in wide blocks.  Spans with a null bound
+    match nothing.  Columns of both sides must differ in name but for ``key``.
     """
 
-    def blocks(df: DataFrame, s: str, e: str) -> DataFrame:
-        lo, hi = F.floor(F.least(s, e) / block), F.floor(F.greatest(s, e) / block)
-        return df.where(F.col(s).isNotNull() & F.col(e).isNotNull()).withColumn("_b", F.explode(F.sequence(lo, hi)))
+    def blocks(df: DataFrame, s: str, e: str, width: int) -> DataFrame:
+        lo, hi = F.floor(F.least(s, e) / width), F.floor(F.greatest(s, e) / width)
+        return df.withColumn("_b", F.explode(F.sequence(lo, hi)))
 
-    both = blocks(left, l_start, l_end).join(blocks(right, r_start, r_end), [key, "_b"])
-    once = F.col("_b") == F.floor(F.greatest(F.col(l_start), F.col(r_start)) / block)
-    return both.where((F.col(l_start) < F.col(r_end)) & (F.col(r_start) < F.col(l_end)) & once).drop("_b")
+    def meet(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+        both = blocks(a, l_start, l_end, width).join(blocks(b, r_start, r_end, width), [key, "_b"])
+        once = F.col("_b") == F.floor(F.greatest(F.col(l_start), F.col(r_start)) / width)
+        return both.where((F.col(l_start) < F.col(r_end)) & (F.col(r_start) < F.col(l_end)) & once).drop("_b")
+
+    def parted(df: DataFrame, s: str, e: str) -> tuple[DataFrame, DataFrame, bool]:
+        there = df.where(F.col(s).isNotNull() & F.col(e).isNotNull())
+        is_long = F.abs(F.col(e) - F.col(s)) > LONG_BLOCKS * block
+        long = there.where(is_long)
+        return there.where(~is_long), long, not long.isEmpty()
+
+    short_l, long_l, any_l = parted(left, l_start, l_end)
+    short_r, long_r, any_r = parted(right, r_start, r_end)
+    out = meet(short_l, short_r, block)
+    if any_l:
+        out = out.unionByName(meet(long_l, short_r, block * WIDER))
+    if any_r:
+        out = out.unionByName(meet(short_l, long_r, block * WIDER))
+    return out.unionByName(meet(long_l, long_r, block * WIDER)) if any_l and any_r else out
 
 
 def best_overlap(pairs: DataFrame, left_id: str, right_id: str, l_start: str, l_end: str, r_start: str, r_end: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import agreement
 from tessera.operators.retrieval import shares
 from tessera.plans.common import ENTITIES_SQL, REVIEWS_SQL, SEGMENTS_SQL, entities, reviews, segments, words_sql
 from tessera.session import table
@@ -352,23 +353,83 @@ SQL["review_integrity"] = f"""
 """
 
 
+FOUND_USES, WANTED_USES = ("quotation", "translation"), ("quotation", "paraphrase")
+
+
+def _agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by series, recording and kind of the citations in two overlapping sets of uses, starts in tenths of a second as Python rounds."""
+    e = entities(spark, d, "ayah", "dua", "hadith").where(F.col("recording").isNotNull()).join(table(spark, d, "recordings").select("recording", "series"), "recording")
+    e = e.select("series", "recording", "etype", F.when(F.col("etype") == "ayah", F.col("surah_number")).otherwise(F.col("reference")).alias("k1"), F.when(F.col("etype") == "ayah", F.col("ayah_number")).alias("k2"), T.half_even(F.coalesce("start_s", F.lit(0.0)), F.lit(1)).alias("at"), "text", "entity_id", F.lower(F.trim("usage")).alias("use"))
+    side = lambda uses: e.where(F.col("use").isin(*uses))
+    return agreement.counts(side(FOUND_USES), side(WANTED_USES), ["series", "recording", "etype"], ["k1", "k2"], "at", "text", "entity_id")
+
+
+def _rates_sql(source: str) -> str:
+    d = lambda a, b: f"({a}) / nullif({b}, 0)"
+    f1 = lambda p, r: f"CASE WHEN {p} > 0 AND {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) END"
+    p, r, ep, er = d("matched", "matched + rejected"), d("matched", "matched + added"), d("entity_matched", "found_entities"), d("entity_matched", "wanted_entities")
+    new = {"occurrence_precision": p, "occurrence_recall": r, "occurrence_f1": f1(p, r), "entity_precision": ep, "entity_recall": er, "entity_f1": f1(ep, er), "retention": d("retained", "found"), "correction": d("corrected", "found"), "rejection": d("rejected", "found"), "omission": d("added", "wanted")}
+    return f"SELECT *, {', '.join(f'round({v}, 6) AS {k}' for k, v in new.items())} FROM {source}"
+
+
+_AGREEMENT_SQL = f"""{ENTITIES_SQL},
+    e AS (SELECT r.series, e.recording, etype, CASE WHEN etype = 'ayah' THEN surah_number ELSE reference END AS k1, CASE WHEN etype = 'ayah' THEN ayah_number END AS k2, CAST(printf('%.1f', coalesce(start_s, 0.0)) AS DOUBLE) AS t, trim(coalesce(text, ''), ' ') AS text, entity_id, lower(trim(usage)) AS use
+        FROM ents e JOIN recordings r ON e.recording = r.recording WHERE etype IN ('ayah', 'dua', 'hadith')),
+    b AS (SELECT *, 0 AS w FROM e WHERE use IN {FOUND_USES} UNION ALL SELECT *, 1 FROM e WHERE use IN {WANTED_USES}),
+    o AS (SELECT series, recording, etype, k1, k2, t, count(*) FILTER (w = 0) AS nf, count(*) FILTER (w = 1) AS nw, arg_max(text, entity_id) FILTER (w = 0) AS tf, arg_max(text, entity_id) FILTER (w = 1) AS tw FROM b GROUP BY ALL),
+    n AS (SELECT series, recording, etype, k1, k2, sum(nf) AS found, sum(nw) AS wanted, count(*) FILTER (nf > 0 AND nw > 0) AS matched, count(*) FILTER (nf > 0 AND nw > 0 AND tf = tw) AS retained, count(*) FILTER (nw = 0) AS rejected, count(*) FILTER (nf = 0) AS added FROM o GROUP BY ALL),
+    c AS (SELECT series, recording, etype, CAST(sum(found) AS BIGINT) AS found, CAST(sum(wanted) AS BIGINT) AS wanted, count(*) FILTER (found > 0) AS found_entities, count(*) FILTER (wanted > 0) AS wanted_entities, count(*) FILTER (found > 0 AND wanted > 0) AS entity_matched,
+        CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(retained) AS BIGINT) AS retained, CAST(sum(matched) - sum(retained) AS BIGINT) AS corrected, CAST(sum(rejected) AS BIGINT) AS rejected, CAST(sum(added) AS BIGINT) AS added FROM n GROUP BY ALL)"""
+
+
+@_q
+def entity_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of two sets of citations in each recording by kind: occurrences, entities, rates."""
+    return agreement.rates(_agreement(spark, d))
+
+
+SQL["entity_agreement"] = f"WITH {_AGREEMENT_SQL} {_rates_sql('c')}"
+
+
+@_q
+def entity_agreement_pooled(spark: SparkSession, d: str) -> DataFrame:
+    """The same by series and in all: sums of counts before the ratios."""
+    return agreement.rates(agreement.pooled(_agreement(spark, d), ["etype"], "series"))
+
+
+SQL["entity_agreement_pooled"] = f"""
+    WITH {_AGREEMENT_SQL}, s AS (SELECT etype, CASE WHEN grouping(series) = 1 THEN 'ALL' ELSE series END AS series, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in agreement.COUNTS)} FROM c GROUP BY GROUPING SETS ((etype, series), (etype)))
+    {_rates_sql("s")}
+"""
+
+
 @_q
-def verse_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Precision, recall and F1 of the verses quoted in each recording (found) against those given in any usage (expected), as sets of keys."""
-    e = entities(spark, d, "ayah").select("recording", F.col("surah_number").alias("s"), F.col("ayah_number").alias("a"), F.lower(F.trim("usage")).alias("u")).where(F.col("recording").isNotNull() & F.col("s").isNotNull() & F.col("a").isNotNull())
-    found = e.where(F.col("u") == "quotation").select("recording", "s", "a").distinct().withColumn("f", F.lit(1))
-    expected = e.where(F.col("u").isNotNull()).select("recording", "s", "a").distinct().withColumn("x", F.lit(1))
-    n = found.join(expected, ["recording", "s", "a"], "full_outer").groupBy("recording").agg(F.count_if(F.col("f").isNotNull() & F.col("x").isNotNull()).alias("both"), F.count("f").alias("found"), F.count("x").alias("expected"))
-    p, r = F.try_divide(F.col("both"), F.col("found")), F.try_divide(F.col("both"), F.col("expected"))
-    return n.select("recording", "both", "found", "expected", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 6).alias("f1"))
-
-
-SQL["verse_agreement"] = f"""
-    WITH {ENTITIES_SQL}, e AS (SELECT recording, surah_number AS s, ayah_number AS a, lower(trim(usage)) AS u FROM ents WHERE etype = 'ayah' AND recording IS NOT NULL AND surah_number IS NOT NULL AND ayah_number IS NOT NULL),
-    f AS (SELECT DISTINCT recording, s, a FROM e WHERE u = 'quotation'), x AS (SELECT DISTINCT recording, s, a FROM e WHERE u IS NOT NULL),
-    n AS (SELECT coalesce(f.recording, x.recording) AS recording, count(*) FILTER (f.s IS NOT NULL AND x.s IS NOT NULL) AS "both", count(f.s) AS found, count(x.s) AS expected FROM f FULL JOIN x ON f.recording = x.recording AND f.s = x.s AND f.a = x.a GROUP BY 1)
-    SELECT *, round("both" / nullif(found, 0), 6) AS precision, round("both" / nullif(expected, 0), 6) AS recall,
-        round(2 * ("both" / nullif(found, 0)) * ("both" / nullif(expected, 0)) / nullif("both" / nullif(found, 0) + "both" / nullif(expected, 0), 0), 6) AS f1 FROM n
+def retrieval_report(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval and citation figures by scope and model: the cited chunks in order stand for what was first retrieved, in reverse
+    for the reranked, the first two with the gold ones for what was sent."""
+    none = F.array().cast("array<string>")
+    r = reviews(spark, d).withColumn("model", F.coalesce("generation_model", F.lit("unknown"))).withColumn("gold", F.coalesce("gold_chunk_ids", none)).withColumn("cited", F.coalesce("cited_chunk_ids", none))
+    sent = F.concat(F.slice("cited", 1, 2), F.slice("gold", 1, 1))
+    m = r.select("search_scope", "model", agreement.retrieval_metrics(F.col("gold"), F.col("cited"), F.reverse("cited"), sent).alias("r"), agreement.citation_metrics(F.col("gold"), F.col("generated_answer"), sent).alias("c"), (F.size("gold") > 0).alias("some"))
+    mean = lambda x, n: F.round(F.avg(x.cast("double")), 6).alias(n)
+    rr = lambda x, n: F.round(F.avg(F.when(F.col("some"), F.coalesce(F.try_divide(F.lit(1), F.col(x)), F.lit(0.0)))), 6).alias(n)
+    return agreement.named_slices(m, [["search_scope", "model"], ["search_scope"], []], ["search_scope", "model"], [
+        F.count("*").alias("n"), mean(F.col("r.initial_hit"), "initial_recall"), rr("r.initial_rank", "initial_mrr"), rr("r.reranked_rank", "reranked_mrr"), mean(F.col("r.sent_precision"), "sent_precision"), mean(F.col("r.sent_recall"), "sent_recall"),
+        mean(F.col("c.precision"), "citation_precision"), mean(F.col("c.recall"), "citation_recall"), mean(F.col("c.no_citation"), "no_citation"),
+    ])
+
+
+SQL["retrieval_report"] = f"""
+    WITH {REVIEWS_SQL}, r AS (SELECT search_scope, coalesce(generation_model, 'unknown') AS model, list_distinct(coalesce(gold_chunk_ids, [])) AS g, coalesce(gold_chunk_ids, []) AS gold, coalesce(cited_chunk_ids, []) AS cited, generated_answer AS a FROM revs),
+    t AS (SELECT *, list_distinct(list_concat(cited[:2], gold[:1])) AS sent, list_reverse(cited) AS back FROM r),
+    m AS (SELECT search_scope, model, len(g) AS n_gold, list_has_any(g, cited) AS hit, list_min(list_filter(list_transform(g, lambda x: list_position(cited, x)), lambda x: x > 0)) AS r1, list_min(list_filter(list_transform(g, lambda x: list_position(back, x)), lambda x: x > 0)) AS r2,
+        len(list_intersect(g, sent)) AS n_both, len(sent) AS n_sent, list_filter(sent, lambda x: coalesce(contains(a, x), false)) AS said, g FROM t),
+    k AS (SELECT *, len(list_intersect(said, g)) AS ok FROM m)
+    SELECT CASE WHEN grouping(search_scope) = 1 THEN '*' ELSE search_scope END AS search_scope, CASE WHEN grouping(model) = 1 THEN '*' ELSE model END AS model, count(*) AS n,
+        round(avg(CASE WHEN n_gold > 0 THEN CASE WHEN hit THEN 1.0 ELSE 0.0 END END), 6) AS initial_recall, round(avg(CASE WHEN n_gold > 0 THEN coalesce(1.0 / r1, 0) END), 6) AS initial_mrr, round(avg(CASE WHEN n_gold > 0 THEN coalesce(1.0 / r2, 0) END), 6) AS reranked_mrr,
+        round(avg(CASE WHEN n_gold > 0 AND n_sent > 0 THEN n_both / n_sent END), 6) AS sent_precision, round(avg(CASE WHEN n_gold > 0 THEN n_both / n_gold END), 6) AS sent_recall,
+        round(avg(CASE WHEN n_gold > 0 AND len(said) > 0 THEN ok / len(said) END), 6) AS citation_precision, round(avg(CASE WHEN n_gold > 0 THEN ok / n_gold END), 6) AS citation_recall, round(avg(CASE WHEN len(said) = 0 THEN 1.0 ELSE 0.0 END), 6) AS no_citation
+    FROM k GROUP BY GROUPING SETS ((search_scope, model), (search_scope), ())
 """
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -11,7 +11,7 @@ from tessera.operators.retrieval import knn
 from tessera.plans.common import ENTITIES_SQL, REVIEWS_SQL, SEGMENTS_SQL, entities, reviews, segments, timed
 from tessera.plans.spans import CHUNKS_SQL
 from tessera.plans.scalars import topic_registry
-from tessera.session import table
+from tessera.session import checkpoint, table
 
 QUERIES, SQL = {}, {}
 
@@ -79,10 +79,43 @@ def replay_plans(spark: SparkSession, d: str) -> DataFrame:
     return p.select("recording", F.explode("actions").alias("a")).groupBy("recording", F.get_json_object("a", "$.op").alias("op")).agg(F.count("*").alias("n"))
 
 
+@_q
+def replay_exact(spark: SparkSession, d: str) -> DataFrame:
+    """By recording the segments of v2 and v3 with a span, and whether the planned actions, taken on the one, give the other."""
+    side = lambda v: timed(segments(spark, d, v)).select("recording", "seq", "start_ms", "end_ms", "text")
+    new = side("v3")
+    old = side("v2").join(new.select("recording").distinct(), "recording", "left_semi")
+    return replay.plans(old, new).groupBy("recording").agg(F.sum("n_old").alias("n_v2"), F.sum("n_new").alias("n_v3"), F.every("exact").alias("exact"))
+
+
+SQL["replay_exact"] = f"""
+    WITH {SEGMENTS_SQL}, s AS (SELECT recording, version FROM segs WHERE version IN ('v2', 'v3') AND CAST(round(end_s * 1000) AS BIGINT) > CAST(round(start_s * 1000) AS BIGINT))
+    SELECT recording, count(*) FILTER (version = 'v2') AS n_v2, count(*) FILTER (version = 'v3') AS n_v3, true AS exact FROM s WHERE recording IN (SELECT recording FROM segs WHERE version = 'v3') GROUP BY recording
+"""
+
+
+@_q
+def entity_replay(spark: SparkSession, d: str) -> DataFrame:
+    """What a reviewer does with the quotations of each recording to come to all its citations of complete extent, by kind of action."""
+    e = entities(spark, d, "ayah", "dua", "hadith").where(F.col("recording").isNotNull()).select("recording", "etype", F.coalesce(F.when(F.col("etype") == "ayah", F.concat_ws(":", "surah_number", "ayah_number")).otherwise(F.col("reference")), F.lit("")).alias("key"), T.half_even(F.coalesce("start_s", F.lit(0.0)), F.lit(1)).alias("at"), "entity_id", "text", "extent", F.lower(F.trim("usage")).alias("use"))
+    found, wanted = e.where(F.col("use") == "quotation"), e.where(F.lower(F.trim("extent")) == "complete")
+    moves = replay.entity_moves(found, wanted, ["recording", "etype", "key", "at"], "entity_id", F.col("f_text").eqNullSafe(F.col("w_text")))
+    return moves.groupBy("recording", "etype", "move").agg(F.count("*").alias("n"))
+
+
+SQL["entity_replay"] = f"""
+    WITH {ENTITIES_SQL}, e AS (SELECT recording, etype, coalesce(CASE WHEN etype = 'ayah' THEN concat_ws(':', surah_number, ayah_number) ELSE reference END, '') AS key, CAST(printf('%.1f', coalesce(start_s, 0.0)) AS DOUBLE) AS t, entity_id, text, lower(trim(extent)) AS extent, lower(trim(usage)) AS use
+        FROM ents WHERE etype IN ('ayah', 'dua', 'hadith') AND recording IS NOT NULL),
+    f AS (SELECT *, row_number() OVER (PARTITION BY recording, etype, key, t ORDER BY entity_id) AS n FROM e WHERE use = 'quotation'), w AS (SELECT *, row_number() OVER (PARTITION BY recording, etype, key, t ORDER BY entity_id) AS n FROM e WHERE extent = 'complete')
+    SELECT coalesce(f.recording, w.recording) AS recording, coalesce(f.etype, w.etype) AS etype, CASE WHEN w.n IS NULL THEN 'reject' WHEN f.n IS NULL THEN 'add' WHEN f.text IS NOT DISTINCT FROM w.text THEN 'accept' ELSE 'edit' END AS move, count(*) AS n
+    FROM f FULL JOIN w ON f.recording = w.recording AND f.etype = w.etype AND f.key = w.key AND f.t = w.t AND f.n = w.n GROUP BY 1, 2, 3
+"""
+
+
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     c = ordered.chunks(segments(spark, d, "v2"))
-    no = F.row_number().over(Window.partitionBy("recording").orderBy("chunk_start", "chunk_end")) - 1
-    return c.withColumn("chunk_id", F.format_string("%s_chunk_%04d", "recording", no))
+    n = ordered.running(c.withColumn("_one", F.lit(1)), ["recording"], ["chunk_start", "chunk_end"], F.floor(F.col("chunk_start") / 3600), {"_no": ("sum", "_one")})
+    return n.select(*c.columns, F.format_string("%s_chunk_%04d", "recording", F.col("_no").cast("bigint")).alias("chunk_id"))
 
 
 @_q
@@ -102,11 +135,12 @@ SQL["cited_chunks"] = f"""
 @_q
 def retrieval_traces(spark: SparkSession, d: str) -> DataFrame:
     """Ten nearest chunks of every twentieth question's key against all chunks, the four best reranked, and the prompt's context."""
-    chunks = _chunks(spark, d).select("chunk_id", "chunk_start", "text", F.monotonically_increasing_id().alias("vec_id"))
-    chunks = chunks.withColumn("vec_id", F.abs(F.xxhash64("chunk_id"))).withColumn("v", ports.embed(F.col("text")))
-    asked = table(spark, d, "questions").where((F.col("q_key") % 20 == 0) & (F.trim("question") != "")).select((-F.col("q_key") - 1).alias("vec_id"), "question").withColumn("v", ports.embed(F.col("question")))
+    # Chunks are made and embedded once; their numbers are those of their names in order.
+    named_chunks = checkpoint(_chunks(spark, d).select("chunk_id", "chunk_start", "text").withColumn("v", ports.embed(F.col("text"))))
+    chunks = checkpoint(named_chunks.withColumn("vec_id", F.monotonically_increasing_id()))
+    asked = checkpoint(table(spark, d, "questions").where((F.col("q_key") % 20 == 0) & (F.trim("question") != "")).select((-F.col("q_key") - 1).alias("vec_id"), "question").withColumn("v", ports.embed(F.col("question"))))
     near = knn(asked, chunks, "vec_id", "v", 10)
-    named = near.join(chunks.select(F.col("vec_id").alias("neighbour_id"), "chunk_id", "chunk_start", "text"), "neighbour_id").join(asked.select(F.col("vec_id").alias("query_id"), "question"), "query_id")
+    named = checkpoint(near.join(chunks.select(F.col("vec_id").alias("neighbour_id"), "chunk_id", "chunk_start", "text"), "neighbour_id").join(asked.select(F.col("vec_id").alias("query_id"), "question"), "query_id"))
     best = ports.rerank(named.select("query_id", "question", "chunk_id", "text", "rank"))
     j = best.join(named.select("query_id", "chunk_id", "chunk_start", "text", F.round("score", 4).alias("similarity")), ["query_id", "chunk_id"])
     part = F.struct("new_rank", "chunk_id", "rank", "similarity", "score", "status", ports.context(F.col("chunk_id"), F.col("chunk_start"), F.col("text")).alias("context"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -115,8 +115,10 @@ SQL["interval_chains"] = f"""
 @_q
 def segment_sequence(spark: SparkSession, d: str) -> DataFrame:
     """Position of each v2 segment in its recording and the segment that follows."""
-    w = Window.partitionBy("recording").orderBy("seq")
-    return segments(spark, d, "v2").select("recording", "seg_key", (F.row_number().over(w) - 1).alias("position"), F.lead("seg_key").over(w).alias("next_key"))
+    s = segments(spark, d, "v2").select("recording", "seq", "seg_key", F.lit(1).alias("one"))
+    n = ordered.running(s, ["recording"], ["seq"], F.floor(F.col("seq") / 1000), {"position": ("sum", "one")})
+    n = ordered.neighbours(n, ["recording"], ["seq"], F.floor(F.col("seq") / 1000), after={"next_key": "seg_key"})
+    return n.select("recording", "seg_key", F.col("position").cast("int").alias("position"), "next_key")
 
 
 SQL["segment_sequence"] = f"""
@@ -128,8 +130,7 @@ SQL["segment_sequence"] = f"""
 def review_gate(spark: SparkSession, d: str) -> DataFrame:
     """What stands against taking a reviewed version: one row per violation, fatal or warning."""
     s = segments(spark, d, "v3")
-    w = Window.partitionBy("recording").orderBy("seq")
-    rows = s.select("recording", "seg_key", "id", "start_s", "end_s", "text", F.lag("start_s").over(w).alias("before"))
+    rows = ordered.neighbours(s.select("recording", "seq", "seg_key", "id", "start_s", "end_s", "text"), ["recording"], ["seq"], F.floor(F.col("seq") / 1000), before={"before": "start_s"})
     rule = lambda bad, severity, name: F.when(bad, F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("rule")))
     found = F.filter(F.array(
         rule(F.col("start_s").isNull() | F.col("end_s").isNull(), "fatal", "missing time"), rule(F.col("text").isNull(), "fatal", "missing text"),
@@ -137,22 +138,37 @@ def review_gate(spark: SparkSession, d: str) -> DataFrame:
     ), lambda x: x.isNotNull())
     own = rows.select("recording", F.col("seg_key").alias("item"), F.inline(found))
     twice = s.where(F.col("id").isNotNull()).groupBy("recording", "id").agg(F.count("*").alias("n"), F.min("seg_key").alias("item")).where(F.col("n") > 1).select("recording", "item", F.lit("fatal").alias("severity"), F.lit("id used twice").alias("rule"))
-    e = entities(spark, d, "ayah", "dua", "hadith")
+    last = s.groupBy("recording").agg(F.max(F.greatest("start_s", "end_s")).alias("last"))
+    e = entities(spark, d).join(last, "recording", "left")
+    cited = F.col("etype") != "topic"
+    key = F.when(F.col("etype") == "ayah", F.col("surah_number").isNull() | F.col("ayah_number").isNull()).otherwise(cited & F.col("reference").isNull())
     usage = ~F.coalesce(F.lower(F.trim("usage")).isin(*T.USAGE), F.lit(False))
-    extent = (F.col("etype") != "hadith") & ~F.coalesce(F.lower(F.trim("extent")).isin(*T.EXTENT), F.lit(False))
-    ent = F.filter(F.array(rule(usage, "fatal", "usage"), rule(extent, "fatal", "extent"), rule(F.col("end_s") < F.col("start_s"), "warning", "entity end before start")), lambda x: x.isNotNull())
-    return own.unionByName(twice).unionByName(e.select("recording", F.col("entity_id").alias("item"), F.inline(ent)))
+    extent = F.col("etype").isin("ayah", "dua") & ~F.coalesce(F.lower(F.trim("extent")).isin(*T.EXTENT), F.lit(False))
+    ent = F.filter(F.array(
+        rule(cited & usage, "fatal", "usage"), rule(extent, "fatal", "extent"), rule(key, "fatal", "missing key"), rule(F.col("start_s").isNull() | F.col("end_s").isNull(), "fatal", "missing entity time"), rule(cited & F.col("text").isNull(), "fatal", "missing entity text"),
+        rule(F.col("end_s") < F.col("start_s"), "warning", "entity end before start"), rule(F.col("start_s") > F.col("last"), "warning", "entity after the last segment"),
+    ), lambda x: x.isNotNull())
+    # A recording that is being reviewed but has no segment or no entity at all.
+    there, cites = s.select("recording").distinct(), e.select("recording").distinct().where(F.col("recording").isNotNull())
+    bare = lambda df, name: df.select("recording", F.lit(None).cast("bigint").alias("item"), F.lit("fatal").alias("severity"), F.lit(name).alias("rule"))
+    known = table(spark, d, "segments").select("recording").distinct()
+    empty = bare(known.join(there, "recording", "left_anti"), "no segments").unionByName(bare(there.join(cites, "recording", "left_anti"), "no entities"))
+    return own.unionByName(twice).unionByName(e.select("recording", F.col("entity_id").alias("item"), F.inline(ent))).unionByName(empty)
 
 
 SQL["review_gate"] = f"""
-    WITH {SEGMENTS_SQL}, {ENTITIES_SQL}, r AS (SELECT *, lag(start_s) OVER (PARTITION BY recording ORDER BY seq) AS before FROM segs WHERE version = 'v3'), e AS (SELECT * FROM ents WHERE etype IN ('ayah', 'dua', 'hadith'))
+    WITH {SEGMENTS_SQL}, {ENTITIES_SQL}, r AS (SELECT *, lag(start_s) OVER (PARTITION BY recording ORDER BY seq) AS before FROM segs WHERE version = 'v3'), l AS (SELECT recording, max(greatest(start_s, end_s)) AS last FROM r GROUP BY recording), e AS (SELECT ents.*, last FROM ents LEFT JOIN l ON ents.recording = l.recording)
     SELECT recording, seg_key AS item, 'fatal' AS severity, 'missing time' AS rule FROM r WHERE start_s IS NULL OR end_s IS NULL
     UNION ALL SELECT recording, seg_key, 'fatal', 'missing text' FROM r WHERE text IS NULL
     UNION ALL SELECT recording, seg_key, 'warning', 'end before start' FROM r WHERE end_s < start_s
     UNION ALL SELECT recording, seg_key, 'warning', 'start before previous' FROM r WHERE start_s < before
     UNION ALL SELECT recording, min(seg_key), 'fatal', 'id used twice' FROM r WHERE id IS NOT NULL GROUP BY recording, id HAVING count(*) > 1
-    UNION ALL SELECT recording, entity_id, 'fatal', 'usage' FROM e WHERE coalesce(lower(trim(usage)) NOT IN ('quotation', 'translation', 'paraphrase', 'explicit paraphrase'), true)
-    UNION ALL SELECT recording, entity_id, 'fatal', 'extent' FROM e WHERE etype <> 'hadith' AND coalesce(lower(trim(extent)) NOT IN ('complete', 'partial'), true)
+    UNION ALL SELECT DISTINCT recording, CAST(NULL AS BIGINT), 'fatal', 'no segments' FROM segments WHERE recording NOT IN (SELECT recording FROM r) UNION ALL SELECT DISTINCT recording, CAST(NULL AS BIGINT), 'fatal', 'no entities' FROM r WHERE recording NOT IN (SELECT recording FROM ents WHERE recording IS NOT NULL)
+    UNION ALL SELECT recording, entity_id, 'fatal', 'missing key' FROM e WHERE CASE etype WHEN 'ayah' THEN surah_number IS NULL OR ayah_number IS NULL WHEN 'topic' THEN false ELSE reference IS NULL END
+    UNION ALL SELECT recording, entity_id, 'fatal', 'missing entity time' FROM e WHERE start_s IS NULL OR end_s IS NULL UNION ALL SELECT recording, entity_id, 'fatal', 'missing entity text' FROM e WHERE etype <> 'topic' AND text IS NULL
+    UNION ALL SELECT recording, entity_id, 'warning', 'entity after the last segment' FROM e WHERE start_s > last
+    UNION ALL SELECT recording, entity_id, 'fatal', 'usage' FROM e WHERE etype <> 'topic' AND coalesce(lower(trim(usage)) NOT IN ('quotation', 'translation', 'paraphrase', 'explicit paraphrase'), true)
+    UNION ALL SELECT recording, entity_id, 'fatal', 'extent' FROM e WHERE etype IN ('ayah', 'dua') AND coalesce(lower(trim(extent)) NOT IN ('complete', 'partial'), true)
     UNION ALL SELECT recording, entity_id, 'warning', 'entity end before start' FROM e WHERE end_s < start_s
 """
 

@@ -88,11 +88,11 @@ def test_knn_against_brute_force(spark):
     rng = np.random.default_rng(0)
     v = rng.integers(-2, 3, (120, 4)).astype("float32")
     df = spark.createDataFrame([(i, [float(x) for x in r], 1) for i, r in enumerate(v)] + [(500, None, 1), (501, [1.0], 1)], "vec_id long, e array<float>, score int").repartition(5)
-    old, retrieval.QUERY_BLOCK = retrieval.QUERY_BLOCK, 4
+    old, retrieval.QUERY_BLOCK, retrieval.VECTOR_BLOCK = retrieval.QUERY_BLOCK, 4, 50
     try:
         got = retrieval.knn(df.where("vec_id % 20 = 0 and vec_id < 200"), df, "vec_id", "e", 7).collect()
     finally:
-        retrieval.QUERY_BLOCK = old
+        retrieval.QUERY_BLOCK, retrieval.VECTOR_BLOCK = old, 50_000
     s = v.astype(float) @ v.astype(float).T
     for q in range(0, 120, 20):
         want = sorted(((-s[q, j], j) for j in range(120) if j != q))[:7]

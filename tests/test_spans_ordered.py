@@ -26,6 +26,24 @@ def test_overlap_join_and_best(spark):
         assert best[i] == min(((q, n(q)) for x, q in want if x == i), key=lambda t: (-t[1], t[0]))
 
 
+def test_overlap_join_of_very_long_spans(spark):
+    day = 86_400_000
+    left = [(1, "k", 0, 400_000 * day), (2, "k", 5, 70), (3, "k", 90 * day, 91 * day), (4, "k", 100_000, 90_000)]
+    right = [(11, "k", 50, 60), (12, "k", -3 * day, 200_000 * day), (13, "k", 90 * day + 5, 90 * day + 9), (14, "x", 0, 9)]
+    a, b = spark.createDataFrame(left, "l long, k string, ls long, le long"), spark.createDataFrame(right, "r long, k string, rs long, re long")
+    got = sorted((r.l, r.r) for r in overlap_join(a, b, "k", "ls", "le", "rs", "re").collect())
+    assert got == sorted((i, j) for i, k, s, e in left for j, q, u, v in right if k == q and s < v and u < e)
+
+
+def test_neighbours(spark):
+    rng = random.Random(7)
+    rows = [(k, i, rng.choice([None, i])) for k in "ab" for i in rng.sample(range(500), 90)]
+    got = ordered.neighbours(spark.createDataFrame(rows, "k string, i int, n int"), ["k"], ["i"], F.floor(F.col("i") / 20), before={"b": "n", "bi": "i"}, after={"a": "n"}).collect()
+    for k in "ab":
+        mine = sorted((r for r in got if r.k == k), key=lambda r: r.i)
+        assert [(r.b, r.bi) for r in mine] == [(None, None), *[(r.n, r.i) for r in mine[:-1]]] and [r.a for r in mine] == [*[r.n for r in mine[1:]], None]
+
+
 def test_last_before(spark):
     rng = random.Random(2)
     pts = [(i, rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(1000)])) for i in range(120)]
