@@ -43,11 +43,11 @@ HEADLINE = "without_diacritics"
 COMPARED = ("v0", "v1", "v2")
 
 
-def _rates(spark: SparkSession, d: str, profiles: tuple[str, ...]) -> DataFrame:
+def _rates(spark: SparkSession, d: str, profiles: tuple[str, ...], group: str = "series") -> DataFrame:
     s = segments(spark, d, "v3", *COMPARED)
     by = s.groupBy("recording", "seq").agg(F.max("series").alias("series"), F.map_from_entries(F.collect_list(F.struct("version", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
     hyp = F.explode(F.filter(F.array(*[F.when(F.map_contains_key("t", v), F.struct(F.lit(v).alias("version"), F.col("t")[v].alias("hyp"))) for v in COMPARED]), lambda x: x.isNotNull()))
-    pairs = by.where(F.map_contains_key("t", "v3")).select("series", F.col("t")["v3"].alias("ref"), hyp.alias("h")).select("series", "h.version", F.explode(T.in_profiles(F.col("ref"), F.col("h.hyp"), profiles)).alias("x"))
+    pairs = by.where(F.map_contains_key("t", "v3")).select(F.col(group).alias("series"), F.col("t")["v3"].alias("ref"), hyp.alias("h")).select("series", "h.version", F.explode(T.in_profiles(F.col("ref"), F.col("h.hyp"), profiles)).alias("x"))
     one = pairs.select("series", "version", "x.profile", "x.unit", T.distance(F.col("x.ref"), F.col("x.hyp")).alias("e"), F.char_length("x.ref").alias("n"))
     sums = one.groupBy("series", "version", "profile", "unit").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).groupingSets([["series", "version", "profile", "unit"], ["version", "profile", "unit"]], "series", "version", "profile", "unit").agg(F.sum("e").alias("edits"), F.sum("n").alias("units"), F.grouping("series").alias("g"))
     return sums.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("series")).alias("series"), "version", "profile", "unit", "edits", "units", F.round(F.try_divide(100 * F.col("edits"), F.col("units")), 6).alias("rate"))
@@ -99,12 +99,12 @@ _DISTANCE_SQL = f"""
     edits AS (SELECT series, version, profile, unit, CASE WHEN len(k) > 125 THEN {_TABLE_SQL} WHEN a = '' THEN length(b) WHEN b = '' THEN length(a) ELSE levenshtein(a, b) END AS e, n FROM coded)"""
 
 
-def _error_sql(profiles: tuple[str, ...], units: tuple[str, ...]) -> str:
+def _error_sql(profiles: tuple[str, ...], units: tuple[str, ...], group: str = "series") -> str:
     words = " UNION ALL ".join(f"SELECT series, version, '{p}' AS profile, {_profile_sql(p, 'rt')} AS rw, {_profile_sql(p, 'ht')} AS hw FROM p" for p in profiles)
     letters = lambda w: f"CASE WHEN len({w}) = 0 THEN [] ELSE string_split(array_to_string({w}, ' '), '') END"
     made = {"cer": f"SELECT series, version, profile, 'cer' AS unit, {letters('rw')} AS r, {letters('hw')} AS h FROM w", "wer": "SELECT series, version, profile, 'wer' AS unit, rw AS r, hw AS h FROM w"}
     return f"""{SEGMENTS_SQL},
-    p AS (SELECT a.series, b.version, coalesce(a.text, '') AS rt, coalesce(b.text, '') AS ht FROM segs a JOIN segs b ON a.recording = b.recording AND a.seq = b.seq AND a.version = 'v3' AND b.version IN ('v0', 'v1', 'v2')),
+    p AS (SELECT a.{group} AS series, b.version, coalesce(a.text, '') AS rt, coalesce(b.text, '') AS ht FROM segs a JOIN segs b ON a.recording = b.recording AND a.seq = b.seq AND a.version = 'v3' AND b.version IN ('v0', 'v1', 'v2')),
     w AS ({words}), units AS ({" UNION ALL ".join(made[u] for u in units)}), {_DISTANCE_SQL},
     rates AS (SELECT CASE WHEN grouping(series) = 1 THEN 'ALL' ELSE series END AS series, version, profile, unit, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS units, CASE WHEN sum(n) > 0 THEN round(100 * sum(e) / sum(n), 6) END AS rate
         FROM edits GROUP BY GROUPING SETS ((series, version, profile, unit), (version, profile, unit)))"""
@@ -454,16 +454,14 @@ SQL["fifo_text_match"] = f"""
 
 
 @_q
-def macro_and_micro_mean(spark: SparkSession, d: str) -> DataFrame:
-    """Mean discount by return flag: of the orders' means (macro) and of all lines weighted by price (micro)."""
-    li = table(spark, d, "lineitem")
-    o = li.groupBy("l_returnflag", "l_orderkey").agg(F.avg("l_discount").alias("m"), F.sum(F.col("l_discount") * F.col("l_extendedprice")).alias("x"), F.sum("l_extendedprice").alias("w"))
-    return o.groupBy("l_returnflag").agg(F.round(F.avg("m"), 6).alias("macro"), F.round(F.sum("x") / F.sum("w"), 6).alias("micro"))
+def macro_mean_rates(spark: SparkSession, d: str) -> DataFrame:
+    """By version and unit the mean of the recordings' headline rates, each recording weighing the same, and the best of them."""
+    r = _rates(spark, d, (HEADLINE,), "recording").where((F.col("series") != "ALL") & F.col("rate").isNotNull())
+    return r.groupBy("version", "unit").agg(F.count("*").alias("n_recordings"), F.round(F.avg("rate"), 4).alias("mean_rate"), F.round(F.min("rate"), 4).alias("best_rate"))
 
 
-SQL["macro_and_micro_mean"] = """
-    WITH o AS (SELECT l_returnflag, l_orderkey, avg(l_discount) AS m, sum(l_discount * l_extendedprice) AS x, sum(l_extendedprice) AS w FROM lineitem GROUP BY ALL)
-    SELECT l_returnflag, round(avg(m), 6) AS macro, round(sum(x) / sum(w), 6) AS micro FROM o GROUP BY ALL
+SQL["macro_mean_rates"] = f"""
+    WITH {_error_sql((HEADLINE,), ("cer", "wer"), "recording")} SELECT version, unit, count(*) AS n_recordings, round(avg(rate), 4) AS mean_rate, round(min(rate), 4) AS best_rate FROM rates WHERE series <> 'ALL' AND rate IS NOT NULL GROUP BY version, unit
 """
 
 

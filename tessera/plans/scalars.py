@@ -134,7 +134,7 @@ SQL["event_reply_parse"] = "SELECT event_type, count(props) AS n_parsed, CAST(su
 
 #: A text to be grounded is known by its kind and itself.
 CANDIDATE = ("etype", "text")
-#: Weight of the lexical score, as the reference has it; the sweep tries all.
+#: Weight of the lexical score; the sweep tries all.
 ALPHA, ALPHAS = 0.7, [round(0.1 * i, 1) for i in range(11)]
 
 
