@@ -120,6 +120,12 @@ def _sql(c: Column) -> str:
     return c._jc.toString() if hasattr(c, "_jc") else str(c)
 
 
+def verse_key_of(sura: str, aya: str) -> Column:
+    """``verse_key`` of two named columns."""
+    s, a = F.col(sura).try_cast("int"), F.col(aya).try_cast("int")
+    return F.when(s.isNotNull() & a.isNotNull(), F.format_string("CH%03d_V%03d", s, a))
+
+
 def verse_numbers(aya: Column) -> Column:
     """Array of the numbers that '3' or '3-5' stands for; empty where it is neither or runs backwards."""
     lo = F.try_to_number(F.regexp_extract(aya, r"^\s*(\d+)", 1), F.lit("999999")).cast("int")
@@ -151,6 +157,16 @@ def controlled(value: Column, names: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.lower(F.trim(value)))
 
 
+def recording_name(source: Column) -> Column:
+    """Name of a recording from its file or address: the last part without its extension, other than letters, digits, dots and dashes
+    as underscores; 'recording' where nothing remains."""
+    remote = source.rlike("(?i)^https?://")
+    path = F.when(remote, F.try_url_decode(F.regexp_replace(F.regexp_replace(source, r"(?i)^https?://[^/]*|[?#].*$", ""), r"\+", "%2B"))).otherwise(source)
+    stem = F.regexp_replace(F.regexp_extract(path, "([^/]*)/*$", 1), r"(?<=[^.])\.[^.]*$", "")
+    bare = F.regexp_replace(F.regexp_replace(stem, r"(?U)[^\w.-]+", "_"), "^[._]+|[._]+$", "")
+    return F.coalesce(F.nullif(bare, F.lit("")), F.lit("recording"))
+
+
 def checked(value: Column, names: dict[str, str]) -> Column:
     """Name of a controlled value as ``controlled`` gives it; a value that isn't null and isn't known raises an error."""
     name = controlled(value, names)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import edit_score, for_matching, words
 from tessera.operators import ports
+from tessera.session import checkpoint
 
 TOP = 5
-#: Candidates scored at once.
-SLICE = 500
+#: Candidates scored at once, and entries of the corpus that go to the tasks at once.
+SLICE, CORPUS_BLOCK = 500, 10_000
 
 
 def lexical_pairs(candidates: DataFrame, corpus: DataFrame, cand_text: str, corpus_key: str, corpus_text: str) -> DataFrame:
@@ -48,10 +50,22 @@ def best_matches(candidates: DataFrame, corpus: DataFrame, kind: str, text: str,
 
     Every entry of the kind is scored: alpha * lexical + (1 - alpha) * semantic, the lexical score being the mean of the edit
     score and the word F1 of the matching forms, the semantic one the cosine of the vectors of the texts as they stand.
-    Null and blank candidate texts give no row.  The corpus is bounded and goes to every task; candidates aren't sorted.
+    Null and blank candidate texts give no row.  A corpus of up to CORPUS_BLOCK entries goes to every task as a whole; a larger
+    one block by block, the best of each block being ranked again.  Candidates aren't sorted.
     """
-    spark = candidates.sparkSession
     known = corpus.select(F.col(corpus_kind).alias("k"), F.col(corpus_key).alias("key"), for_matching(F.col(corpus_text)).alias("norm"), ports.embed(F.col(corpus_text), model).alias("v")).where("norm <> ''").withColumn("ws", words(F.col("norm")))
+    n = -(-known.count() // CORPUS_BLOCK)
+    if n <= 1:
+        return _best_in(candidates, known, kind, text, corpus_key, alphas, top, model)
+    known = checkpoint(known)
+    found = reduce(DataFrame.unionByName, [_best_in(candidates, known.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i), kind, text, corpus_key, alphas, top, model) for i in range(n)])
+    w = Window.partitionBy(kind, text, "alpha").orderBy(F.desc("score"), corpus_key)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def _best_in(candidates: DataFrame, known: DataFrame, kind: str, text: str, corpus_key: str, alphas: list[float], top: int, model: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """``best_matches`` among the entries ``known`` (k, key, norm, v, ws), which are collected."""
+    spark = candidates.sparkSession
     entries: dict[str, list] = {}
     for r in sorted(known.collect(), key=lambda r: r.key):
         entries.setdefault(r.k, []).append(r)
@@ -120,12 +134,16 @@ def verdict(best: Column, margin: Column, tau: float | Column, delta: float | Co
 
 
 def grid(best: DataFrame, taus: list[float], deltas: list[float], by: tuple[str, ...] = ()) -> DataFrame:
-    """Counts and F1 by (tau, delta), and the columns ``by``, of candidates ``best_key, best_score, margin, gold_key`` (null: should be rejected)."""
+    """Counts and F1 by (tau, delta), and the columns ``by``, of candidates ``best_key, best_score, margin, gold_key`` (null: should be rejected).
+
+    ``correct`` and ``wrong`` are of those accepted, ``missed`` are positives that aren't, ``rejected`` negatives that aren't.
+    """
     points = F.explode(F.array(*[F.struct(F.lit(t).alias("tau"), F.lit(d).alias("delta")) for t in taus for d in deltas])).alias("g")
     kept = (F.col("best_score") >= F.col("g.tau")) & (F.col("margin").isNull() | (F.col("margin") >= F.col("g.delta")))
     right = kept & (F.col("best_key") == F.col("gold_key"))
     n = best.select(*by, "best_key", "best_score", "margin", "gold_key", points).groupBy(*by, "g.tau", "g.delta").agg(
         F.count_if(F.coalesce(right, F.lit(False))).alias("correct"), F.count_if(kept & ~F.coalesce(right, F.lit(False))).alias("wrong"), F.count_if(F.col("gold_key").isNotNull()).alias("positives"),
+        F.count_if(F.col("gold_key").isNull()).alias("negatives"), F.count_if(kept & F.col("gold_key").isNotNull()).alias("_on_positives"), F.count_if(kept & F.col("gold_key").isNull()).alias("_on_negatives"),
     )
     p, r = F.try_divide(F.col("correct"), F.col("correct") + F.col("wrong")), F.try_divide(F.col("correct"), F.col("positives"))
-    return n.select(*by, "tau", "delta", "correct", "wrong", "positives", F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
+    return n.select(*by, "tau", "delta", "correct", "wrong", "positives", (F.col("positives") - F.col("_on_positives")).alias("missed"), "negatives", (F.col("negatives") - F.col("_on_negatives")).alias("rejected"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))

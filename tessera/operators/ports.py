@@ -85,3 +85,55 @@ def ask(df: DataFrame, key: str, prompt: Column, model: Callable[[str], str], ch
 def context(chunk_id: Column, start: Column, text: Column) -> Column:
     """A chunk as it stands in a prompt."""
     return F.concat(F.format_string("[chunk_id=%s start=%.2fs] ", chunk_id, start), text)
+
+
+def correct(segments: DataFrame, text: str, model: Callable[[str], str], tries: int = TRIES) -> DataFrame:
+    """``segments`` with ``text`` corrected by a model that replies with a JSON object of a text, and ``changed, fallback, reason``.
+
+    A reply that can't be read, or leaves the bounds of a correction, is asked for again; after the last try the text stays
+    and the reason is kept.  Null texts stay.
+    """
+    import json
+
+    from tessera.functions.text import correction_accepted, json_reply
+
+    src = segments.withColumn("_row", F.struct(*segments.columns))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for t in pdf["_text"]:
+                replies, errors = [], []
+                for _ in range(tries if t is not None else 0):
+                    try:
+                        replies.append(model(t))
+                    except Exception as e:  # noqa: BLE001
+                        errors.append(f"{type(e).__name__}: {e}")
+                        replies.append(None)
+                out.append((json.dumps(replies), errors[-1] if errors else None))
+            yield pd.DataFrame({"_row": pdf["_row"], "_replies": [o[0] for o in out], "_error": [o[1] for o in out]})
+
+    # The model is deterministic or not: every try is made once, and the first acceptable reply taken.
+    row = src.schema["_row"].dataType.simpleString()
+    asked = src.select("_row", F.col(text).alias("_text")).mapInPandas(run, f"_row {row}, _replies string, _error string")
+    read = F.transform(F.from_json("_replies", "array<string>"), lambda r: F.get_json_object(json_reply(r), "$.text"))
+    t0 = F.col(f"_row.{text}")
+    good = F.filter(read, lambda x: x.isNotNull() & correction_accepted(F.coalesce(t0, F.lit("")), x))
+    new = F.try_element_at(good, F.lit(1))
+    reason = F.when(new.isNull() & t0.isNotNull(), F.coalesce("_error", F.lit("out of bounds, or no text")))
+    picked = asked.select("_row", new.alias("_new"), reason.alias("reason"))
+    cols = [F.coalesce("_new", t0).alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in segments.columns]
+    return picked.select(*cols, (F.col("_new").isNotNull() & (F.col("_new") != t0)).alias("changed"), F.col("reason").isNotNull().alias("fallback"), "reason")
+
+
+def extract(segments: DataFrame, keys: list[str], text: str, model: Callable[[str], str], tries: int = TRIES) -> tuple[DataFrame, DataFrame]:
+    """Candidates ``keys, etype, n`` with their fields, from replies that are JSON objects of lists by kind; and the segments without a readable reply, with the reason."""
+    from tessera.functions.text import json_reply
+    from tessera.sources.files import entity_rows
+
+    named = segments.withColumn("_key", F.to_json(F.struct(*keys)))
+    readable = lambda p, r: bool(r) and "{" in r
+    got = ask(named.where(F.col(text).isNotNull()), "_key", F.col(text), model, readable, tries).withColumn("_json", json_reply(F.col("reply")))
+    back = named.select("_key", *keys, "start_s", "end_s").join(got, "_key")
+    items = entity_rows(back.where(F.col("_json").isNotNull()), "_json", *keys, "start_s", "end_s").drop("start", "end")
+    return items, back.where(F.col("_json").isNull()).select(*keys, F.coalesce(F.nullif(F.col("status"), F.lit("ok")), F.lit("no JSON object")).alias("reason"))

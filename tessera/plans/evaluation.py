@@ -217,18 +217,20 @@ SQL["stale_segment_counts"] = f"""
 
 @_q
 def structure_classes(spark: SparkSession, d: str) -> DataFrame:
-    """How the segmentation and wording of a recording changed from v0 to v3: ratios of segments and of words, and a class."""
-    s = segments(spark, d, "v0", "v3")
-    n = s.groupBy("recording").pivot("version", ["v0", "v3"]).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(T.words(F.col("text")))).alias("w")).where(F.col("v0_n").isNotNull() & F.col("v3_n").isNotNull())
-    seg, word = F.round(F.col("v3_n") / F.col("v0_n"), 2), F.round(F.try_divide(F.col("v3_w"), F.col("v0_w")), 2)
-    kind = F.when(F.abs(seg - 1) > 0.1, "resegmented").when(F.abs(word - 1) > 0.15, "rewritten").otherwise("stable")
-    return n.select("recording", seg.alias("segment_ratio"), word.alias("word_ratio"), kind.alias("structure"))
+    """How the reviewed segments of a recording stand to those of v2: ratios of segments and of words (two digits, before they are
+    compared), and a class."""
+    s = segments(spark, d, "v2", "v3")
+    n = s.groupBy("recording").pivot("version", ["v2", "v3"]).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(T.words(F.col("text")))).alias("w"))
+    seg, word = F.round(F.try_divide(F.coalesce("v3_n", F.lit(0)), F.col("v2_n")), 2), F.round(F.try_divide(F.coalesce("v3_w", F.lit(0)), F.col("v2_w")), 2)
+    close = F.coalesce(F.abs(word - 1) <= 0.15, F.lit(False))
+    kind = F.when(seg.isNull(), "none").when(F.abs(seg - 1) <= 0.1, "neutral").when((seg > 1.1) & close, "split").when((seg < 0.9) & close, "merge").otherwise("both")
+    return n.where(F.col("v3_n").isNotNull()).select("recording", seg.alias("segment_ratio"), word.alias("word_ratio"), kind.alias("structure"))
 
 
 SQL["structure_classes"] = f"""
-    WITH {SEGMENTS_SQL}, n AS (SELECT recording, count(*) FILTER (version = 'v0') AS n0, count(*) FILTER (version = 'v3') AS n3, sum(len({words_sql("text")})) FILTER (version = 'v0') AS w0, sum(len({words_sql("text")})) FILTER (version = 'v3') AS w3 FROM segs GROUP BY recording),
-    r AS (SELECT recording, round(n3 / n0, 2) AS segment_ratio, round(w3 / nullif(w0, 0), 2) AS word_ratio FROM n WHERE n0 > 0 AND n3 > 0)
-    SELECT *, CASE WHEN abs(segment_ratio - 1) > 0.1 THEN 'resegmented' WHEN abs(word_ratio - 1) > 0.15 THEN 'rewritten' ELSE 'stable' END AS structure FROM r
+    WITH {SEGMENTS_SQL}, n AS (SELECT recording, count(*) FILTER (version = 'v2') AS n2, count(*) FILTER (version = 'v3') AS n3, coalesce(sum(len({words_sql("text")})) FILTER (version = 'v2'), 0) AS w2, coalesce(sum(len({words_sql("text")})) FILTER (version = 'v3'), 0) AS w3 FROM segs GROUP BY recording),
+    r AS (SELECT recording, round(n3 / nullif(n2, 0), 2) AS segment_ratio, round(w3 / nullif(w2, 0), 2) AS word_ratio FROM n WHERE n3 > 0)
+    SELECT *, CASE WHEN segment_ratio IS NULL THEN 'none' WHEN abs(segment_ratio - 1) <= 0.1 THEN 'neutral' WHEN segment_ratio > 1.1 AND abs(word_ratio - 1) <= 0.15 THEN 'split' WHEN segment_ratio < 0.9 AND abs(word_ratio - 1) <= 0.15 THEN 'merge' ELSE 'both' END AS structure FROM r
 """
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import ordered, ports, replacement, replay, topics
 from tessera.operators.retrieval import knn
+from tessera.plans import drivers
 from tessera.plans.common import ENTITIES_SQL, REVIEWS_SQL, SEGMENTS_SQL, entities, reviews, segments, timed
 from tessera.plans.spans import CHUNKS_SQL
 from tessera.plans.scalars import topic_registry
@@ -29,9 +30,20 @@ def quotations_replaced(spark: SparkSession, d: str) -> DataFrame:
     return replacement.replace_quotations(segments(spark, d, "v2"), q)
 
 
+@_q
+def validated_segments(spark: SparkSession, d: str) -> DataFrame:
+    """v2 segments in which grounded verses and duas are replaced by their canonical text."""
+    s = segments(spark, d, "v2").where(F.col("recording").isNotNull() & F.col("seq").isNotNull())
+    return drivers.validate(entities(spark, d), s, table(spark, d, "canon"))[1].where(F.col("n_replaced") > 0).select("recording", "seq", "text", "n_replaced")
+
+
 @_q
 def topic_merge_proposals(spark: SparkSession, d: str) -> DataFrame:
-    return topics.merge_proposals(topic_registry(spark, d))
+    """Topics of like names, and whether they meet within a series or only across series."""
+    t = topic_registry(spark, d)
+    named = lambda x: t.select(F.col("slug").alias(x), F.col("series").alias(f"_{x}"))
+    p = topics.merge_proposals(t).join(named("a"), "a").join(named("b"), "b")
+    return p.select("a", "b", "similarity", F.when(F.arrays_overlap("_a", "_b"), "within_series").otherwise("cross_series").alias("scope"))
 
 
 @_q

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -166,12 +166,14 @@ def match_top5(spark: SparkSession, d: str) -> DataFrame:
 
 @_q
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """The fifteen best settings of lexical weight, threshold and margin on the quoted verses and duas."""
-    e = _cited(spark, d).where(F.lower(F.trim("usage")) == "quotation").withColumnRenamed("proposed", "gold_key")
+    """The fifteen best settings of lexical weight, threshold and margin, on the quoted verses and duas and on those of every usage."""
+    e = _cited(spark, d).withColumnRenamed("proposed", "gold_key")
     got = matching.decisions(_matches(spark, d, e, ALPHAS, 2), "canon_key", "score", 0.0, 0.0, ("alpha", *CANDIDATE))
-    tried = e.withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS))))
-    g = matching.grid(tried.join(got, ["alpha", *CANDIDATE], "left"), [round(0.3 + 0.05 * i, 2) for i in range(14)], [0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2], ("alpha",))
-    return g.orderBy(F.desc("f1"), "wrong", F.desc("tau"), "delta", "alpha").limit(15)
+    scopes = F.when(F.lower(F.trim("usage")) == "quotation", F.array(F.lit("quotation"), F.lit("all"))).otherwise(F.array(F.lit("all")))
+    tried = e.withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS)))).withColumn("scope", F.explode(scopes))
+    g = matching.grid(tried.join(got, ["alpha", *CANDIDATE], "left"), [round(0.3 + 0.05 * i, 2) for i in range(10)], [0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2], ("scope", "alpha"))
+    w = Window.partitionBy("scope").orderBy(F.desc("f1"), "wrong", F.desc("tau"), "delta", "alpha")  # 770 settings a scope
+    return g.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 15)
 
 
 @_q

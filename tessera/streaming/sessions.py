@@ -23,3 +23,26 @@ def segment_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of segment tables that are added to a folder; copies delivered within the watermark count once."""
     rows = spark.readStream.schema(schema).parquet(path)
     return rows.withColumn("_at", F.col("ingested_at").cast("timestamp")).withWatermark("_at", LATE).dropDuplicatesWithinWatermark(["seg_key"]).drop("_at")
+
+
+def review_stream(actions: DataFrame) -> DataFrame:
+    """State of review sessions as their actions (``session, n, action``) come in: ``session, applied, refused, n_segments, open_flags, finalized``.
+
+    The log of each session is kept as state and folded again with what is new, so actions that arrive out of order take
+    their place; a row is given for every session that has new actions.
+    """
+    import pandas as pd
+
+    from tessera.operators.review import _played
+
+    def run(key, frames, state):
+        log = dict(zip(*state.get)) if state.exists else {}
+        for pdf in frames:
+            log.update(zip(map(int, pdf["n"]), pdf["action"]))
+        order = sorted(log)
+        state.update(([*order], [log[n] for n in order]))
+        s, applied, refused = _played(log[n] for n in order)
+        yield pd.DataFrame([(key[0], applied, refused, len(s.segments), len(s.blockers()), s.finalized)], columns=["session", "applied", "refused", "n_segments", "open_flags", "finalized"])
+
+    rows = actions.where(F.col("session").isNotNull()).select("session", F.col("n").cast("long").alias("n"), "action")
+    return rows.groupBy("session").applyInPandasWithState(run, "session string, applied int, refused int, n_segments int, open_flags int, finalized boolean", "ns array<long>, actions array<string>", "update", "NoTimeout")

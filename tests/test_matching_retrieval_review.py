@@ -73,7 +73,17 @@ def test_semantic_score_and_weight_of_the_sweep(spark, data):
     sweep = QUERIES["threshold_sweep"](spark, data).collect()
     quoted = spark.read.parquet(f"{data}/entities.parquet").where("etype in ('ayah', 'dua') and lower(trim(usage)) = 'quotation'").dropDuplicates(["entity_id"])
     gold = quoted.where("etype = 'dua' and reference is not null or try_cast(surah_number as int) is not null and try_cast(ayah_number as int) is not null").count()
-    assert len(sweep) == 15 and {r.positives for r in sweep} == {gold} and {r.alpha for r in sweep} <= {x / 10 for x in range(11)}
+    assert len(sweep) == 30 and {r.positives for r in sweep if r.scope == "quotation"} == {gold} and {r.alpha for r in sweep} <= {x / 10 for x in range(11)}
+    assert all(r.missed + r.correct + r.wrong >= r.positives and r.rejected <= r.negatives for r in sweep)
+
+
+def test_corpus_in_blocks(spark, monkeypatch):
+    c = spark.createDataFrame([("k", f"t{i} word{i % 7} and more{i % 5}") for i in range(30)], "kind string, text string")
+    corpus = spark.createDataFrame([("k", f"c{i:02d}", f"word{i % 7} and more{i % 4} t{i}") for i in range(40)], "kind string, key string, ctext string")
+    run = lambda: sorted(map(tuple, matching.best_matches(c, corpus, "kind", "text", "kind", "key", "ctext", alphas=[0.3, 1.0], top=4).collect()))
+    whole = run()
+    monkeypatch.setattr(matching, "CORPUS_BLOCK", 7)
+    assert run() == whole and len(whole) == 30 * 2 * 4
 
 
 def test_verdicts_and_grid(spark):
@@ -81,7 +91,7 @@ def test_verdicts_and_grid(spark):
     assert [r[0] for r in df.select(matching.verdict(F.col("b"), F.col("m"), 0.5, 0.02)).collect()] == ["ambiguous", "verified", "unresolved", "unresolved"]
     best = spark.createDataFrame([("a", 0.9, 0.5, "a"), ("b", 0.8, 0.5, "c"), ("d", 0.3, None, "d"), ("e", 0.9, 0.2, None)], "best_key string, best_score double, margin double, gold_key string")
     r = matching.grid(best, [0.5], [0.0]).first()
-    assert (r.correct, r.wrong, r.positives) == (1, 2, 3) and r.f1 == pytest.approx(1 / 3, abs=1e-6)
+    assert (r.correct, r.wrong, r.positives, r.missed, r.negatives, r.rejected) == (1, 2, 3, 1, 1, 0) and r.f1 == pytest.approx(1 / 3, abs=1e-6)
 
 
 def test_knn_against_brute_force(spark):

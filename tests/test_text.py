@@ -153,3 +153,13 @@ def test_checked_values_raise(spark):
     assert [r[0] for r in df.select(T.checked(F.col("u"), T.USAGE)).collect()] == ["Paraphrase", None]
     with pytest.raises(Exception, match="unknown value"):
         spark.createDataFrame([("other",)], "u string").select(T.checked(F.col("u"), T.USAGE)).collect()
+
+
+def test_recording_names(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as T
+
+    given = {"https://x.y/a%20b/Le%C3%A7on+1.mp3?q=1": "Leçon_1", "/data/rec 01.final.wav": "rec_01.final", "...": "recording", "https://x.y/": "recording", "سبق ۱.m4a": "سبق_۱"}
+    df = spark.createDataFrame([(k,) for k in given], "s string")
+    assert [r[0] for r in df.select(T.recording_name(F.col("s"))).collect()] == list(given.values())
