@@ -341,16 +341,21 @@ SQL["citation_containment"] = f"""
 
 @_q
 def review_integrity(spark: SparkSession, d: str) -> DataFrame:
-    """Reviews whose copied fields differ from their question's, and reviews without a question."""
+    """Reviews without a question, those whose copied fields differ from their question's, and those whose cited chunks aren't in the answer's text."""
     q = table(spark, d, "questions").select("q_key", F.col("question").alias("_q"), F.col("answerable").alias("_a"), F.col("gold_chunk_ids").alias("_g"))
     j = reviews(spark, d).join(q.withColumn("_there", F.lit(True)), "q_key", "left")
-    issue = F.when(F.col("_there").isNull(), "no question").when(~F.col("question").eqNullSafe(F.col("_q")), "question").when(~F.col("answerable").eqNullSafe(F.col("_a")), "answerable").when(~F.col("gold_chunk_ids").eqNullSafe(F.col("_g")), "gold")
+    said = F.forall(F.coalesce("cited_chunk_ids", F.array().cast("array<string>")), lambda c: F.coalesce(F.contains("generated_answer", c), F.lit(False)))
+    issue = (
+        F.when(F.col("_there").isNull(), "no question").when(~F.col("question").eqNullSafe(F.col("_q")), "question").when(~F.col("answerable").eqNullSafe(F.col("_a")), "answerable")
+        .when(~F.col("gold_chunk_ids").eqNullSafe(F.col("_g")), "gold").when(~said, "citations")
+    )
     return j.select("review_id", issue.alias("issue")).where(F.col("issue").isNotNull())
 
 
 SQL["review_integrity"] = f"""
     WITH {REVIEWS_SQL}, j AS (SELECT review_id, CASE WHEN q.q_key IS NULL THEN 'no question' WHEN r.question IS DISTINCT FROM q.question THEN 'question'
-        WHEN r.answerable IS DISTINCT FROM q.answerable THEN 'answerable' WHEN r.gold_chunk_ids IS DISTINCT FROM q.gold_chunk_ids THEN 'gold' END AS issue FROM revs r LEFT JOIN questions q ON r.q_key = q.q_key)
+        WHEN r.answerable IS DISTINCT FROM q.answerable THEN 'answerable' WHEN r.gold_chunk_ids IS DISTINCT FROM q.gold_chunk_ids THEN 'gold'
+        WHEN len(list_filter(coalesce(r.cited_chunk_ids, []), lambda c: NOT coalesce(contains(r.generated_answer, c), false))) > 0 THEN 'citations' END AS issue FROM revs r LEFT JOIN questions q ON r.q_key = q.q_key)
     SELECT review_id, issue FROM j WHERE issue IS NOT NULL
 """
 

@@ -37,6 +37,13 @@ def validated_segments(spark: SparkSession, d: str) -> DataFrame:
     return drivers.validate(entities(spark, d), s, table(spark, d, "canon"))[1].where(F.col("n_replaced") > 0).select("recording", "seq", "text", "n_replaced")
 
 
+@_q
+def validation_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Entities by kind, verdict and outcome of their grounding."""
+    s = segments(spark, d, "v2").where(F.col("recording").isNotNull() & F.col("seq").isNotNull())
+    return drivers.validate(entities(spark, d), s, table(spark, d, "canon"))[0].groupBy("etype", "verdict", "outcome").agg(F.count("*").alias("n"))
+
+
 @_q
 def topic_merge_proposals(spark: SparkSession, d: str) -> DataFrame:
     """Topics of like names, and whether they meet within a series or only across series."""

@@ -187,14 +187,13 @@ SQL["word_offsets"] = f"WITH {_OFFSETS_SQL} SELECT seg_key, n_words, word_offset
 
 @_q
 def asof_word(spark: SparkSession, d: str) -> DataFrame:
-    """The v2 segment that holds every hundredth word of a recording; of segments at one offset the last."""
+    """The v2 segment that holds each word of a recording; of segments at one offset the last."""
     o = word_offsets(spark, d).where(F.col("n_words") > 0)
-    first = F.ceil(F.col("word_offset") / 100) * 100
-    return o.where(first < F.col("word_offset") + F.col("n_words")).select("seg_key", F.explode(F.sequence(first, F.col("word_offset") + F.col("n_words") - 1, F.lit(100).cast("bigint"))).alias("word_no"))
+    return o.select("seg_key", F.explode(F.sequence(F.col("word_offset"), F.col("word_offset") + F.col("n_words") - 1)).alias("word_no"))
 
 
 SQL["asof_word"] = f"""
-    WITH {_OFFSETS_SQL}, t AS (SELECT recording, max(word_offset + n_words) AS total FROM o GROUP BY ALL), w AS (SELECT recording, unnest(range(0, total, 100)) AS word_no FROM t),
+    WITH {_OFFSETS_SQL}, t AS (SELECT recording, max(word_offset + n_words) AS total FROM o GROUP BY ALL), w AS (SELECT recording, unnest(range(0, total)) AS word_no FROM t),
     f AS (SELECT * FROM o WHERE n_words > 0) SELECT seg_key, word_no FROM w ASOF JOIN f ON w.recording = f.recording AND w.word_no >= f.word_offset
 """
 
