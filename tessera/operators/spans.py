@@ -67,3 +67,22 @@ def last_before(points: DataFrame, starts: DataFrame, key: str, point_id: str, a
     carried = both.groupBy("_k", "_b").agg(F.max("_s").alias("_m")).select("_k", "_b", F.max("_m").over(before).alias("_c"))
     out = local.where(F.col("_p").isNotNull()).join(carried, ["_k", "_b"]).withColumn("_x", F.coalesce("_last", "_c"))
     return out.where(F.col("_x").isNotNull()).select(F.col("_p").alias(point_id), F.col("_x.id").alias(start_id))
+
+
+def nearest_span(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, l_start: str, l_end: str, r_start: str, r_end: str) -> DataFrame:
+    """``left_id, right_id, shared_ms``: for each left row the right row of its key that shares most time with it or, where none
+    does, the nearest one (the shared time is then the gap, negative or 0); of equal ones the smallest right id.
+
+    Rows with a null bound or an end not after the start are left out on the right; on the left those with a null bound.
+    """
+    a = left.where(F.col(l_start).isNotNull() & F.col(l_end).isNotNull()).select(key, left_id, l_start, l_end)
+    b = right.where(F.col(r_end) > F.col(r_start)).select(key, right_id, r_start, r_end)
+    met = best_overlap(overlap_join(a, b, key, l_start, l_end, r_start, r_end), left_id, right_id, l_start, l_end, r_start, r_end)
+    alone = a.join(met.select(left_id), left_id, "left_anti")
+    # The latest end at or before the start, and the earliest start at or after the end (found with times turned round).
+    ids = b.select(key, (-F.col(right_id)).alias("_n"), F.col(r_end).alias("_e"), (-F.col(r_start)).alias("_s"))
+    before = last_before(alone, ids, key, left_id, l_start, "_n", "_e").join(b.select((-F.col(right_id)).alias("_n"), F.col(r_end).alias("_at")), "_n")
+    after = last_before(alone.withColumn("_t", -F.col(l_end)), ids, key, left_id, "_t", "_n", "_s").join(b.select((-F.col(right_id)).alias("_n"), F.col(r_start).alias("_at")), "_n")
+    gaps = before.join(alone, left_id).select(left_id, "_n", (F.col("_at") - F.col(l_start)).alias("shared_ms")).unionByName(after.join(alone, left_id).select(left_id, "_n", (F.col(l_end) - F.col("_at")).alias("shared_ms")))
+    nearest = gaps.groupBy(left_id).agg(F.max(F.struct("shared_ms", "_n")).alias("_x")).select(left_id, (-F.col("_x._n")).alias(right_id), F.col("_x.shared_ms").alias("shared_ms"))
+    return met.unionByName(nearest)

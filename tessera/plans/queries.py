@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import evaluation, kg, pipeline, scalars, spans
+from tessera.plans import catalogue, evaluation, kg, pipeline, scalars, spans
 
-QUERIES = {**spans.QUERIES, **evaluation.QUERIES, **scalars.QUERIES, **pipeline.QUERIES, **kg.QUERIES}
-SQL = {**spans.SQL, **evaluation.SQL, **scalars.SQL, **pipeline.SQL, **kg.SQL}
+QUERIES = {**spans.QUERIES, **evaluation.QUERIES, **scalars.QUERIES, **pipeline.QUERIES, **kg.QUERIES, **catalogue.QUERIES}
+SQL = {**spans.SQL, **evaluation.SQL, **scalars.SQL, **pipeline.SQL, **kg.SQL, **catalogue.SQL}
 p4_found = spans.p4_found

@@ -66,6 +66,20 @@ def read_blocks(spark: SparkSession, path: str, ids: DataFrame, pattern: str, en
     return ids.select("id").distinct().join(first, "id", "left")
 
 
+def block_fields(block: Column, texts: str, number: str, address: str) -> Column:
+    """Struct of a Turtle block's ``texts`` (lang, text), ``number`` and ``address``, by the names of their properties; null for null.
+
+    Only strings of the property ``texts`` count; a language mark at the end of a string is taken off, and blank strings and
+    '0' are left out.
+    """
+    part = F.regexp_extract(block, rf"(?s):{texts}\s+((?:\s*,?\s*\"(?:[^\"\\]|\\.)*\"\^\^[\w:]+)*)", 1)
+    raw = F.transform(F.regexp_extract_all(part, F.lit(r'(?s)"((?:[^"\\]|\\.)*)"'), F.lit(1)), unescape)
+    lang = lambda t: F.nullif(F.regexp_extract(t, r"@(en|ur|ar)$", 1), F.lit(""))
+    made = F.transform(raw, lambda t: F.struct(lang(t).alias("lang"), F.trim(F.regexp_replace(t, r"@(en|ur|ar)$", "")).alias("text")))
+    one = lambda p, v: F.nullif(F.regexp_extract(block, rf':{p}\s+"({v})"', 1), F.lit(""))
+    return F.when(block.isNotNull(), F.struct(F.filter(made, lambda x: (x["text"] != "") & (x["text"] != "0")).alias("texts"), one(number, r"\d+").alias("number"), one(address, r'[^"]+').alias("address")))
+
+
 def append_stage(stages: DataFrame, path: str) -> None:
     """Append rows of STAGE to the provenance table, failures included."""
     stages.write.mode("append").parquet(path)

@@ -158,3 +158,15 @@ _:n1 :name "unnamed" .'''.replace("_:n1", "x:n1"))
     (tmp_path / "b.ttl").write_text(":a :b .")
     with pytest.raises(Exception):  # noqa: B017
         turtle.read_turtle(spark, str(tmp_path / "b.ttl")).collect()
+
+
+def test_block_fields(spark):
+    block = '''h:SB_0001 a :Hadith ;
+  :grade "marfu@ar"^^xsd:string ;
+  :fullText "A \\"b\\"; c@en"^^xsd:string , "0"^^xsd:string,
+     "متن@ar"^^xsd:string , " "^^xsd:string ;
+  :no "12" ; :url "http://x/y" .'''
+    df = spark.createDataFrame([(block,), (None,), (":x a :Y .",)], "b string")
+    got = [r[0] for r in df.select(files.block_fields(F.col("b"), "fullText", "no", "url")).collect()]
+    assert [tuple(t) for t in got[0].texts] == [("en", 'A "b"; c'), ("ar", "متن")] and got[0].number == "12" and got[0].address == "http://x/y"
+    assert got[1] is None and got[2].texts == [] and got[2].number is None
