@@ -5,8 +5,8 @@ over these counts tell
 
 * abbreviations: types whose mark is followed by more text on the line more often than chance; types with inner marks
   that seldom come without their last one,
-* collocations: a number, initial or dotted type and the word after its mark that come together more often than the word
-  comes elsewhere, and more often than it begins sentences,
+* collocations: a number, initial or dotted type and the word after its mark, no starter, that come together more often
+  than the word comes elsewhere, and more often than it begins sentences,
 * sentence starters: types that follow a certain sentence end more often than chance.
 
 The ratios are computed side by side; only types that pass reach the driver, and a relative support bounds their number.  Each mark is
@@ -119,7 +119,7 @@ def count_text(text: str, into: dict[str, Counter]) -> None:
                 if kind != "##":
                     into["e"][kind] += 1
                 continue
-            if kinds[i + 1] and (kind == "##" or "." in kind or len(kind) == 1):
+            if kinds[i + 1] and tokens[i + 1][0].isalnum() and (kind == "##" or "." in kind or len(kind) == 1):
                 into["f"][kind] += 1
                 into["k"][kind + PAIR + kinds[i + 1]] += 1
             if kind != "##":
@@ -179,10 +179,11 @@ def _telling_types(words: list[str], n: dict[str, np.ndarray]) -> tuple[np.ndarr
 
 
 def _held_pairs(words: list[str], n: dict[str, np.ndarray]) -> tuple[np.ndarray]:
-    """Which pairs hold together: more than the second word comes elsewhere, and than it begins sentences."""
+    """Which pairs hold together: more than the second word, which is no starter, comes elsewhere, and than it begins sentences."""
+    starts = _ratio(n["sb"], n["all_s"], n["wb"] - n["sb"], np.maximum(1, n["all_w"] - n["all_s"]))
     elsewhere = _ratio(n["k"], n["fa"], n["wb"] - n["k"], n["all_w"] - n["fa"])
     beginning = _ratio(n["k"], n["fa"], n["sb"], n["all_s"])
-    return ((n["k"] >= np.maximum(MIN_COUNT, SUPPORT * n["all_f"])) & (elsewhere > SIGNIFICANT) & (beginning > SIGNIFICANT),)
+    return ((n["k"] >= np.maximum(MIN_COUNT, SUPPORT * n["all_f"])) & (elsewhere > SIGNIFICANT) & (beginning > SIGNIFICANT) & (starts <= SIGNIFICANT),)
 
 
 def _passing(rows: DataFrame, rule, kinds: str) -> DataFrame:
@@ -407,7 +408,7 @@ def _period(t: str, i: int, nxt: int, spaced: bool, token: str, after: str, lead
         return t[i - 1].isalpha() and kind not in abbr and "." not in kind and not _is_thai(t[i - 1]) and len(kind) > 1
     if kind == "##" and leads:
         return False  # a list number
-    if token and kind + PAIR + word_type(after) in pairs:
+    if token and after[0].isalnum() and kind + PAIR + word_type(after) in pairs:
         return False
     if kind == "##":
         return not head.islower()  # else an ordinal
