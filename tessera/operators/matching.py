@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import edit_score, for_matching, words
+from tessera.functions.text import for_matching, words
 from tessera.operators import ports
 from tessera.session import checkpoint
 
@@ -20,25 +20,6 @@ TOP = 5
 SLICE, CORPUS_BLOCK = 500, 10_000
 
 
-def lexical_pairs(candidates: DataFrame, corpus: DataFrame, cand_text: str, corpus_key: str, corpus_text: str) -> DataFrame:
-    """``cand_norm, corpus_key, lexical`` of distinct candidate texts and the corpus entries that share a word with them.
-
-    The lexical score is the mean of the edit score and the word F1 of the matching forms.  Entries sharing no word have
-    no word F1 and are no candidates.  Equal candidate texts are scored once.
-    """
-    texts = candidates.select(for_matching(F.col(cand_text)).alias("cand_norm")).where(F.col("cand_norm") != "").distinct()
-    known = corpus.select(F.col(corpus_key), for_matching(F.col(corpus_text)).alias("_norm")).where(F.col("_norm") != "")
-    count = lambda df, key, text, n: df.select(key, F.explode(words(F.col(text))).alias("_w")).groupBy(key, "_w").agg(F.count("*").alias(n))
-    # Words shared, as multisets, give the pairs and the word F1 at once.
-    both = count(texts, "cand_norm", "cand_norm", "_n").join(count(known, corpus_key, "_norm", "_m"), "_w").groupBy("cand_norm", corpus_key).agg(F.sum(F.least("_n", "_m")).alias("_both"))
-    # The distances are the work, not the bytes: as many partitions as cores at least, and by text, as the ranking needs them.
-    spark = candidates.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    pairs = both.join(known, corpus_key).repartition(parts, "cand_norm")
-    f1 = 2 * F.col("_both") / (F.size(words(F.col("cand_norm"))) + F.size(words(F.col("_norm"))))
-    return pairs.select("cand_norm", corpus_key, F.round((edit_score(F.col("cand_norm"), F.col("_norm")) + f1) / 2, 6).alias("lexical"))
-
-
 def _unit(rows: list) -> np.ndarray:
     m = np.asarray(rows, np.float64)
     n = np.linalg.norm(m, axis=1, keepdims=True)
@@ -114,13 +95,14 @@ def _best_in(candidates: DataFrame, known: DataFrame, kind: str, text: str, corp
     return edits.mapInArrow(run, f"`{kind}` string, `{text}` string, alpha double, rank int, `{corpus_key}` string, lexical double, semantic double, score double")
 
 
-def ranked(pairs: DataFrame, corpus_key: str, score: str, top: int = TOP) -> DataFrame:
-    """The ``top`` entries of each candidate text by score, ties by key."""
-    w = Window.partitionBy("cand_norm").orderBy(F.desc(score), corpus_key)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+def score_matrix(candidates: DataFrame, corpus: DataFrame, kind: str, text: str, corpus_kind: str, corpus_key: str, corpus_text: str, **more) -> DataFrame:
+    """``kind, text, corpus_key, lexical, semantic`` of every distinct candidate text and every entry of its kind."""
+    n = corpus.count()
+    rows = best_matches(candidates, corpus, kind, text, corpus_kind, corpus_key, corpus_text, alphas=[1.0], top=max(1, n), **more)
+    return rows.select(kind, text, corpus_key, "lexical", "semantic")
 
 
-def decisions(top: DataFrame, corpus_key: str, score: str, tau: float, delta: float, by: tuple[str, ...] = ("cand_norm",)) -> DataFrame:
+def decisions(top: DataFrame, corpus_key: str, score: str, tau: float, delta: float, by: tuple[str, ...]) -> DataFrame:
     """``by, best_key, best_score, margin, verdict``: verified, ambiguous (margin under delta), unresolved (score under tau)."""
     two = top.where(F.col("rank") <= 2).groupBy(*by).agg(
         F.max(F.when(F.col("rank") == 1, F.col(corpus_key))).alias("best_key"), F.max(F.when(F.col("rank") == 1, F.col(score))).alias("best_score"), F.max(F.when(F.col("rank") == 2, F.col(score))).alias("_second"),

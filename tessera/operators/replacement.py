@@ -52,13 +52,22 @@ def replace_quotations(segments: DataFrame, quotations: DataFrame) -> DataFrame:
     """``recording, seq, text, n_replaced`` of the segments in which quotations were replaced.
 
     ``quotations`` has ``recording, n, fragment, canonical``; each goes into the first segment of its recording that holds
-    it, those of one segment in the order of ``n``, each seeing what the ones before left.  Candidates are found by the
-    fragment's first word, so no quotation is compared with every segment.
+    it, those of one segment in the order of ``n``, each seeing what the ones before left.  A fragment of several words begins
+    at the end part of a word, a single word lies anywhere in one: candidates are found by these parts of words, so no
+    quotation is compared with every segment and none is missed.
     """
     s = segments.where(F.col("text").isNotNull()).select("recording", "seq", "text", for_matching(F.col("text")).alias("_form"))
     q = quotations.select("recording", "n", "fragment", "canonical", for_matching(F.col("fragment")).alias("_want")).where((F.col("_want") != "") & F.col("canonical").isNotNull())
-    by_word = s.select("recording", "seq", "_form", F.explode(F.array_distinct(words(F.col("_form")))).alias("_w"))
-    held = by_word.join(q.withColumn("_w", words(F.col("_want"))[0]), ["recording", "_w"]).where(F.contains("_form", "_want"))
+    q = q.withColumn("_w", words(F.col("_want"))[0]).withColumn("_n", F.when(F.size(words(F.col("_want"))) == 1, F.char_length("_want")).otherwise(0))
+    # Lengths of the single words asked for (no more than a word can be long); 0 stands for whole end parts.
+    lengths = sorted(r._n for r in q.select("_n").distinct().collect())
+    if not lengths:
+        lengths = [0]
+    tails = s.select("recording", "seq", F.explode(F.array_distinct(words(F.col("_form")))).alias("_word")).select("recording", "seq", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("_word")), lambda i: F.substring("_word", i, F.char_length("_word")))).alias("_tail"))
+    cut = tails.select("recording", "seq", "_tail", F.explode(F.array(*map(F.lit, lengths))).alias("_n")).where(F.char_length("_tail") >= F.col("_n"))
+    by_word = cut.select("recording", "seq", "_n", F.when(F.col("_n") == 0, F.col("_tail")).otherwise(F.substring("_tail", F.lit(1), F.col("_n"))).alias("_w")).distinct()
+    found = by_word.join(q, ["recording", "_n", "_w"]).select("recording", "seq", "n", "fragment", "canonical", "_want")
+    held = found.join(s.select("recording", "seq", "_form"), ["recording", "seq"]).where(F.contains("_form", "_want"))
     first = held.groupBy("recording", "n").agg(F.min("seq").alias("seq"), F.first("fragment").alias("fragment"), F.first("canonical").alias("canonical"))
     todo = first.groupBy("recording", "seq").agg(F.array_sort(F.collect_list(F.struct("n", "fragment", "canonical"))).alias("todo"))
 

@@ -10,24 +10,16 @@ from tessera.operators.review import Session, fold
 
 
 def test_matching_decisions(spark):
-    corpus = spark.createDataFrame([("k1", "النهر طويل جدا هنا"), ("k2", "النهر طويل جدا هناك"), ("k3", "باب"), ("k4", None)], "key string, t string")
-    cand = spark.createDataFrame([(1, "النَّهرُ طويلٌ جدا هنا"), (2, "باب"), (3, "كلمة"), (4, None), (5, "")], "id long, text string")
-    pairs = matching.lexical_pairs(cand, corpus, "text", "key", "t")
-    top = matching.ranked(pairs, "key", "lexical")
-    got = {r.cand_norm: r for r in matching.decisions(top, "key", "lexical", 0.5, 0.02).collect()}
-    assert got["النهر طويل جدا هنا"].best_key == "k1" and got["النهر طويل جدا هنا"].verdict == "verified" and got["باب"].margin is None
-    from tessera.functions import text as T
-
-    brute = candidates_by_product(spark, cand, corpus, T)
-    assert {(r.cand_norm, r.key): r.lexical for r in pairs.collect()} == brute
+    top = spark.createDataFrame([("a", "k1", 0.9, 1), ("a", "k2", 0.7, 2), ("b", "k1", 0.6, 1), ("b", "k3", 0.595, 2), ("c", "k1", 0.2, 1), ("d", "k9", 0.8, 1)], "c string, key string, x double, rank int")
+    got = {r.c: (r.best_key, r.margin, r.verdict) for r in matching.decisions(top, "key", "x", 0.5, 0.02, ("c",)).collect()}
+    assert got == {"a": ("k1", pytest.approx(0.2), "verified"), "b": ("k1", pytest.approx(0.005), "ambiguous"), "c": ("k1", None, "unresolved"), "d": ("k9", None, "verified")}
 
 
-def candidates_by_product(spark, cand, corpus, T):
-    c = cand.select(T.for_matching(F.col("text")).alias("c")).where("c <> ''").distinct()
-    k = corpus.select("key", T.for_matching(F.col("t")).alias("n")).where("n <> ''")
-    cw, kw = T.words(F.col("c")), T.words(F.col("n"))
-    j = c.crossJoin(k).where(F.arrays_overlap(cw, kw)).select("c", "key", F.round((T.edit_score(F.col("c"), F.col("n")) + T.token_f1(cw, kw)) / 2, 6).alias("x"))
-    return {(r.c, r.key): r.x for r in j.collect()}
+def test_score_matrix_has_every_pair(spark):
+    c = spark.createDataFrame([("k", "one word"), ("k", "none"), ("q", "x")], "kind string, text string")
+    corpus = spark.createDataFrame([("k", "a", "one word"), ("k", "b", "else"), ("q", "c", "x y")], "kind string, key string, t string")
+    got = {(r.text, r.key): r.lexical for r in matching.score_matrix(c, corpus, "kind", "text", "kind", "key", "t").collect()}
+    assert set(got) == {("one word", "a"), ("one word", "b"), ("none", "a"), ("none", "b"), ("x", "c")} and got["one word", "a"] == 1.0
 
 
 def test_best_matches_against_the_whole_product(spark):

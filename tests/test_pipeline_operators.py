@@ -24,6 +24,22 @@ def test_replace_quotations(spark):
     assert replacement.replace_quotations(s, q.limit(0)).count() == 0
 
 
+def test_quotations_inside_words(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(n))
+    seg = [("r", i, text(6)) for i in range(40)]
+    quo = [("r", n, rng.choice([text(1), text(2), text(3), "zz"]), "X") for n in range(60)]
+    s, q = spark.createDataFrame(seg, "recording string, seq int, text string"), spark.createDataFrame(quo, "recording string, n long, fragment string, canonical string")
+    want = {i: t for _, i, t in seg}
+    first = {n: next((i for _, i, t in seg if f in t), None) for _, n, f, _ in quo}
+    for _, n, f, c in quo:
+        if first[n] is not None:
+            new = replacement.replace_once(want[first[n]], f, c)
+            want[first[n]] = want[first[n]] if new is None else new
+    got = {r.seq: r.text for r in replacement.replace_quotations(s, q).collect()}
+    assert got == {i: want[i] for _, i, t in seg if want[i] != t} and got
+
+
 def test_topics(spark):
     t = spark.createDataFrame([("a", "Patience in hardship"), ("b", "Patience and hardship"), ("c", "Trade"), ("d", "TRADE"), ("e", "x")], "slug string, name string")
     p = topics.merge_proposals(t)
