@@ -83,3 +83,14 @@ def gold_labels(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     j = candidates.join(exact, ["recording", "at", "key"], "left").join(other, ["recording", "at"], "left")
     label = F.when(F.col("_same") == 1, "accept").when(F.col("_other").isNotNull(), "accept_different").otherwise("reject")
     return j.select("id", label.alias("label"), F.when(F.col("_same") == 1, F.col("key")).otherwise(F.col("_other")).alias("gold_key"))
+
+
+def upsert(registry: DataFrame, topics: DataFrame, series: str) -> DataFrame:
+    """``slug, name, series`` after the topics (``slug, name``) of a series: known slugs keep their name and gain the series, new ones are added.
+
+    Of several names of a new slug the first by name is taken; a series already there isn't added again.
+    """
+    new = topics.where(F.col("slug").isNotNull()).groupBy("slug").agg(F.min("name").alias("_name"))
+    both = registry.select("slug", "name", "series").join(new, "slug", "full_outer")
+    grown = F.when(F.col("_name").isNull(), F.col("series")).otherwise(F.array_sort(F.array_union(F.coalesce("series", F.array().cast("array<string>")), F.array(F.lit(series)))))
+    return both.select("slug", F.coalesce("name", "_name").alias("name"), grown.alias("series"))

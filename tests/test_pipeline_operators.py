@@ -52,6 +52,13 @@ def test_topics(spark):
     assert sorted(map(tuple, topics.gold_labels(c, g).collect())) == [(1, "accept", "k"), (2, "accept_different", "k"), (3, "reject", None)]
 
 
+def test_upsert(spark):
+    r = spark.createDataFrame([("a", "A", ["S"]), ("b", "B", ["T"])], "slug string, name string, series array<string>")
+    t = spark.createDataFrame([("a", "other"), ("c", "Z"), ("c", "C"), (None, "n")], "slug string, name string")
+    got = {x.slug: (x.name, x.series) for x in topics.upsert(topics.upsert(r, t, "R"), t, "R").collect()}
+    assert got == {"a": ("A", ["R", "S"]), "b": ("B", ["T"]), "c": ("C", ["R"])}
+
+
 def test_plans_turn_old_into_new():
     rng = random.Random(6)
     for _ in range(2000):
