@@ -254,28 +254,48 @@ def as_letters(a: list, b: list) -> tuple[str, str]:
     return "".join(chr(code(x)) for x in a), "".join(chr(code(x)) for x in b)
 
 
+def middles(a: str, b: str) -> tuple[str, str]:
+    """Two strings without what both begin and end with; their distance stays the same."""
+    if a == b:
+        return "", ""
+    lead = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[lead:], b[lead:]
+    tail = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+    return (a[: len(a) - tail], b[: len(b) - tail])
+
+
 def in_profiles(ref: Column, hyp: Column, profiles: tuple[str, ...] = tuple(PROFILES)) -> Column:
-    """Array of both texts in each profile: as characters (cer), and with a letter for each word (wer); null for empty."""
+    """Array of what has to be compared of both texts, ``ref, hyp``, with the profiles and units that it is the same for, and the
+    number of units of the first text in each; null for empty.
+
+    Units are characters (cer) and words (wer, a letter for each); common ends are cut off.
+    """
 
     def run(refs: pd.Series, hyps: pd.Series) -> pd.Series:
         out = []
         for r, h in zip(refs, hyps):
-            rows = []
+            same: dict[tuple[str, str], list[dict]] = {}
+            forms: dict[tuple[str, str], tuple] = {}
             for profile in profiles:
                 a, b = _in_profile(r or "", profile), _in_profile(h or "", profile)
-                wa, wb = as_letters(a.split(), b.split())
-                rows += [{"profile": profile, "unit": "cer", "ref": a, "hyp": b}, {"profile": profile, "unit": "wer", "ref": wa, "hyp": wb}]
-            out.append(rows)
+                if (a, b) not in forms:
+                    ws = a.split()
+                    forms[a, b] = (middles(a, b), middles(*as_letters(ws, b.split())), len(a), len(ws))
+                chars, words_, n, m = forms[a, b]
+                same.setdefault(chars, []).append({"profile": profile, "unit": "cer", "n": n})
+                same.setdefault(words_, []).append({"profile": profile, "unit": "wer", "n": m})
+            out.append([{"ref": a, "hyp": b, "of": of} for (a, b), of in same.items()])
         return pd.Series(out)
 
     run.__annotations__ = {"refs": pd.Series, "hyps": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<struct<profile: string, unit: string, ref: string, hyp: string>>")(ref, hyp)
+    return F.pandas_udf(run, "array<struct<ref: string, hyp: string, of: array<struct<profile: string, unit: string, n: int>>>>")(ref, hyp)
 
 
 def distance(a: Column, b: Column) -> Column:
     """Levenshtein distance; near texts, however long, are told in bands of growing width."""
-    near = lambda k: F.nullif(F.levenshtein(a, b, k), F.lit(-1))
-    return F.when(a == b, 0).otherwise(F.coalesce(near(8), near(64), near(512), F.levenshtein(a, b)))
+    n, m = F.char_length(a), F.char_length(b)
+    near = F.nullif(F.levenshtein(a, b, 512), F.lit(-1))  # only texts that are longer can be further apart
+    return F.when(a == b, 0).when((n == 0) | (m == 0), n + m).when(F.greatest(n, m) <= 512, F.levenshtein(a, b)).otherwise(F.coalesce(near, F.levenshtein(a, b)))
 
 
 def n_edits(a: list, b: list) -> int:

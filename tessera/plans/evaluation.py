@@ -48,7 +48,7 @@ def _rates(spark: SparkSession, d: str, profiles: tuple[str, ...], group: str =
     by = s.groupBy("recording", "seq").agg(F.max("series").alias("series"), F.map_from_entries(F.collect_list(F.struct("version", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
     hyp = F.explode(F.filter(F.array(*[F.when(F.map_contains_key("t", v), F.struct(F.lit(v).alias("version"), F.col("t")[v].alias("hyp"))) for v in COMPARED]), lambda x: x.isNotNull()))
     pairs = by.where(F.map_contains_key("t", "v3")).select(F.col(group).alias("series"), F.col("t")["v3"].alias("ref"), hyp.alias("h")).select("series", "h.version", F.explode(T.in_profiles(F.col("ref"), F.col("h.hyp"), profiles)).alias("x"))
-    one = pairs.select("series", "version", "x.profile", "x.unit", T.distance(F.col("x.ref"), F.col("x.hyp")).alias("e"), F.char_length("x.ref").alias("n"))
+    one = pairs.select("series", "version", T.distance(F.col("x.ref"), F.col("x.hyp")).alias("e"), F.explode("x.of").alias("o")).select("series", "version", "o.profile", "o.unit", "e", F.col("o.n").alias("n"))
     sums = one.groupBy("series", "version", "profile", "unit").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).groupingSets([["series", "version", "profile", "unit"], ["version", "profile", "unit"]], "series", "version", "profile", "unit").agg(F.sum("e").alias("edits"), F.sum("n").alias("units"), F.grouping("series").alias("g"))
     return sums.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("series")).alias("series"), "version", "profile", "unit", "edits", "units", F.round(F.try_divide(100 * F.col("edits"), F.col("units")), 6).alias("rate"))
 
