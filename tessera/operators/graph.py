@@ -6,6 +6,7 @@ written without it.  ``Triples`` keeps a graph by property, so that a pattern wi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,9 @@ TYPE = "rdf:type"
 class Triples:
     """A graph by property (classes apart): tables ``s, o, kind``, each a set once read."""
 
-    def __init__(self, parts: dict[tuple[str, str | None], list[DataFrame]], rules: list[DataFrame] = ()) -> None:
-        self.parts, self.rules = parts, rules
+    def __init__(self, rules: list[tuple[DataFrame | Callable[[], DataFrame], Column, list[tuple[str, Column | str, str]]]]) -> None:
+        self._rules = rules
+        self._made: dict[int, DataFrame] = {}
 
     @staticmethod
     def of_table(table: DataFrame) -> Triples:
@@ -27,27 +29,37 @@ class Triples:
         return _Table(table)
 
     @staticmethod
-    def of_rules(rules: list[tuple[DataFrame, Column, list[tuple[str, Column | str, str]]]]) -> Triples:
-        """Rules (rows, subject, [(property, object, kind)]); a class is given as plain text.  Null subjects and objects give no triple."""
-        parts: dict[tuple[str, str | None], list[DataFrame]] = {}
-        for rows, subject, facts in rules:
-            for p, o, kind in facts:
-                value = F.lit(o) if isinstance(o, str) else o.cast("string")
-                made = rows.select(subject.alias("s"), value.alias("o"), F.lit(kind).alias("kind")).where(F.col("s").isNotNull() & F.col("o").isNotNull())
-                parts.setdefault((p, o if isinstance(o, str) and p == TYPE else None), []).append(made)
-        return Triples(parts, [triples(rows, subject, [(p, F.lit(o) if isinstance(o, str) else o, kind) for p, o, kind in facts]) for rows, subject, facts in rules])
+    def of_rules(rules: list[tuple[DataFrame | Callable[[], DataFrame], Column, list[tuple[str, Column | str, str]]]]) -> Triples:
+        """Rules (rows, subject, [(property, object, kind)]); a class is given as plain text.  Null subjects and objects give no triple.
+
+        Rows may be a function that makes them, called once and only if a pattern needs them.
+        """
+        return Triples(rules)
+
+    def _rows(self, i: int) -> DataFrame:
+        rows = self._rules[i][0]
+        if not callable(rows):
+            return rows
+        if i not in self._made:
+            self._made[i] = rows()
+        return self._made[i]
 
     def of(self, p: str, o: str | None = None) -> DataFrame:
         """``s, p, o, kind`` of a property (of one class, for the type property)."""
-        some = [x for (q, c), xs in self.parts.items() if q == p and (o is None or c is None or c == o) for x in xs]
+        some = []
+        for i, (_, subject, facts) in enumerate(self._rules):
+            for q, value, kind in facts:
+                if q == p and (o is None or not isinstance(value, str) or value == o):
+                    o_ = F.lit(value) if isinstance(value, str) else value.cast("string")
+                    some.append(self._rows(i).select(subject.alias("s"), F.lit(q).alias("p"), o_.alias("o"), F.lit(kind).alias("kind")).where(F.col("s").isNotNull() & F.col("o").isNotNull()))
         if not some:
-            first = next(iter(self.parts.values()))[0]
-            some = [first.where(F.lit(False))]
-        return reduce(DataFrame.unionByName, some).distinct().select("s", F.lit(p).alias("p"), "o", "kind")
+            first = next((rows for rows, _, _ in self._rules if not callable(rows)), None)
+            some = [(self._rows(0) if first is None else first).where(F.lit(False)).select(*[F.lit("").alias(c) for c in ("s", "p", "o", "kind")])]
+        return union(*some)
 
     def all(self) -> DataFrame:
         """The whole set, every rule's rows read once."""
-        return union(*self.rules)
+        return union(*[triples(self._rows(i), subject, [(p, F.lit(o) if isinstance(o, str) else o, kind) for p, o, kind in facts]) for i, (_, subject, facts) in enumerate(self._rules)])
 
 
 class _Table(Triples):

@@ -54,7 +54,7 @@ def graph(spark: SparkSession, d: str) -> G.Triples:
     s, o = _segments(spark, d), _occurrences(spark, d)
     before = F.when(c("i") > 0, _iri("Segment", "recording", F.format_string("%04d", (c("i") - 1).cast("bigint"))))
     spans = o.where(c("group").isNotNull()).select("recording", "group", "e_start", "e_end", F.col("start_s").alias("a"), F.col("end_s").alias("b"))
-    held = overlap_join(spans.select("recording", "group", "e_start", "e_end").distinct(), s.select("recording", "node", "s_start", "s_end"), "recording", "e_start", "e_end", "s_start", "s_end")
+    held = lambda: overlap_join(spans.select("recording", "group", "e_start", "e_end").distinct(), s.select("recording", "node", "s_start", "s_end"), "recording", "e_start", "e_end", "s_start", "s_end")
     occ = lambda kind: _iri(f"{kind}Occurrence", c("entity_id").cast("string"), *([c("aya").cast("string")] if kind == "Verse" else []))
     ayah, hadith, dua = o.where((c("etype") == "ayah") & c("sura").isNotNull()), o.where((c("etype") == "hadith") & c("reference").isNotNull()), o.where((c("etype") == "dua") & c("reference").isNotNull())
     verse = _iri("QuranVerse", c("sura").cast("string"), c("aya").cast("string"))
