@@ -232,6 +232,27 @@ def _best(row: np.ndarray) -> tuple[str | None, float, str | None, float, int]:
     return LANGUAGES[order[0]], float(row[-1] * row[order[0]] / total), LANGUAGES[order[1]] if second else None, second, int(total)
 
 
+def best(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_best`` of many rows at once, languages as their numbers, -1 for none."""
+    m = found[:, :-1]
+    at = np.arange(len(m))
+    total = m.sum(axis=1)
+    order = np.argsort(-m, axis=1, kind="stable")
+    first, second = order[:, 0], order[:, 1]
+    some = total > 0
+    share = np.divide(m[at, second], total, out=np.zeros(len(m)), where=some)
+    confidence = np.divide(found[:, -1] * m[at, first], total, out=np.zeros(len(m)), where=some)
+    return np.where(some, first, -1), confidence, np.where(share > 0, second, -1), share, total.astype(np.int64)
+
+
+#: Names by number; the last, -1, is null.
+_NAMED = pa.array([*LANGUAGES, None], pa.string())
+
+
+def named(numbers: np.ndarray) -> pa.Array:
+    return _NAMED.take(pa.array(np.where(numbers < 0, len(LANGUAGES), numbers)))
+
+
 SHARE_SCHEMA = "lang string, confidence double, second_lang string, second_share double, n_letters bigint"
 
 
@@ -245,10 +266,8 @@ def detect(df: DataFrame, key: str, text: str, matrix: np.ndarray, *more: str) -
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = shares([plain(t or "") for t in b.column(1).to_pylist()], shared.value)
-            cols = list(zip(*map(_best, found))) if len(found) else [[]] * 5
-            kinds = (pa.string(), pa.float64(), pa.string(), pa.float64(), pa.int64())
-            arrays = [b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)], *[b.column(2 + i) for i in range(len(more))]]
+            first, confidence, second, share, letters_ = best(shares([plain(t or "") for t in b.column(1).to_pylist()], shared.value))
+            arrays = [b.column(0), named(first), pa.array(confidence), named(second), pa.array(share), pa.array(letters_), *[b.column(2 + i) for i in range(len(more))]]
             yield pa.RecordBatch.from_arrays(arrays, names=[key, "lang", "confidence", "second_lang", "second_share", "n_letters", *more])
 
     src = df.select(F.col(key), F.col(text).alias("_scored"), *[F.col(c) for c in more])

@@ -311,8 +311,8 @@ def defects(reviews: DataFrame, key: str, question: str, answer: str, answerable
         matrix, model = shared.value
         for b in it:
             keys, qs, answers, oks = (b.column(i).to_pylist() for i in range(4))
-            lang = [langid._best(x)[0] for x in langid.shares([plain(q or "") for q in qs], matrix)] if keys else []
-            said = [langid._best(x)[0] for x in langid.shares([body(a) for a in answers], matrix)] if keys else []
+            lang = langid.named(langid.best(langid.shares([plain(q or "") for q in qs], matrix))[0]).to_pylist()
+            said = langid.named(langid.best(langid.shares([body(a) for a in answers], matrix))[0]).to_pylist()
             told = [windows(words(_LABEL.sub("", body(a), count=1))) for a in answers]
             of = np.repeat(np.arange(len(told)), [len(x) for x in told])
             scores = np.full(len(told), -np.inf)

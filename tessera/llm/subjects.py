@@ -342,8 +342,8 @@ def with_languages(documents: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(it):
             texts = [plain(t or "") for t in b.column(1).to_pylist()]
-            langs = [langid._best(x)[0] for x in langid.shares(texts, shared.value)] if texts else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(cut_up, texts)), pa.string()), pa.array(langs, pa.string())], names=["doc_id", "text", "lang"])
+            langs = langid.named(langid.best(langid.shares(texts, shared.value))[0])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(cut_up, texts)), pa.string()), langs], names=["doc_id", "text", "lang"])
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, text string, lang string")
 

@@ -60,3 +60,15 @@ def test_stretches_and_languages_of_every_item(spark, documents):
     found = {(r.item_kind, r.item_key): (r.lang, r.confidence) for r in langid.languages_of_items(documents, questions).collect()}
     assert len(found) == documents.count() + 2
     assert found["question", 1][0] == "en" and found["question", 1][1] > 0 and found["question", 2] == (None, 0.0)
+
+
+def test_many_rows_at_once(matrix):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 4, (200, len(langid.LANGUAGES) + 1)).astype(float)
+    rows[:5, :-1] = 0
+    first, conf, second, share, n = langid.best(rows)
+    got = list(zip(langid.named(first).to_pylist(), conf.tolist(), langid.named(second).to_pylist(), share.tolist(), n.tolist()))
+    assert got == [langid._best(r) for r in rows]
+    assert all(len(x) == 0 for x in langid.best(np.zeros((0, len(langid.LANGUAGES) + 1))))
