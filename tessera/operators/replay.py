@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,41 +85,49 @@ def entity_key(kind: str, e: dict) -> tuple:
     return (tenth("start"), tenth("end")) if kind == "topics" else (tenth("start"),)
 
 
+def _numbered(kind: str, items: Iterable[dict], fields: Callable[[dict], dict]) -> dict[tuple, dict]:
+    """Items by key and by how manieth they are of it."""
+    seen: Counter = Counter()
+    out = {}
+    for x in items:
+        key = entity_key(kind, fields(x))
+        seen[key] += 1
+        out[key, seen[key]] = x
+    return out
+
+
 def plan_entities(entities: list[dict], wanted: dict[str, list[dict]]) -> list[dict]:
-    """Actions on a session's entities that give those ``wanted`` by type: equal keys are paired in order, the rest added or rejected."""
+    """Actions on a session's entities that give those ``wanted`` by type: the n-th of a key is paired with the n-th, the rest added or rejected."""
+
+    def action(kind: str, have: dict | None, item: dict | None, place: int | None) -> dict:
+        if item is None:
+            return {"op": "ent.reject", "uid": have["uid"], "anchor": float(have["fields"].get("start") or 0)}
+        what = {"op": "ent.add", "type": kind, "fields": item} if have is None else {"op": "ent.accept", "uid": have["uid"]} if have["fields"] == item else {"op": "ent.edit", "uid": have["uid"], "fields": item, "replace": True}
+        return what | {"position": place, "anchor": float(item.get("start") or 0)}
+
     out = []
     for kind, items in wanted.items():
-        waiting: dict[tuple, list[dict]] = {}
-        for e in entities:
-            if e["type"] == kind and e["status"] != "rejected":
-                waiting.setdefault(entity_key(kind, e["fields"]), []).append(e)
-        for queue in waiting.values():
-            queue.reverse()
-        for place, item in enumerate(items):
-            queue = waiting.get(entity_key(kind, item))
-            base = {"position": place, "anchor": float(item.get("start") or 0)}
-            if not queue:
-                out.append({"op": "ent.add", "type": kind, "fields": item} | base)
-                continue
-            e = queue.pop()
-            out.append(({"op": "ent.accept", "uid": e["uid"]} if e["fields"] == item else {"op": "ent.edit", "uid": e["uid"], "fields": item, "replace": True}) | base)
-        out += [{"op": "ent.reject", "uid": e["uid"], "anchor": float(e["fields"].get("start") or 0)} for queue in waiting.values() for e in reversed(queue)]
+        had = _numbered(kind, (e for e in entities if e["type"] == kind and e["status"] != "rejected"), lambda e: e["fields"])
+        due = _numbered(kind, items, lambda e: e)
+        place = {x: i for i, x in enumerate(due)}
+        out += [action(kind, had.get(x), due.get(x), place.get(x)) for x in [*due, *(x for x in had if x not in due)]]
     return out
 
 
 def interleaved(segment_actions: list[dict], entity_actions: list[dict]) -> list[dict]:
-    """One list: each segment action, then the entity actions that lie before the next segment action's place."""
+    """One list: each segment action, then the entity actions that lie before the next segment action's place.
+
+    An entity action goes to the first segment action up to which some place ahead lies behind it; those behind all come last.
+    """
     todo = sorted(entity_actions, key=lambda a: a["anchor"])
-    out, done = [], 0
-    following = [a["anchor"] for a in segment_actions[1:]] + [float("inf")]
-    for a, nxt in zip(segment_actions, following):
-        out.append(a)
-        stop = done
-        while stop < len(todo) and todo[stop]["anchor"] < max(nxt, a["anchor"]):
-            stop += 1
-        out += todo[done:stop]
-        done = stop
-    return out + todo[done:]
+    own = [a["anchor"] for a in segment_actions]
+    ahead = list(accumulate((max(x, y) for x, y in zip(own, [*own[1:], float("inf")])), max))
+    at = [bisect_right(ahead, a["anchor"]) for a in todo]
+    out = []
+    for i, a in enumerate([*segment_actions, None]):
+        out += [a] if a is not None else []
+        out += todo[bisect_left(at, i) : bisect_right(at, i)]
+    return out
 
 
 def run_plan(session: Session, actions: list[dict]) -> Session:

@@ -80,6 +80,13 @@ def test_plans_turn_old_into_new():
         assert segments == new and {t: entities[t] for t in want} == want
 
 
+def test_interleaving():
+    seg = [{"op": f"s{i}", "anchor": a} for i, a in enumerate([5.0, 2.0, 9.0])]
+    ent = [{"op": f"e{i}", "anchor": a} for i, a in enumerate([1.0, 5.0, 4.9, 8.9, 9.0, 99.0])]
+    assert [a["op"] for a in replay.interleaved(seg, ent)] == ["s0", "e0", "e2", "s1", "e1", "e3", "s2", "e4", "e5"]
+    assert replay.interleaved([], ent[:2]) == ent[:2] and replay.interleaved(seg, []) == seg
+
+
 def test_merge_then_split():
     s = Session([{"start": 0.0, "end": 2.0, "text": "a"}, {"start": 2.0, "end": 4.0, "text": "b"}])
     acts = replay.plan(s.segments, [{"start": 0.0, "end": 1.0, "text": "a"}, {"start": 1.0, "end": 4.0, "text": "b"}])
