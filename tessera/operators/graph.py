@@ -146,10 +146,10 @@ def resolved(same: DataFrame, rounds: int = 20) -> DataFrame:
     return pairs
 
 
-def applied(graph: DataFrame, proposals: DataFrame, related: str = "skos:related") -> DataFrame:
+def applied(graph: DataFrame, proposals: DataFrame, related: str = "skos:related", name: str = "name") -> DataFrame:
     """``graph`` after reviewed proposals ``a, b, status`` on nodes: of an accepted pair ``b`` is merged into ``a``; a pair rejected
     but related is linked both ways; others change nothing."""
-    merged = merge_nodes(graph, resolved(proposals.where(F.col("status") == "accepted").select(F.col("b").alias("drop"), F.col("a").alias("keep"))))
+    merged = merge_nodes(graph, resolved(proposals.where(F.col("status") == "accepted").select(F.col("b").alias("drop"), F.col("a").alias("keep"))), name=name)
     return union(merged, relations(proposals.where(F.col("status") == "related").select("a", "b"), related))
 
 

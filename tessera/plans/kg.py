@@ -229,7 +229,18 @@ def kg_decided(spark: SparkSession, d: str) -> DataFrame:
     first = F.row_number().over(_by_concept()).alias("n")
     c = concept_hits(g.of("nameEn").join(g.of(G.TYPE, "Topic").select("s"), "s", "left_semi").select(F.col("s").alias("slug"), F.col("o").alias("name")), table(spark, d, "subjects")).select("subject", "slug", first)
     pairs = c.alias("x").join(c.alias("y"), (F.col("x.subject") == F.col("y.subject")) & (F.col("x.n") + 1 == F.col("y.n"))).select(F.col("x.slug").alias("a"), F.col("y.slug").alias("b"), F.when(F.col("x.n") == 1, "accepted").otherwise("related").alias("status"))
-    return G.applied(g.all(), pairs).groupBy("p").agg(F.count("*").alias("n"))
+    return G.applied(g.all(), pairs, name="nameEn").groupBy("p").agg(F.count("*").alias("n"))
+
+
+SQL["kg_decided"] = f"""
+    WITH RECURSIVE {GRAPH_SQL}, n AS (SELECT subject, 'Topic_' || slug AS node, row_number() OVER (PARTITION BY subject ORDER BY 'Topic_' || slug) AS n FROM cl),
+    pr AS (SELECT x.node AS a, y.node AS b, x.n = 1 AS accepted FROM n x JOIN n y ON x.subject = y.subject AND x.n + 1 = y.n),
+    dk AS (SELECT b AS drop_, min(a) AS keep FROM pr WHERE accepted AND a <> b GROUP BY b), fl AS (SELECT drop_, keep FROM dk UNION SELECT fl.drop_, dk.keep FROM fl JOIN dk ON fl.keep = dk.drop_),
+    rs AS (SELECT drop_, keep FROM fl WHERE keep NOT IN (SELECT drop_ FROM dk)),
+    m AS (SELECT g.s, g.p, coalesce(rs.keep, g.o) AS o, g.kind FROM g LEFT JOIN rs ON g.o = rs.drop_ WHERE g.s NOT IN (SELECT drop_ FROM rs) UNION SELECT keep, 'altLabel', g.o, g.kind FROM g JOIN rs ON g.s = rs.drop_ AND g.p = 'nameEn'
+        UNION SELECT a, 'skos:related', b, 'iri' FROM pr WHERE NOT accepted UNION SELECT b, 'skos:related', a, 'iri' FROM pr WHERE NOT accepted)
+    SELECT p, count(*) AS n FROM m GROUP BY p
+"""
 
 
 def _by_concept():
