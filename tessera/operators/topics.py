@@ -3,61 +3,107 @@
 from __future__ import annotations
 
 import difflib
-import functools
-from collections.abc import Callable
+import math
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIKE = 0.6
-
-
-@functools.lru_cache(maxsize=4096)
-def _places(text: str) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for i, c in enumerate(text):
-        out[c] = out.get(c, 0) | 1 << i
-    return out
-
-
-def common_letters(a: str, b: str) -> int:
-    """Length of the longest common subsequence, which no sum of matching blocks exceeds."""
-    places, whole = _places(a), (1 << len(a)) - 1
-    v = whole
-    for c in b:
-        u = v & places.get(c, 0)
-        v = (v + u | v - u) & whole
-    return len(a) - v.bit_count()
+from tessera.functions import likeness
+from tessera.session import checkpoint
 
+LIKE = 0.6
 
-def _ratio(least: float) -> Callable[[Column, Column], Column]:
-    """Ratio of matching blocks of two names, null where it is surely under ``least``."""
-
-    def one(a: str, b: str) -> float | None:
-        a, b = a.lower(), b.lower()
-        return difflib.SequenceMatcher(None, a, b).ratio() if 2 * common_letters(a, b) >= least * (len(a) + len(b)) else None
-
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([one(a, b) for a, b in zip(x, y)], dtype="float64")
 
-    run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "double")
+#: Topics of a block (two blocks are compared in a task), and the least worth a block of their own.
+BLOCK, SMALL_BLOCK = 5000, 250
+#: Pairs that are matched at once.
+PAIRS = 1 << 16
 
 
-def merge_proposals(topics: DataFrame, least: float = LIKE) -> DataFrame:
+def _block_pairs(topics: DataFrame, n: int) -> DataFrame:
+    """Topics with a non-empty name by pairs of blocks, each pair in a partition of its own: ``_t`` has its number, ``_one`` the topics of its first block."""
+    spark = topics.sparkSession
+    blocks = max(1, -(-n // BLOCK), min(-(-n // SMALL_BLOCK), math.ceil((6 * spark.sparkContext.defaultParallelism) ** 0.5)))
+    t = topics.withColumn("_l", F.lower("name")).dropDuplicates(["slug"]).where(F.col("slug").isNotNull() & (F.col("_l") != "")).withColumn("_b", F.pmod(F.xxhash64("slug"), F.lit(blocks)).cast("int"))
+    t = t.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    i, j = F.least("_b", "_o"), F.greatest("_b", "_o")
+    t = t.withColumn("_t", (i * (2 * blocks - i + 1) / 2 + j - i).cast("int")).withColumn("_one", F.col("_b") == i).withColumn("_pair", F.col("_b") != F.col("_o")).drop("_b", "_o")
+    return t.repartitionById(blocks * (blocks + 1) // 2, "_t")
+
+
+def _by_task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    batches = [b for b in it if b.num_rows]
+    if batches:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        for k in pc.unique(t["_t"]):
+            yield t.filter(pc.equal(t["_t"], k))
+
+
+def _alike(t: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of topics of like names in a pair of blocks, those before by slug first, and how alike they are."""
+    names, slugs = [x.lower() for x in t["name"].to_pylist()], t["slug"].to_pylist()
+    flat, starts = likeness.coded(names)
+    rank = np.empty(len(slugs), np.int64)
+    rank[sorted(range(len(slugs)), key=slugs.__getitem__)] = np.arange(len(slugs))
+    form, size = t["_l"].combine_chunks().dictionary_encode().indices.to_numpy(), starts[1:] - starts[:-1]
+    one, short = t["_one"].to_numpy(), size <= likeness.WORD
+    s1, l1, s2, l2 = (np.flatnonzero(x) for x in (one & short, one & ~short, ~one & short, ~one & ~short))
+    # Short names are patterns where either is short: they take one word.
+    jobs = [(s1, s2), (s1, l2), (s2, l1), (l1, l2)] if t["_pair"][0].as_py() else [(s1, s1), (s1, l1), (l1, l1)]
+
+    def matched(found: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y = np.concatenate([ids for ids, _ in found]), np.repeat([k for _, k in found], [len(ids) for ids, _ in found])
+        differ = form[x] != form[y]
+        x, y = x[differ], y[differ]
+        a, b = np.where(rank[x] < rank[y], x, y), np.where(rank[x] < rank[y], y, x)
+        letters, plain = np.empty(len(a), np.int64), size[b] < likeness.JUNK
+        letters[plain] = likeness.matching(flat, starts, a[plain], b[plain])
+        letters[~plain] = [sum(m.size for m in difflib.SequenceMatcher(None, names[i], names[j]).get_matching_blocks()) for i, j in zip(a[~plain], b[~plain])]
+        both = size[a] + size[b]
+        alike = (4000 * letters + both) // (2 * both) / 1000  # rounded half up
+        return a[alike >= least], b[alike >= least], alike[alike >= least]
+
+    found, n = [], 0
+    for ids, texts in jobs:
+        for x in likeness.candidates(flat, starts, ids, texts, least - 0.001):  # the likeness is rounded
+            found.append(x)
+            n += len(x[0])
+            if n >= PAIRS:
+                yield matched(found)
+                found, n = [], 0
+    if found:
+        yield matched(found)
+
+
+def merge_proposals(topics: DataFrame, least: float = LIKE, groups: str | None = None) -> DataFrame:
     """``a, b, similarity`` of topics (slug, name) whose names are at least so alike, a before b; names equal but for case are none.
 
-    All pairs are compared; only those that by their lengths or their longest common subsequence can't be so alike are left out.
+    All pairs are compared; only those that by their letters or their longest common subsequence can't be so alike are left
+    out.  With ``groups``, a column of arrays, ``shared`` tells whether the two have a group in common.
     """
-    t = topics.select("slug", "name", F.lower("name").alias("_l")).dropDuplicates(["slug"]).where(F.col("_l") != "")
-    spark = topics.sparkSession
-    parts = max(4, round(spark.sparkContext.defaultParallelism**0.5) * 2)
-    side = lambda x: t.select(F.col("slug").alias(x), F.col("name").alias(f"{x}n"), F.col("_l").alias(f"{x}l")).repartition(parts)
-    n, m, floor = F.char_length("al"), F.char_length("bl"), least - 0.001  # the likeness is rounded
-    possible = (F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & (2 * F.least(n, m) >= floor * (n + m))
-    pairs = side("a").join(side("b"), possible)
-    return pairs.withColumn("similarity", F.round(_ratio(floor)("an", "bn"), 3)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    t = checkpoint(topics.select("slug", "name", *([F.col(groups).alias("_g")] if groups else [])))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _by_task(it):
+            slugs = x["slug"].combine_chunks()
+            if groups:
+                own = x["_g"].to_pylist()
+                number = {g: i for i, g in enumerate({g for gs in own for g in gs or ()})}
+                held = np.zeros((len(own), len(number)), bool)
+                for i, gs in enumerate(own):
+                    held[i, [number[g] for g in gs or () if g is not None]] = True
+                held = np.packbits(held, axis=1)
+            for a, b, alike in _alike(x, least):
+                out = {"a": slugs.take(pa.array(a)), "b": slugs.take(pa.array(b)), "similarity": pa.array(alike)}
+                if groups:
+                    out["shared"] = pa.array((held[a] & held[b]).any(axis=1))
+                yield pa.RecordBatch.from_pydict(out)
+
+    return _block_pairs(t, t.count()).mapInArrow(run, "a string, b string, similarity double" + ", shared boolean" * bool(groups))
 
 
 def decided(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -70,7 +116,8 @@ def decided(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def dictionary(topics: DataFrame, proposals: DataFrame) -> DataFrame:
     """``slug, name, alike``: each topic with the topics proposed for it, '-' where there are none."""
-    both = proposals.select(F.col("a").alias("slug"), F.col("b").alias("o")).unionByName(proposals.select(F.col("b").alias("slug"), F.col("a").alias("o")))
+    pair = lambda x, y: F.struct(F.col(x).alias("slug"), F.col(y).alias("o"))
+    both = proposals.select(F.inline(F.array(pair("a", "b"), pair("b", "a"))))
     text = both.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_set("o")), "; ").alias("alike"))
     return topics.select("slug", "name").join(text, "slug", "left").withColumn("alike", F.coalesce("alike", F.lit("-")))
 

@@ -47,10 +47,8 @@ def validation_counts(spark: SparkSession, d: str) -> DataFrame:
 @_q
 def topic_merge_proposals(spark: SparkSession, d: str) -> DataFrame:
     """Topics of like names, and whether they meet within a series or only across series."""
-    t = topic_registry(spark, d)
-    named = lambda x: t.select(F.col("slug").alias(x), F.col("series").alias(f"_{x}"))
-    p = topics.merge_proposals(t).join(named("a"), "a").join(named("b"), "b")
-    return p.select("a", "b", "similarity", F.when(F.arrays_overlap("_a", "_b"), "within_series").otherwise("cross_series").alias("scope"))
+    p = topics.merge_proposals(topic_registry(spark, d), groups="series")
+    return p.select("a", "b", "similarity", F.when(F.col("shared"), "within_series").otherwise("cross_series").alias("scope"))
 
 
 @_q
