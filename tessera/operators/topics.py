@@ -20,8 +20,8 @@ LIKE = 0.6
 
 #: Topics of a block (two blocks are compared in a task), and the least worth a block of their own.
 BLOCK, SMALL_BLOCK = 5000, 250
-#: Pairs that are matched at once.
-PAIRS = 1 << 16
+#: Pairs that are matched, and pairs found that are kept, at once; topics, and bytes of text, that are written at once.
+PAIRS, KEPT, ROWS, TEXT = 1 << 16, 1 << 21, 500, 1 << 23
 
 
 def _block_pairs(topics: DataFrame, n: int) -> DataFrame:
@@ -106,6 +106,55 @@ def merge_proposals(topics: DataFrame, least: float = LIKE, groups: str | None =
     return _block_pairs(t, t.count()).mapInArrow(run, "a string, b string, similarity double" + ", shared boolean" * bool(groups))
 
 
+def alike(topics: DataFrame, least: float = LIKE) -> DataFrame:
+    """``dictionary`` of the topics and their ``merge_proposals``; pairs travel as numbers of their slugs, of which every task gets the list."""
+    spark = topics.sparkSession
+    t = checkpoint(topics.select("slug", "name"))
+    slugs = sorted({r.slug for r in t.where(F.col("slug").isNotNull()).select("slug").collect()})
+    shared, schema = spark.sparkContext.broadcast(slugs), "slug string, own struct<name: string>, others array<int>"
+
+    def rows(slug: pa.Array, number: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        x, y = np.concatenate([a, b]), number[np.concatenate([b, a])]
+        order = np.argsort(x, kind="stable")
+        ids, n = np.unique(x, return_counts=True)
+        others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(y[order], pa.int32()))
+        return pa.RecordBatch.from_arrays([slug.take(pa.array(ids)), pa.nulls(len(ids), pa.struct([("name", pa.string())])), others], names=["slug", "own", "others"])
+
+    def pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = {s: i for i, s in enumerate(shared.value)}
+        for x in _by_task(it):
+            slug, number = x["slug"].combine_chunks(), np.array([numbers[s] for s in x["slug"].to_pylist()], np.int32)
+            kept, n = [], 0
+            for a, b, _ in _alike(x, least):
+                kept.append((a, b))
+                n += len(a)
+                if n >= KEPT:
+                    yield rows(slug, number, *map(np.concatenate, zip(*kept)))
+                    kept, n = [], 0
+            if kept:
+                yield rows(slug, number, *map(np.concatenate, zip(*kept)))
+
+    def texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in it:
+            out, size = [], 0
+            for i, (slug, own) in enumerate(zip(b["slug"].to_pylist(), b["own"].to_pylist())):
+                text = "; ".join([known[k] for k in np.sort(b["others"][i].values.to_numpy()).tolist()]) or "-"
+                out += [{"slug": slug, "name": x["name"], "alike": text} for x in own]
+                size += len(text) * len(own)
+                if size >= TEXT:
+                    yield pa.RecordBatch.from_pylist(out, schema=as_written)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=as_written)
+
+    as_written = pa.schema([(c, pa.string()) for c in ("slug", "name", "alike")])
+    every = t.select("slug", F.struct("name").alias("own"), F.array().cast("array<int>").alias("others"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-len(slugs) // ROWS))
+    both = _block_pairs(t, len(slugs)).mapInArrow(pairs, schema).unionByName(every).repartition(parts, "slug")
+    return both.groupBy("slug").agg(F.collect_list("own").alias("own"), F.flatten(F.collect_list("others")).alias("others")).mapInArrow(texts, "slug string, name string, alike string")
+
+
 def decided(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     """Proposals with the reviewed decision on their unordered pair: accepted, related (rejected but kept as related), rejected, or pending."""
     pair = lambda x, y: F.array_sort(F.array(x, y))

@@ -53,8 +53,8 @@ def topic_merge_proposals(spark: SparkSession, d: str) -> DataFrame:
 
 @_q
 def topic_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    t = topic_registry(spark, d)
-    return topics.dictionary(t, topics.merge_proposals(t))
+    """Each topic with those of like names."""
+    return topics.alike(topic_registry(spark, d))
 
 
 @_q

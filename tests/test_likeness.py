@@ -70,3 +70,20 @@ def test_merge_proposals_by_blocks(spark, monkeypatch, small):
     got = {(r.a, r.b): (r.similarity, r.shared) for r in topics.merge_proposals(df, groups="series").collect()}
     assert got.keys() == want.keys() and {s for _, s in got.values()} == {True, False}
     assert all(abs(got[k][0] - want[k][0]) <= 0.00051 and got[k][1] == want[k][1] for k in want)
+
+
+@pytest.mark.parametrize("small", [250, 7])
+def test_alike_is_the_dictionary_of_the_proposals(spark, monkeypatch, small):
+    monkeypatch.setattr(topics, "SMALL_BLOCK", small)
+    df = spark.createDataFrame([(f"s{i * 37 % 61:02d}", n) for i, n in enumerate(names(60))] + [(None, "the river"), ("nameless", None)], "slug string, name string")
+    got = sorted(map(repr, topics.alike(df).collect()))
+    assert got == sorted(map(repr, topics.dictionary(df, topics.merge_proposals(df)).collect())) and any("; " in x for x in got)
+    assert topics.alike(df.limit(0)).count() == 0
+
+
+def test_dictionary_of_the_topics_makes_the_pairs_once(spark, data):
+    """The proposals were made twice, and their names shuffled with every pair."""
+    from tessera.plans import queries
+
+    plan = queries.QUERIES["topic_dictionary"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow pairs") == 1 and "Join" not in plan
