@@ -10,7 +10,7 @@ WORD = 64
 #: ``difflib`` leaves out frequent letters of second texts from this length on.
 JUNK = 200
 #: Letters compared at once, which stay in the cache.
-CELLS = 1 << 16
+CELLS = 1 << 17
 _A, _B = 0, 1  # beyond the end of a first, of a second text
 
 
@@ -129,11 +129,12 @@ def matching(flat: np.ndarray, starts: np.ndarray, first: np.ndarray, second: np
         like = (4 * np.log2(ae - a)).astype(np.int64)  # stretches of like lengths go together
         order = np.lexsort((b - be, like))
         pair, a, ae, b, be, like = pair[order], a[order], ae[order], b[order], be[order], like[order]
+        n, m = ae - a, be - b
         k, i, j = (np.empty(len(pair), np.int64) for _ in range(3))
         at = 0
         while at < len(pair):
-            cut = slice(at, min(at + max(1, CELLS // int(be[at] - b[at])), int(np.searchsorted(like, like[at], "right"))))
-            k[cut], i[cut], j[cut] = _longest(flat, a[cut], (ae - a)[cut], b[cut], (be - b)[cut])
+            cut = slice(at, min(at + max(1, CELLS // int(m[at])), int(np.searchsorted(like, like[at], "right"))))
+            k[cut], i[cut], j[cut] = _longest(flat, a[cut], n[cut], b[cut], m[cut])
             at = cut.stop
         got += np.bincount(pair, k, len(got)).astype(np.int64)
         i, j, some = a + i, b + j, k > 0
